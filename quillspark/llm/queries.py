@@ -10,6 +10,12 @@ from .common import documents
 BPE, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, write_store
 
@@ -22,11 +28,23 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL), digests=True)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(documents(spark, sf_dir), public_tokenizers.path(BPE), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_store, op5_sentencepiece, op8_packing)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op4_token_store, op5_sentencepiece, op6_toxicity, op8_packing, op9_simhash)}
 ORACLES: dict[str, str] = {}
