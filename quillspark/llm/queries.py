@@ -34,6 +34,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+
+    return score(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -46,5 +52,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_token_store, op5_sentencepiece, op6_toxicity, op8_packing, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_token_store, op5_sentencepiece, op6_toxicity, op7_language_model, op8_packing, op9_simhash)}
 ORACLES: dict[str, str] = {}
