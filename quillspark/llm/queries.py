@@ -52,5 +52,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_token_store, op5_sentencepiece, op6_toxicity, op7_language_model, op8_packing, op9_simhash)}
+def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_graph import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op4_token_store, op5_sentencepiece, op6_toxicity, op7_language_model, op8_packing, op9_simhash, op10_embedding_graph)}
 ORACLES: dict[str, str] = {}
