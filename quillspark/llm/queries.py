@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents
 
@@ -16,6 +16,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bottom_k import as_text, edited_fingerprints
+
+    return edited_fingerprints(documents(spark, sf_dir)).select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import KINDS, as_text, spans
+
+    def of_kind(k: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [of_kind(k) for k in range(len(KINDS))]
+    return spans(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, write_store
 
@@ -58,5 +74,5 @@ def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_token_store, op5_sentencepiece, op6_toxicity, op7_language_model, op8_packing, op9_simhash, op10_embedding_graph)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_personal_data, op4_token_store, op5_sentencepiece, op6_toxicity, op7_language_model, op8_packing, op9_simhash, op10_embedding_graph)}
 ORACLES: dict[str, str] = {}
