@@ -6,29 +6,40 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: A table is emptied beyond this many chunks, and longer chunks are not kept: only memory is bounded, never what is encoded.
-MOST_CHUNKS, LONGEST_KEPT = 500_000, 64
+MOST_CHUNKS, LONGEST_KEPT = 800_000, 64
 
-_SPACED = re.compile(r" (?:\s|\Z)")
+#: White space as the pre-tokenizer's expression sees it, without the space and the line break.
+_OTHER = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORDS = re.compile(f"[ \n{_OTHER}]?[^ \n{_OTHER}]+|[ \n{_OTHER}]+(?![^ \n{_OTHER}])")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 _tables: dict = {}
 
 
 def space_chunks(text: str) -> list[str]:
-    """``text`` cut before single spaces, where the byte-level BPE's pre-tokenizer always cuts.
+    """Keys of the chunks of ``text``, cut where the byte-level BPE's pre-tokenizer always cuts.
 
-    A space starts a token of its own word unless white space stands on both
-    its sides (the end counts as white space); there nothing is cut.  The first
-    chunk is the text's start; every later one lacks the space it began with.
+    It cuts before white space that follows something else, and before the last
+    character of a run of white space that something follows.  A key that
+    starts with a line break is the chunk itself, one that starts with two
+    spaces has it behind them, and any other is a chunk without its first space.
     """
-    parts = text.split(" ")
-    if not _SPACED.search(text):
-        return parts
-    out = [parts[0]]
-    for before, x in zip(parts, parts[1:]):
-        if (before and not before[-1].isspace()) or (x and not x[0].isspace()):
-            out.append(x)
+    if not text:
+        return []
+    if text[-1] not in " \n" and not any(c in text for c in _OTHER) and not any(c in text for c in _RUNS):
+        keys = text.replace("\n", " \n").split(" ")
+        if keys[0]:
+            keys[0] = "  " + keys[0]
+            return keys
+        return keys[1:]
+    out = []
+    for c in _WORDS.findall(text):
+        if c[0] == " " and len(c) > 1 and c[1] not in " \n" and c[1] not in _OTHER:
+            out.append(c[1:])
         else:
-            out[-1] += " " + x
+            out.append(c if c[0] == "\n" else "  " + c)
     return out
 
 
@@ -40,6 +51,12 @@ class BytePairs:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        line = self.lib.encode("\n", add_special_tokens=False).ids
+        if len(line) != 1:
+            raise ValueError("chunks are told apart by the line break, which this vocabulary has no id for")
+        self.line = line[0]
+        # around the strings of added tokens the library cuts otherwise: texts with one go to it whole
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -52,18 +69,31 @@ class BytePairs:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lots(self, keys: list[str], before: str) -> None:
+        """Encode many chunks by few calls: a line break is a token of its own between them."""
+        own = [k.lstrip("\n") for k in keys]
+        lots = range(0, len(keys), 256)
+        first = b"" if before == " " else array("I", [self.line]).tobytes()
+        for i, ids in zip(lots, self._ids([before + ("\n" + before.strip("\n")).join(own[i : i + 256]) for i in lots])):
+            cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == self.line)
+            if first:
+                cuts, ids = cuts[1:] - 1, ids[4:]
+            for k, a, b in zip(keys[i : i + 256], [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(ids)]):
+                self.known[k] = first + ids[a:b]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > MOST_CHUNKS:
             known.clear()
-        lists = [space_chunks(t) for t in texts]
-        starts = [x.pop(0) for x in lists]
+        lists = [["  " + t] if any(a in t for a in self.added) else space_chunks(t) for t in texts]
         new = list({c for x in lists for c in x if c not in known})
-        for i in range(0, len(new), 4096):  # the library's own results stay small
-            part = new[i : i + 4096]
-            for c, ids in zip(part, self._ids([" " + c for c in part])):
-                known[c] = ids
-        out = [b"".join([first, *map(known.__getitem__, x)]) for first, x in zip(self._ids(starts), lists)]
+        words = [c for c in new if c[0] not in "\n "]
+        self._lots(words, " ")
+        lines = [c for c in new if c[0] == "\n" and len(c) > 1 and c[1] not in " \n" and c[1] not in _OTHER]
+        self._lots(lines, "\n")
+        alone = [c for c in new if c not in known]
+        known.update(zip(alone, self._ids([c if c[0] == "\n" else c[2:] for c in alone])))
+        out = [b"".join(map(known.__getitem__, x)) for x in lists]
         for c in new:
             if len(c) > LONGEST_KEPT:
                 del known[c]

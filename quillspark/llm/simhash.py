@@ -39,24 +39,30 @@ SHARD = 4096
 BLOCK = 1 << 19
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: str, words: int = 4) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence where there are fewer words; none without words."""
     import xxhash
 
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), 42)]
-    else:
-        flat, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
-        starts, hash_of = [0, *ends[:-words].tolist()], xxhash.xxh64_intdigest
-        hashes = [hash_of(flat[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
-    h = np.array(hashes, "<u8")
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), 42)], "<u8")
+    flat, ends, hash_of = b" ".join(found), np.cumsum([len(w) + 1 for w in found]), xxhash.xxh64_intdigest
+    starts = [0, *ends[:-words].tolist()]
+    return np.array([hash_of(flat[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes as a signed 64-bit number: bits set in over half of them."""
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, words: int = 4) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, print), the fingerprint of every whole text as a long."""
 
@@ -104,9 +110,9 @@ def _sides(d: np.ndarray, radius: int, home: np.ndarray, reach: int):
     yield (home & ~inner) | (d + reach > radius) & (~home | inner), home & ~inner
 
 
-def route(x: np.ndarray, tree, reach: int):
-    """(shard, positions in x, which of them live there) for every shard."""
-    todo, leaf = [(tree, np.arange(len(x)), np.ones(len(x), bool))], 0
+def route(x: np.ndarray, tree, reach: int, live_here: bool = True):
+    """(shard, positions in x, which of them live there) for every shard; without ``live_here`` all only visit."""
+    todo, leaf = [(tree, np.arange(len(x)), np.full(len(x), live_here))], 0
     while todo:
         node, at, home = todo.pop()
         if node is None:
@@ -139,19 +145,32 @@ def near_pairs(x: np.ndarray, home: np.ndarray, reach: int):
             todo.append((at[stay], at[go & ~stay]))
 
 
-def forest(n: int, pairs) -> np.ndarray:
-    """Smallest reachable position of each of n positions over blocks of pairs."""
+def forest(n: int, pairs, holds=None) -> np.ndarray:
+    """Smallest reachable position of each of n positions over blocks of pairs.
+
+    With ``holds`` a pair links only where it says so; pairs whose ends are
+    linked already aren't asked about.
+    """
     label = np.arange(n)
-    for a, b in pairs:
-        while len(a):
-            la, lb = label[a], label[b]
-            apart = la != lb
-            if not apart.any():
-                break
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while (deeper := label[label]).tolist() != label.tolist():
-                label = deeper
+    for i, j in pairs:
+        step = len(i) if holds is None else 16_384
+        for s in range(0, len(i), max(1, step)):
+            a, b = i[s : s + step], j[s : s + step]
+            if holds is not None:
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                if len(a):
+                    good = holds(a, b)
+                    a, b = a[good], b[good]
+            while len(a):
+                la, lb = label[a], label[b]
+                apart = la != lb
+                if not apart.any():
+                    break
+                a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+                np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+                while ((deeper := label[label]) != label).any():
+                    label = deeper
     return label
 
 
@@ -186,9 +205,94 @@ def near_duplicates(docs: DataFrame, words: int = 4, reach: int = 4, shard: int
     )
 
 
-def one_of_each(docs: DataFrame, words: int = 5, reach: int = 4) -> DataFrame:
+#: The stage's sketches: so many smallest shingle hashes estimate the likeness of a candidate pair.
+SKETCH = 128
+
+
+def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard likeness of pairs of sketches (rows of sorted hashes, padded with the largest number)."""
+    k, pad = one.shape[1], np.uint64(2**64 - 1)
+    both = np.sort(np.concatenate([one, other], axis=1), axis=1)
+    new = np.ones(both.shape, bool)
+    new[:, 1:] = both[:, 1:] != both[:, :-1]
+    new &= both != pad
+    rank = np.cumsum(new, axis=1)
+    counted = (rank <= k) & (both != pad)
+    return (~new & counted).sum(1) / np.maximum(1, (new & counted).sum(1))
+
+
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 14, shard: int = 2 * SHARD) -> DataFrame:
+    """(doc_id, component_id) of documents by shingle likeness: candidates within ``reach`` bits, kept if their sketches agree.
+
+    A likeness of 0.8 leaves SimHash fingerprints some 10 bits apart, give or
+    take 3, which is far more than a few bits but would also let unlike texts
+    meet; so each candidate pair is verified by bottom-k sketches, and only
+    texts whose numbers of distinct shingles allow the likeness are compared:
+    they live in classes of sizes and visit the next class.
+    """
+    ratio = 1 / similarity
+
+    def describe(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                part, rows = b.slice(at, AT_ONCE), []
+                for t in part.column("text").to_pylist():
+                    h = shingle_hashes(t, words)
+                    u = np.unique(h)
+                    rows.append((majority(h), len(u), u[:SKETCH].tobytes()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "print", "size", "sketch"])
+
+    marks = staged(id_and_text(docs).where("doc_id is not null").mapInArrow(describe, "doc_id long, print long, size long, sketch binary"), "marks")
+    same = ["print", "size", "sketch"]
+    least = staged(marks.groupBy(*same).agg(F.min("doc_id").alias("least")).withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(ratio)) + 1e-9).cast("int")), "distinct")
+    n = least.count()
+    counts = {r["class"]: r["count"] for r in least.groupBy("class").count().collect()}  # a row per class: under 200 for any text
+    sampled = least.where(F.pmod(F.xxhash64("least"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))).select("class", "print").limit(2 * SAMPLE).collect()
+    trees = {}
+    for c, size in counts.items():
+        x = np.sort(np.array([r["print"] for r in sampled if r["class"] == c], np.int64)).view(np.uint64)
+        trees[c] = grow(x, max(0, int(np.ceil(np.log2(size / shard))))) if len(x) else None
+
+    def deal(batches):
+        for b in batches:
+            x, k = b.column("print").to_numpy().view(np.uint64), b.column("class").to_numpy()
+            for c in np.unique(k).tolist():
+                at = np.flatnonzero(k == c)
+                for own, live in ((c, True), (c + 1, False)):
+                    if own not in trees:
+                        continue
+                    for leaf, go, home in route(x[at], trees[own], reach, live):
+                        if len(go):
+                            rows = b.take(pa.array(at[go]))
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([f"{own}/{leaf}"] * len(go)), *[rows.column(name) for name in ("print", "size", "sketch", "least")], pa.array(home)], ["shard", "print", "size", "sketch", "least", "home"]
+                            )
+
+    def link(t: pa.Table) -> pa.Table:
+        t = t.sort_by("least")
+        sketches = np.full((t.num_rows, SKETCH), 2**64 - 1, np.uint64)
+        for i, raw in enumerate(t.column("sketch").to_pylist()):
+            sketches[i, : len(raw) // 8] = np.frombuffer(raw, "<u8")
+        size = t.column("size").to_numpy().astype(float)
+
+        def holds(a, b):
+            good = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            good[good] = likeness(sketches[a[good]], sketches[b[good]]) >= similarity
+            return good
+
+        label = forest(t.num_rows, near_pairs(t.column("print").to_numpy().view(np.uint64), t.column("home").to_numpy(), reach), holds)
+        a, ids = np.flatnonzero(label != np.arange(t.num_rows)), t.column("least").to_numpy()
+        return pa.table({"a": ids[a], "b": ids[label[a]]})
+
+    dealt = least.mapInArrow(deal, "shard string, print long, size long, sketch binary, least long, home boolean")
+    found = components(dealt.groupBy("shard").applyInArrow(link, "a long, b long"))
+    named = least.join(found, F.col("least") == F.col("node"), "left").select(*[F.col(c).alias(f"of_{c}") for c in same], F.coalesce("component", "least").alias("component_id"))
+    return marks.join(named, [F.col(c) == F.col(f"of_{c}") for c in same]).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each group, and without repeated rows of an id; rows with no id stay."""
-    extra = near_duplicates(docs, words, reach).where("doc_id != component_id").select(F.col("doc_id").alias("extra_id")).distinct()
+    extra = alike(docs, words, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("extra_id")).distinct()
     kept = docs.join(extra, docs["doc_id"] == extra["extra_id"], "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
     named = kept.where("doc_id is not null").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
