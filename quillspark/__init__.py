@@ -1,0 +1 @@
+"""A PySpark-native engine for preparing document collections for retrieval."""
