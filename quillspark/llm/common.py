@@ -52,7 +52,7 @@ def crc_bucket(doc_id: str, n: int):
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of (a, b) links as (node, component), the smallest reachable id.
+    """Connected components of (a, b) links: (node, component), the smallest reachable id, for all other nodes than that one.
 
     Alternates the large-star and small-star steps until the set of links no
     longer changes.  Every step is a partially aggregated minimum and an
