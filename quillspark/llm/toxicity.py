@@ -107,9 +107,11 @@ class BlockMaxIndex:
                 blocks = self.block[s]
                 i = np.searchsorted(blocks, part)
                 ok = (i < len(blocks)) & (blocks[np.minimum(i, len(blocks) - 1)] == part) if len(blocks) else np.zeros(len(part), bool)
-                for p in np.flatnonzero(ok):
-                    a, b = self.bounds[s.start + i[p]], self.bounds[s.start + i[p] + 1]
-                    scores[p * BLOCK + self.at[a:b] - part[p] * BLOCK] += w * self.weight[a:b]
+                own = np.flatnonzero(ok)
+                a = self.bounds[s.start + i[own]]
+                n = self.bounds[s.start + i[own] + 1] - a
+                posts = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                scores[np.repeat((own - part[own]) * BLOCK, n) + self.at[posts]] += w * self.weight[posts]
             hit = np.flatnonzero(scores > 0)
             found = np.concatenate([found, part[hit // BLOCK] * BLOCK + hit % BLOCK])
             near = np.concatenate([near, scores[hit]])
