@@ -38,6 +38,8 @@ MOST_EXAMPLES, MOST_TERMS = 20_000, 4_096
 #: A term must be in so many examples and depend on the label so much.
 LEAST_DF, LEAST_CHI = 5, 33.0
 NEIGHBOURS, BLOCK, AT_ONCE = 16, 32, 512
+#: Examples, spread evenly, on which the scale of probabilities is fitted.
+CALIBRATED = 2_000
 
 _LETTERS = bytes(c if c >= 128 or bytes([c]).isalnum() else 32 for c in range(256))
 
@@ -99,7 +101,7 @@ class BlockMaxIndex:
             limit[self.block[s]] += w * self.top[s]
         order = np.argsort(-limit, kind="stable")
         order = order[limit[order] > 0]
-        found, near, done, step, least = np.zeros(0, np.int64), np.zeros(0), 0, 8, 0.0
+        found, near, done, step, least = np.zeros(0, np.int64), np.zeros(0), 0, 32, 0.0
         while done < len(order) and limit[order[done]] > least + 1e-12:
             part = np.sort(order[done : done + step])
             scores = np.zeros(len(part) * BLOCK)
@@ -120,7 +122,7 @@ class BlockMaxIndex:
             best = np.lexsort((found, -near))[:k]
             found, near = found[best], near[best]
             least = near[-1] if len(near) == k else 0.0
-            done, step = done + step, step * 2
+            done, step = done + step, step * 4
         return found, near
 
 
@@ -156,7 +158,10 @@ class ToxicityModel:
         if len(np.unique(y)) < 2:
             return
         place = {int(i): p for p, i in enumerate(self.index.ids)}
-        z = []
+        some = np.unique(np.linspace(0, len(rows) - 1, min(len(rows), CALIBRATED)).astype(int))
+        rows, ids, y, z = [rows[k] for k in some], ids[some], y[some], []
+        if len(np.unique(y)) < 2:
+            return
         for (t, w), i in zip(rows, ids):
             found, near = self.index.nearest(t, w, NEIGHBOURS, place[int(i)])
             z.append(vote(near, self.index.labels[found], self.base))
@@ -171,7 +176,7 @@ class ToxicityModel:
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
         """(probability, neighbours' ids, cosines)."""
-        key = (*terms, -1, *counts)
+        key = (*terms, -1, *counts) if len(terms) != 1 else (terms[0],)  # a single term's unit vector is the same for any count
         if key not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
