@@ -33,8 +33,9 @@ from .common import components, id_and_text, staged
 AT_ONCE = 512
 #: Fingerprints the driver may take to choose vantage points from.
 SAMPLE = 8192
-#: Residents a shard is meant to have.
-SHARD = 4096
+#: Residents a shard is meant to have.  Visits grow with the depth of the tree between shards, while the tree inside a
+#: shard prunes as well without sending anything, so shards are as large as a task easily holds (17 bytes a row).
+SHARD = 32_768
 #: Pairs compared at once in a block.
 BLOCK = 1 << 19
 
@@ -221,7 +222,7 @@ def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (~new & counted).sum(1) / np.maximum(1, (new & counted).sum(1))
 
 
-def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 14, shard: int = 2 * SHARD) -> DataFrame:
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 14, shard: int = SHARD) -> DataFrame:
     """(doc_id, component_id) of documents by shingle likeness: candidates within ``reach`` bits, kept if their sketches agree.
 
     A likeness of 0.8 leaves SimHash fingerprints some 10 bits apart, give or
