@@ -1,25 +1,26 @@
 """Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-1. Terms: words and the first letters of longer words, so that inflected and
-   compound forms meet.  Those whose presence in an example depends on the
-   label (chi-square over the examples) make the vocabulary; all other words
-   of a text together are one more term, so that a vector also tells how much
-   of its text the chosen terms are.
-2. Document frequencies of these terms are counted over all documents.
-3. The examples' unit vectors go into an inverted index: examples in blocks, and
-   for each term and block the largest weight.  A query adds up the blocks'
-   bounds, scores blocks from the highest bound on in full, and stops when no
-   bound exceeds the k-th similarity found, so the k nearest are exact.
+1. Terms: every word of the examples, whatever its label or frequency, and those
+   first letters of longer words whose presence in an example depends on the
+   label, so that inflected and compound forms meet.  Chi-square over the
+   examples is a weight of frequent terms, it leaves out no word.
+2. Document frequencies of all terms are counted over all documents.
+3. The examples' unit vectors go into an index: the commonest terms as a matrix,
+   the others as postings.  Every example's cosine is computed; the largest of
+   each block of examples tell which can be among the k nearest, and those are
+   added up again in double precision.  All examples as near as the k-th vote.
 4. Their votes, weighted by nearness, are put on a probability scale fitted on
    the examples themselves, each without its own vote.
 
 Examples are a bounded sample (MOST_EXAMPLES labelled rows), so the index has a
-bound too; every text is scored whole.
+bound too; every text is scored whole.  Words that are in no example can't meet
+any and are left out of a text's vector.
 
 Defined results: a null text counts as the empty one; a text without any word
-is as near to every example without words and gets their share of label 1; a
-null doc_id stays null; repeated rows are scored each; without examples scores
-are 0; other columns are ignored by ``score`` and kept by ``keep_clean``.
+is as near to every example without words and gets their share of label 1, one
+with unknown words only gets the share among all examples; a null doc_id stays
+null; repeated rows are scored each; without examples scores are 0; other
+columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -33,13 +34,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import id_and_text, staged
 from .labelled import held_out, learns, sample_labels, with_labels
 
-#: The documented bounds: examples that vote, and terms of the vocabulary (the highest chi-squares).
+#: The documented bounds: examples that vote, and beginnings of words among the terms (the highest chi-squares).
 MOST_EXAMPLES, MOST_TERMS = 20_000, 4_096
-#: A term must be in so many examples and depend on the label so much.
+#: A term must be in so many examples for chi-square to weigh it; a beginning must also depend on the label so much.
 LEAST_DF, LEAST_CHI = 5, 33.0
 NEIGHBOURS, BLOCK, AT_ONCE = 16, 32, 512
+#: Terms that the index holds as a matrix, texts compared with it at once, and the nearness at which examples tie.
+COMMON, TEXTS, TIE = 256, 128, 1e-9
 #: Examples, spread evenly, on which the scale of probabilities is fitted.
 CALIBRATED = 2_000
+#: The frequencies of the terms travel in so many slices.
+SLICES = 64
 
 _LETTERS = bytes(c if c >= 128 or bytes([c]).isalnum() else 32 for c in range(256))
 
@@ -53,77 +58,102 @@ def forms(word: str) -> list[str]:
     return [word[:k] for k in range(3, min(7, len(word)))] + [word]
 
 
-class TermsOf(dict):
-    """Places of the vocabulary's terms by word, filled as words are met; emptied when it gets large."""
+class TermsOf:
+    """Places of the terms of a text: of its words, and of the beginnings among the terms."""
 
-    def __init__(self, place: dict[str, int]):
-        super().__init__()
-        self.place = place
+    def __init__(self, terms: list[str], n_words: int):
+        self.terms, self.n_words = terms, n_words
+        self._fill()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found = tuple([self.place[t] for t in forms(word) if t in self.place])
-        return found
+    def _fill(self):
+        self.place = {t: i for i, t in enumerate(self.terms[: self.n_words])}
+        self.starts = {t: i for i, t in enumerate(self.terms[self.n_words :], self.n_words)}
+        self.first = {t[:3] for t in self.starts}
 
-    def vector(self, text: str) -> tuple[list[int], list[int]]:
-        met = [self[w] for w in words(text)]
-        counts = sorted(Counter([t for x in met for t in x]).items())
-        if rest := met.count(()):
-            counts.insert(0, (0, rest))
-        return [t for t, _ in counts], [c for _, c in counts]
+    def __getstate__(self):
+        return "\n".join(self.terms), len(self.terms), self.n_words
+
+    def __setstate__(self, state):
+        self.terms, self.n_words = state[0].split("\n") if state[1] else [], state[2]
+        self._fill()
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Terms in order, their counts, and whether there is any word."""
+        place, first, counts = self.place, self.first, Counter(words(text))
+        out = {place[w]: c for w, c in counts.items() if w in place}
+        for w, c in counts.items() if first else ():
+            if w[:3] in first:
+                for f in forms(w)[:-1]:
+                    if f in self.starts:
+                        out[self.starts[f]] = out.get(self.starts[f], 0) + c
+        terms = np.fromiter(out, np.int32, len(out))
+        n = np.fromiter(out.values(), np.int32, len(out))
+        by = np.argsort(terms)
+        return terms[by], n[by], bool(counts)
 
 
 class BlockMaxIndex:
     """Exact cosine search over unit vectors given as (terms, weights) rows."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int):
-        # like examples into like blocks: bounds are tighter
-        order = sorted(range(len(rows)), key=lambda i: (tuple(rows[i][0][np.argsort(-rows[i][1], kind="stable")].tolist()), int(ids[i])))
-        self.labels, self.ids, self.n_blocks = labels[order], ids[order], -(-len(rows) // BLOCK)
-        at = np.repeat(np.arange(len(rows)), [len(rows[i][0]) for i in order])
-        term = np.concatenate([rows[i][0] for i in order] or [np.zeros(0, int)]).astype(np.int64)
-        weight = np.concatenate([rows[i][1] for i in order] or [np.zeros(0)])
+        order = np.argsort(ids, kind="stable")
+        self.labels, self.ids, self.n = labels[order], ids[order], len(rows)
+        at = np.repeat(np.arange(self.n, dtype=np.int32), [len(rows[i][0]) for i in order])
+        term = np.concatenate([rows[i][0] for i in order] or [np.zeros(0, np.int32)]).astype(np.int32)
+        weight = np.concatenate([rows[i][1] for i in order] or [np.zeros(0)]).astype(np.float32)
+        df = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.n, len(common)), np.float32)
+        own = self.column[term] >= 0
+        self.dense[at[own], self.column[term[own]]] = weight[own]
+        at, term, weight = at[~own], term[~own], weight[~own]
         by = np.argsort(term, kind="stable")
-        at, term, weight = at[by], term[by], weight[by]
-        self.at, self.weight = at, weight
-        starts = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(at // BLOCK) != 0)]) if len(term) else np.zeros(0, int)
-        self.block = at[starts] // BLOCK if len(term) else starts
-        self.top = np.maximum.reduceat(weight, starts) if len(term) else np.zeros(0)
-        self.bounds = np.r_[starts, len(term)]
-        self.of_term = np.searchsorted(term[starts] if len(term) else term, np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.at, self.weight = at[by], weight[by]
+        self.of_term = np.r_[0, np.cumsum(np.bincount(term, minlength=n_terms))]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1, ties: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest with a cosine over 0; ``leave_out`` is a position that doesn't count."""
-        limit = np.zeros(self.n_blocks)
-        spans = [(w, slice(self.of_term[t], self.of_term[t + 1])) for t, w in zip(terms, weights)]
-        for w, s in spans:
-            limit[self.block[s]] += w * self.top[s]
-        order = np.argsort(-limit, kind="stable")
-        order = order[limit[order] > 0]
-        found, near, done, step, least = np.zeros(0, np.int64), np.zeros(0), 0, 32, 0.0
-        while done < len(order) and limit[order[done]] > least + 1e-12:
-            part = np.sort(order[done : done + step])
-            scores = np.zeros(len(part) * BLOCK)
-            for w, s in spans:
-                blocks = self.block[s]
-                i = np.searchsorted(blocks, part)
-                ok = (i < len(blocks)) & (blocks[np.minimum(i, len(blocks) - 1)] == part) if len(blocks) else np.zeros(len(part), bool)
-                own = np.flatnonzero(ok)
-                a = self.bounds[s.start + i[own]]
-                n = self.bounds[s.start + i[own] + 1] - a
-                posts = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                scores[np.repeat((own - part[own]) * BLOCK, n) + self.at[posts]] += w * self.weight[posts]
-            hit = np.flatnonzero(scores > 0)
-            found = np.concatenate([found, part[hit // BLOCK] * BLOCK + hit % BLOCK])
-            near = np.concatenate([near, scores[hit]])
-            own = found != leave_out
-            found, near = found[own], near[own]
-            best = np.lexsort((found, -near))[:k]
-            found, near = found[best], near[best]
-            least = near[-1] if len(near) == k else 0.0
-            done, step = done + step, step * 4
-        return found, near
+        return next(self.nearest_of([(terms, weights)], k, [leave_out], ties))
+
+    def nearest_of(self, queries: list, k: int, leave_out: list[int] | None = None, ties: bool = False):
+        """``nearest`` of each query; with ``ties`` all examples as near as the k-th."""
+        for s in range(0, len(queries), TEXTS):
+            some = queries[s : s + TEXTS]
+            q = np.zeros((len(some), self.dense.shape[1]))
+            for i, (t, w) in enumerate(some):
+                c = self.column[t]
+                q[i, c[c >= 0]] = w[c >= 0]
+            near = q.astype(np.float32) @ self.dense.T
+            for i, (t, w) in enumerate(some):
+                yield self._best(t, w, q[i], near[i], k, -1 if leave_out is None else leave_out[s + i], ties)
+
+    def _best(self, t, w, q, near, k, leave_out, ties):
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        rare = self.column[t] < 0
+        t, w = t[rare], w[rare]
+        a = self.of_term[t]
+        n = self.of_term[t + 1] - a
+        posts = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        other = np.bincount(self.at[posts], np.repeat(w, n) * self.weight[posts], self.n)
+        near = near + other.astype(np.float32)
+        if leave_out >= 0:
+            near[leave_out] = -1
+        # k blocks have an example as near as the k-th largest of the blocks' maxima, so none farther is among the k nearest
+        tops = np.maximum.reduceat(near, np.arange(0, self.n, BLOCK))
+        least = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else 0.0
+        found = np.flatnonzero((near > 0) & (near >= least - 1e-4))
+        if len(found) > k:
+            found = found[near[found] >= np.partition(near[found], len(found) - k)[len(found) - k] - 1e-4]
+        exact = (self.dense[found] * q).sum(1) + other[found]
+        by = np.lexsort((found, -exact))
+        found, exact = found[by], exact[by]
+        last = k
+        if ties and len(found) > k:
+            last = int((exact >= exact[k - 1] - TIE).sum())
+        return found[:last], exact[:last]
 
 
 def vote(near: np.ndarray, labels: np.ndarray, base: float) -> float:
@@ -133,10 +163,12 @@ def vote(near: np.ndarray, labels: np.ndarray, base: float) -> float:
 
 
 class ToxicityModel:
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]]):
-        self.terms_of, self.idf = TermsOf({t: i for i, t in enumerate(terms)}), idf
-        examples = sorted(examples)
-        rows = [self._unit(np.array(t, np.int64), np.array(c, float)) for _, _, t, c in examples]
+    """Examples are (id, label, terms, counts, whether they have words)."""
+
+    def __init__(self, terms: list[str], n_words: int, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray, bool]]):
+        self.terms_of, self.weight_of = TermsOf(terms, n_words), weight
+        examples = sorted(examples, key=lambda e: (e[0], e[1]))
+        rows = [self._unit(t, c) for _, _, t, c, _ in examples]
         y, ids = np.array([e[1] for e in examples], float), np.array([e[0] for e in examples], np.int64)
         some = np.array([len(r[0]) > 0 for r in rows], bool)
         share = lambda v, n: float((v.sum() + n) / (len(v) + 1)) if len(v) else 0.0
@@ -144,28 +176,24 @@ class ToxicityModel:
         self.blank = share(y[~some], self.base) if (~some).any() else self.base
         kept = [r for r, s in zip(rows, some) if s]
         self.index = BlockMaxIndex(kept, y[some], ids[some], len(terms))
-        self.known: dict = {}
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate(kept, ids[some], y[some])
+        self._calibrate(kept, y[some])
 
     def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(np.maximum(counts, 1))) * self.idf[terms] if len(terms) else np.zeros(0)
+        w = (1 + np.log(np.maximum(counts, 1))) * self.weight_of[terms] if len(terms) else np.zeros(0)
         n = np.sqrt((w**2).sum())
-        return (terms[w > 0], w[w > 0] / n) if n > 0 else (terms[:0], w[:0])
+        return (terms, w / n) if n > 0 else (terms[:0], w[:0])
 
-    def _calibrate(self, rows, ids, y) -> None:
+    def _calibrate(self, rows, y) -> None:
         """Logistic scale over left-one-out votes, by Newton steps with a weak pull to the identity."""
         if len(np.unique(y)) < 2:
             return
-        place = {int(i): p for p, i in enumerate(self.index.ids)}
         some = np.unique(np.linspace(0, len(rows) - 1, min(len(rows), CALIBRATED)).astype(int))
-        rows, ids, y, z = [rows[k] for k in some], ids[some], y[some], []
+        y = y[some]
         if len(np.unique(y)) < 2:
             return
-        for (t, w), i in zip(rows, ids):
-            found, near = self.index.nearest(t, w, NEIGHBOURS, place[int(i)])
-            z.append(vote(near, self.index.labels[found], self.base))
-        z = np.clip(np.array(z), 1e-3, 1 - 1e-3)
+        near = self.index.nearest_of([rows[k] for k in some], NEIGHBOURS, some.tolist(), True)  # rows are in the order of ids, as the index is
+        z = np.clip(np.array([vote(c, self.index.labels[found], self.base) for found, c in near]), 1e-3, 1 - 1e-3)
         x = np.stack([np.log(z / (1 - z)), np.ones(len(z))], 1)
         b = np.array([1.0, 0.0])
         for _ in range(20):
@@ -174,88 +202,108 @@ class ToxicityModel:
             b = np.clip(b, [0.2, -4.0], [4.0, 4.0])  # steps from few examples mustn't run away
         self.slope, self.shift = float(b[0]), float(b[1])
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """(probability, neighbours' ids, cosines)."""
-        key = (*terms, -1, *counts) if len(terms) != 1 else (terms[0],)  # a single term's unit vector is the same for any count
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            t, w = self._unit(np.array(terms, np.int64), np.array(counts, float))
-            found, near = self.index.nearest(t, w, NEIGHBOURS) if len(t) else (t, w)
+    def score(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(probability, first neighbours' ids, their cosines) of each text."""
+        vectors = [self.terms_of.vector(t) for t in texts]
+        out = []
+        for (found, near), (_, _, some) in zip(self.index.nearest_of([self._unit(t, c) for t, c, _ in vectors], NEIGHBOURS, None, True), vectors):
             if len(found):
                 z = min(max(vote(near, self.index.labels[found], self.base), 1e-3), 1 - 1e-3)
                 p = 1 / (1 + np.exp(-(self.slope * np.log(z / (1 - z)) + self.shift)))
             else:
-                p = self.blank
-            self.known[key] = (float(p), self.index.ids[found], near)
-        return self.known[key]
+                p = self.base if some else self.blank
+            out.append((float(p), self.index.ids[found[:NEIGHBOURS]], near[:NEIGHBOURS]))
+        return out
 
 
-def _terms(examples: DataFrame, most: int) -> list[str]:
-    """The vocabulary: terms whose presence depends on y, by chi-square over the examples."""
+def _terms(examples: DataFrame, most: int) -> tuple[list[str], int, np.ndarray]:
+    """The terms, how many of them are words (they come first), and each one's weight by chi-square over the examples."""
 
     def count(batches):
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 part, seen = b.slice(at, AT_ONCE), (Counter(), Counter())
                 for t, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist()):
-                    seen[y > 0].update({f for w in set(words(t)) for f in forms(w)})
+                    own = set(words(t))
+                    seen[y > 0].update([(w, True) for w in own])
+                    seen[y > 0].update({(f, False) for w in own for f in forms(w)[:-1]})
                 terms = list(seen[0] | seen[1])
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[t] for t in terms], pa.int64()) for s in seen]], ["term", "n0", "n1"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t for t, _ in terms], pa.string()), pa.array([w for _, w in terms], pa.bool_()), *[pa.array([s[t] for t in terms], pa.int64()) for s in seen]], ["term", "word", "n0", "n1"]
+                )
 
     t0, t1 = [int(x or 0) for x in examples.agg(F.sum(F.expr("int(y <= 0)")), F.sum(F.expr("int(y > 0)"))).first()]
     n = t0 + t1
-    by_term = examples.select("text", "y").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    by_term = examples.select("text", "y").mapInArrow(count, "term string, word boolean, n0 long, n1 long").groupBy("term", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     df = F.col("n0") + F.col("n1")
     chi = F.lit(float(n)) * F.pow(F.col("n1") * float(t0) - F.col("n0") * float(t1), 2) / (F.lit(float(t0) * t1) * df * (F.lit(float(n)) - df))
-    found = by_term.where(df >= LEAST_DF).where(df < n).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(most)
-    return ["", *sorted(r["term"] for r in found.collect())] if t0 and t1 else [""]
+    sound = (df >= LEAST_DF) & (df < n) & F.lit(t0 > 0 and t1 > 0)
+    weighed = staged(by_term.select("term", "word", F.when(sound, chi).otherwise(0.0).alias("chi")), "examples-terms")
+    starts = weighed.where(~F.col("word") & (F.col("chi") >= LEAST_CHI)).orderBy(F.desc("chi"), "term").limit(most)
+    parts = [d.select("term", "chi").orderBy("term").toArrow() for d in (weighed.where("word"), starts)]  # bounded by the sample
+    terms = [t for p in parts for t in p.column("term").to_pylist()]
+    return terms, parts[0].num_rows, 1 + np.sqrt(np.concatenate([p.column("chi").to_numpy() for p in parts]) / LEAST_CHI)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MOST_EXAMPLES, most_terms: int = MOST_TERMS) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and the vectors (doc_id, terms, counts) of all documents, which are staged for scoring."""
-    texts, sample = id_and_text(docs), sample_labels(labels, "toxic", learn_from, most)
-    terms = _terms(with_labels(texts, sample), most_terms)
-    place = {t: i for i, t in enumerate(terms)}
+def _frequencies(texts: DataFrame, terms_of: TermsOf) -> tuple[int, np.ndarray]:
+    """The number of documents, and that with each term; a task sends one vector in slices."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms_of)
+    size = len(terms_of.terms)
+    cuts = np.linspace(0, size, SLICES + 1).astype(int).tolist()
 
-    def run(batches):
-        terms_of = TermsOf(place)
+    def count(batches):
+        terms_of, df, n = shared.value, np.zeros(size, np.int64), 0
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
-                part = b.slice(at, AT_ONCE)
-                found = [terms_of.vector(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]], ["doc_id", "terms", "counts"]
-                )
+                part = b.column("text").slice(at, AT_ONCE).to_pylist()
+                n += len(part)
+                if part:
+                    df += np.bincount(np.concatenate([terms_of.vector(t)[0] for t in part]), minlength=size)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([df[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["slice", "n", "df"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer() or b"", np.int64) for x in t.column("df"))
+        return pa.table({"slice": t.column("slice")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "df": pa.array([total.tobytes()], pa.binary())})
 
-    vectors = staged(texts.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>"), "terms")
-    n = vectors.count()
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the vocabulary
-        df[r["t"]] = r["count"]
-    rows = with_labels(vectors, sample).select("label_id", "y", "terms", "counts").collect()
-    return ToxicityModel(terms, 1 + np.log((n + 1) / (df + 1)), [tuple(r) for r in rows]), vectors
+    schema = "slice int, n long, df binary"
+    rows = sorted(tuple(r) for r in texts.select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect())
+    return (rows[0][1], np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])) if rows else (0, np.zeros(size, np.int64))
+
+
+def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MOST_EXAMPLES, most_terms: int = MOST_TERMS) -> tuple[ToxicityModel, DataFrame]:
+    """The model, and (doc_id, text) of all documents for scoring."""
+    texts, sample = id_and_text(docs), sample_labels(labels, "toxic", learn_from, most)
+    chosen = staged(with_labels(texts, sample).select("label_id", "y", "text"), "examples")
+    terms, n_words, weight = _terms(chosen, most_terms)
+    terms_of = TermsOf(terms, n_words)
+    n, df = _frequencies(texts, terms_of)
+    examples = []
+    for r in chosen.toLocalIterator():  # texts one partition at a time, only their vectors stay
+        t, c, some = terms_of.vector(r["text"])
+        examples.append((r["label_id"], r["y"], t, c, some))
+    return ToxicityModel(terms, n_words, weight * (1 + np.log((n + 1) / (df + 1))), examples), texts
 
 
 EVIDENCE = ", neighbours array<long>, cosines array<double>"
 
 
-def score(vectors: DataFrame, model: ToxicityModel, evidence: bool = False) -> DataFrame:
-    """doc_id, score, predicted and, on demand, the examples that voted."""
-    shared = vectors.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_EXAMPLES
+def score(texts: DataFrame, model: ToxicityModel, evidence: bool = False) -> DataFrame:
+    """doc_id, score, predicted and, on demand, the first examples that voted."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_EXAMPLES
     schema = "doc_id long, score double, predicted int" + (EVIDENCE if evidence else "")
 
     def run(batches):
         model = shared.value
         for b in batches:
-            got = [model.score(t, c) for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist())]
+            got = [g for at in range(0, b.num_rows, AT_ONCE) for g in model.score(b.column("text").slice(at, AT_ONCE).to_pylist())]
             s = np.array([g[0] for g in got], float)
             columns = [b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             if evidence:
                 columns += [pa.array([g[1].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2].tolist() for g in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "neighbours", "cosines"][: len(columns)])
 
-    return vectors.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, most: float = 0.5) -> DataFrame:
@@ -267,13 +315,13 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, most: float = 0.5) -> Data
         for b in batches:
             texts = b.column("text").fill_null("")
             for at in range(0, b.num_rows, AT_ONCE):
-                keep = [model.score(*model.terms_of.vector(t))[0] < most for t in texts.slice(at, AT_ONCE).to_pylist()]
-                yield b.slice(at, AT_ONCE).filter(pa.array(keep))
+                keep = [g[0] < most for g in model.score(texts.slice(at, AT_ONCE).to_pylist())]
+                yield b.slice(at, AT_ONCE).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, most: int = MOST_EXAMPLES, evidence: bool = False) -> DataFrame:
     """Score all documents by examples whose labels aren't held out."""
-    model, vectors = learn(docs, labels, learns(modulus, held), most)
-    return score(vectors, model, evidence).withColumn("held_out", held_out(modulus, held))
+    model, texts = learn(docs, labels, learns(modulus, held), most)
+    return score(texts, model, evidence).withColumn("held_out", held_out(modulus, held))

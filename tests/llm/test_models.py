@@ -57,6 +57,25 @@ def test_toxicity_of_odd_rows(edge, empty, corpus):
     assert toxicity.toxicity(empty, corpus[1]).count() == 0
 
 
+def test_toxicity_of_rare_words(spark):
+    """Words in fewer than five examples, and examples as near as the 16th, count too."""
+    import random
+
+    r, rows = random.Random(3), []
+    for i in range(200):
+        toxic = i % 2
+        rows.append((i, " ".join(f"{r.choice('abcdefgh')}{r.choice('aeiou')}{r.choice('klmnrst')}" for _ in range(20)) + (" trashy" if toxic else ""), toxic))
+    rare = "der dummkopf {} ist ein trottel"
+    rows += [(200 + i, rare.format(w), 1) for i, w in enumerate(("heute", "morgen", "wieder"))] + [(300, rare.format("gestern"), None)]
+    rows += [(400 + i, "gleich", int(i >= 16)) for i in range(60)] + [(500, "gleich", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
+    model, texts = toxicity.learn(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r for r in toxicity.score(texts, model, True).where("doc_id in (300, 500)").collect()}
+    assert set(got[300]["neighbours"][:3]) == {200, 201, 202} and got[300]["predicted"] == 1
+    assert got[500]["predicted"] == 1  # the 16 smallest ids of the 60 equal ones are clean, most are toxic
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(1)
     rows = []
