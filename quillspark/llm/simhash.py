@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import components, id_and_text, staged
 
@@ -206,8 +206,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, reach: int = 4, shard: int
     )
 
 
-#: The stage's sketches: so many smallest shingle hashes estimate the likeness of a candidate pair.
-SKETCH = 128
+#: The stage's sketches: so many smallest shingle hashes tell which candidate pairs are compared in full.  The estimate's
+#: standard error is 0.035 at a likeness of 0.8, so a margin of 0.2 loses no pair that matters.
+SKETCH, MARGIN = 128, 0.2
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -222,33 +223,46 @@ def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (~new & counted).sum(1) / np.maximum(1, (new & counted).sum(1))
 
 
+def _in_full(one: bytes, other: bytes) -> float:
+    """Jaccard likeness of two sets given as sorted hashes."""
+    a, b = np.frombuffer(one, "<u8"), np.frombuffer(other, "<u8")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
 def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 14, shard: int = SHARD) -> DataFrame:
-    """(doc_id, component_id) of documents by shingle likeness: candidates within ``reach`` bits, kept if their sketches agree.
+    """(doc_id, text_key, component) of documents by shingle likeness: candidates within ``reach`` bits whose whole sets agree.
 
-    A likeness of 0.8 leaves SimHash fingerprints some 10 bits apart, give or
-    take 3, which is far more than a few bits but would also let unlike texts
-    meet; so each candidate pair is verified by bottom-k sketches, and only
-    texts whose numbers of distinct shingles allow the likeness are compared:
-    they live in classes of sizes and visit the next class.
+    A likeness of 0.8 leaves them some 10 bits apart, give or take 3, which would
+    also let unlike texts meet; so of each candidate pair that sketches don't
+    rule out the whole shingle sets are compared, and only texts whose numbers
+    of distinct shingles allow the likeness meet: they live in classes of sizes
+    and visit the next class.  A component is named by the hash of a set.
     """
     ratio = 1 / similarity
 
     def describe(batches):
+        import xxhash
+
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 part, rows = b.slice(at, AT_ONCE), []
                 for t in part.column("text").to_pylist():
                     h = shingle_hashes(t, words)
                     u = np.unique(h)
-                    rows.append((majority(h), len(u), u[:SKETCH].tobytes()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "print", "size", "sketch"])
-
-    marks = staged(id_and_text(docs).where("doc_id is not null").mapInArrow(describe, "doc_id long, print long, size long, sketch binary"), "marks")
-    same = ["print", "size", "sketch"]
-    least = staged(marks.groupBy(*same).agg(F.min("doc_id").alias("least")).withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(ratio)) + 1e-9).cast("int")), "distinct")
-    n = least.count()
-    counts = {r["class"]: r["count"] for r in least.groupBy("class").count().collect()}  # a row per class: under 200 for any text
-    sampled = least.where(F.pmod(F.xxhash64("least"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))).select("class", "print").limit(2 * SAMPLE).collect()
+                    raw = u.tobytes()
+                    rows.append((majority(h), len(u), int(np.uint64(xxhash.xxh64_intdigest(raw, 7)).view(np.int64)), raw))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_key"), *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "text_key", "print", "size", "node", "shingles"]
+                )
+
+    keyed = id_and_text(docs).where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+    marks = staged(keyed.mapInArrow(describe, "doc_id long, text_key long, print long, size long, node long, shingles binary"), "marks")
+    size_class = F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(ratio)) + 1e-9).cast("int")
+    distinct = staged(marks.select("print", "size", "node", "shingles").dropDuplicates(["node"]).withColumn("class", size_class), "distinct")
+    n = distinct.count()
+    counts = {r["class"]: r["count"] for r in distinct.groupBy("class").count().collect()}  # a row per class: under 200 for any text
+    sampled = distinct.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))).select("class", "print").limit(2 * SAMPLE).collect()
     trees = {}
     for c, size in counts.items():
         x = np.sort(np.array([r["print"] for r in sampled if r["class"] == c], np.int64)).view(np.uint64)
@@ -266,35 +280,37 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int =
                         if len(go):
                             rows = b.take(pa.array(at[go]))
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array([f"{own}/{leaf}"] * len(go)), *[rows.column(name) for name in ("print", "size", "sketch", "least")], pa.array(home)], ["shard", "print", "size", "sketch", "least", "home"]
+                                [pa.array([f"{own}/{leaf}"] * len(go)), *[rows.column(name) for name in ("print", "size", "shingles", "node")], pa.array(home)], ["shard", "print", "size", "shingles", "node", "home"]
                             )
 
     def link(t: pa.Table) -> pa.Table:
-        t = t.sort_by("least")
+        t = t.sort_by("node")
+        full = t.column("shingles").to_pylist()
         sketches = np.full((t.num_rows, SKETCH), 2**64 - 1, np.uint64)
-        for i, raw in enumerate(t.column("sketch").to_pylist()):
-            sketches[i, : len(raw) // 8] = np.frombuffer(raw, "<u8")
+        for i, raw in enumerate(full):
+            few = np.frombuffer(raw[: 8 * SKETCH], "<u8")
+            sketches[i, : len(few)] = few
         size = t.column("size").to_numpy().astype(float)
 
         def holds(a, b):
-            good = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
-            good[good] = likeness(sketches[a[good]], sketches[b[good]]) >= similarity
+            good = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+            good[good] = likeness(sketches[a[good]], sketches[b[good]]) >= similarity - MARGIN
+            good[good] = [_in_full(full[i], full[j]) >= similarity for i, j in zip(a[good].tolist(), b[good].tolist())]
             return good
 
         label = forest(t.num_rows, near_pairs(t.column("print").to_numpy().view(np.uint64), t.column("home").to_numpy(), reach), holds)
-        a, ids = np.flatnonzero(label != np.arange(t.num_rows)), t.column("least").to_numpy()
+        a, ids = np.flatnonzero(label != np.arange(t.num_rows)), t.column("node").to_numpy()
         return pa.table({"a": ids[a], "b": ids[label[a]]})
 
-    dealt = least.mapInArrow(deal, "shard string, print long, size long, sketch binary, least long, home boolean")
-    found = components(dealt.groupBy("shard").applyInArrow(link, "a long, b long"))
-    named = least.join(found, F.col("least") == F.col("node"), "left").select(*[F.col(c).alias(f"of_{c}") for c in same], F.coalesce("component", "least").alias("component_id"))
-    return marks.join(named, [F.col(c) == F.col(f"of_{c}") for c in same]).select("doc_id", "component_id")
+    dealt = distinct.mapInArrow(deal, "shard string, print long, size long, shingles binary, node long, home boolean")
+    found = components(dealt.groupBy("shard").applyInArrow(link, "a long, b long")).withColumnRenamed("node", "of")
+    return marks.join(found, F.col("node") == F.col("of"), "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each group, and without repeated rows of an id; rows with no id stay."""
-    extra = alike(docs, words, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("extra_id")).distinct()
-    kept = docs.join(extra, docs["doc_id"] == extra["extra_id"], "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    named = kept.where("doc_id is not null").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn")
-    return named.unionByName(kept.where("doc_id is null"))
+    """``docs`` with one row of each group, that of the smallest doc_id (and text hash, where an id has several texts); rows with no id stay."""
+    first = alike(docs, words, similarity).groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text"))
+    named = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = named.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where("doc_id is null"))

@@ -188,3 +188,21 @@ def test_one_of_each(spark, edge, empty):
     ids = [r["doc_id"] for r in out.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 7, 11, 12, 13, 14, 50] and None in ids
     assert simhash.one_of_each(empty).count() == 0
+
+
+def test_alike_is_exact(spark):
+    """Groups by whole shingle sets, near the threshold too."""
+    r = np.random.default_rng(2)
+    texts = []
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(250)]
+        for k in r.choice(250, r.integers(1, 8), replace=False):
+            words[k] = "other"
+        texts += [" ".join(f"w{i}x{k}" for k in range(250)), " ".join(words)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(sets))
+    for _ in range(5):
+        label = np.array([label[n].min() for n in near])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(docs).collect()) == sorted(set(label.tolist()))
