@@ -230,10 +230,11 @@ def _in_full(one: bytes, other: bytes) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 14, shard: int = SHARD) -> DataFrame:
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 24, shard: int = SHARD) -> DataFrame:
     """(doc_id, text_key, component) of documents by shingle likeness: candidates within ``reach`` bits whose whole sets agree.
 
-    A likeness of 0.8 leaves them some 10 bits apart, give or take 3, which would
+    Fingerprints are those of the distinct shingles, as the likeness is.  A
+    likeness of 0.8 leaves them some 10 bits apart, give or take 3, which would
     also let unlike texts meet; so of each candidate pair that sketches don't
     rule out the whole shingle sets are compared, and only texts whose numbers
     of distinct shingles allow the likeness meet: they live in classes of sizes
@@ -248,10 +249,9 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int =
             for at in range(0, b.num_rows, AT_ONCE):
                 part, rows = b.slice(at, AT_ONCE), []
                 for t in part.column("text").to_pylist():
-                    h = shingle_hashes(t, words)
-                    u = np.unique(h)
+                    u = np.unique(shingle_hashes(t, words))
                     raw = u.tobytes()
-                    rows.append((majority(h), len(u), int(np.uint64(xxhash.xxh64_intdigest(raw, 7)).view(np.int64)), raw))
+                    rows.append((majority(u), len(u), int(np.uint64(xxhash.xxh64_intdigest(raw, 7)).view(np.int64)), raw))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_key"), *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "text_key", "print", "size", "node", "shingles"]
                 )

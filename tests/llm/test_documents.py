@@ -191,7 +191,7 @@ def test_one_of_each(spark, edge, empty):
 
 
 def test_alike_is_exact(spark):
-    """Groups by whole shingle sets, near the threshold too."""
+    """Groups by whole shingle sets, whatever the repeats in one copy, and near the threshold."""
     r = np.random.default_rng(2)
     texts = []
     for i in range(60):
@@ -199,6 +199,7 @@ def test_alike_is_exact(spark):
         for k in r.choice(250, r.integers(1, 8), replace=False):
             words[k] = "other"
         texts += [" ".join(f"w{i}x{k}" for k in range(250)), " ".join(words)]
+    texts += [texts[0] + "".join(" " + " ".join(f"w0x{k}" for k in range(40)) for _ in range(10))]  # a passage repeated in one copy
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
     label = np.arange(len(sets))
