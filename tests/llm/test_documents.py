@@ -207,3 +207,9 @@ def test_alike_is_exact(spark):
         label = np.array([label[n].min() for n in near])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.one_of_each(docs).collect()) == sorted(set(label.tolist()))
+
+
+def test_repeated_ids_with_different_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    docs = spark.createDataFrame([(1, one), (1, two), (1, two), (0, one), (2, three)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][0]) for r in simhash.one_of_each(docs).collect()) == [(0, "a"), (1, "b"), (2, "c")]
