@@ -11,8 +11,12 @@
    Found pairs are verified in double precision.  A pair counts in the shard
    that is the found node's first home, so no pair counts twice; shards return
    counts and a spanning forest, never all pairs of a group.
-5. Audit: for at most AUDIT nodes, links are counted by brute force over all
-   rows; under TARGET recall the search is run again with twice the visits.
+5. Audit: for a sample of nodes, links are counted by brute force over all rows.
+   Recall is averaged over nodes within strata of link counts, so large groups
+   don't hide single pairs, and the sample grows from AUDIT to at most
+   MOST_AUDIT nodes until each stratum has ENOUGH of them.  While the worst
+   stratum is under TARGET, or no sampled node has a link, the search is run
+   again with twice the visits, up to all shards.
 
 Defined results: rows whose vector is null, empty, zero or holds a null or
 non-finite component, or whose vec_id is null, link with nothing (their
@@ -31,7 +35,9 @@ from .common import components, staged
 
 SAMPLE, SHARD, HOMES, VISITS = 32_768, 512, 2, 6
 CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 48, 20, 1.2, 32, 0.05
-AUDIT, TARGET = 512, 0.99
+AUDIT, MOST_AUDIT, ENOUGH, TARGET = 512, 4096, 50, 0.99
+#: Least link counts of the audit's strata.
+STRATA = (1, 2, 16)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -203,11 +209,22 @@ def _search(nodes: DataFrame, merged: DataFrame, deal, least: float) -> DataFram
     return staged(dealt.groupBy("shard").applyInArrow(look, "vec long, n long, root long"), "found")
 
 
-def _recall(nodes: DataFrame, found: DataFrame, least: float, n: int) -> float:
-    """Share of the true links of a bounded sample of nodes that the search counted."""
-    sample = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(min(1.0, AUDIT / max(n, 1)) * (1 << 30))).limit(2 * AUDIT).toArrow()
+def _recall(nodes: DataFrame, found: DataFrame, least: float, n: int) -> float | None:
+    """The worst stratum's mean share of a node's true links that the search counted; None if no sampled node has a link."""
+    size = AUDIT
+    while True:
+        r = _audited(nodes, found, least, n, size)
+        strata = [r[(r[:, 0] >= a) & (r[:, 0] < b), 1] for a, b in zip(STRATA, (*STRATA[1:], np.inf))]
+        if size >= min(n, MOST_AUDIT) or all(len(x) >= ENOUGH for x in strata):
+            return min((float(x.mean()) for x in strata if len(x)), default=None)
+        size *= 8
+
+
+def _audited(nodes: DataFrame, found: DataFrame, least: float, n: int, size: int) -> np.ndarray:
+    """Rows of (true links, share of them counted) of about ``size`` nodes that have links."""
+    sample = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(min(1.0, size / max(n, 1)) * (1 << 30))).limit(2 * size).toArrow()
     if not sample.num_rows:
-        return 1.0
+        return np.zeros((0, 2))
     ids = sample.column("vec").to_numpy()
     lists = [np.array(v) for v in sample.column("v").to_pylist()]
 
@@ -229,8 +246,8 @@ def _recall(nodes: DataFrame, found: DataFrame, least: float, n: int) -> float:
 
     true = nodes.mapInArrow(count, "vec long, true long").groupBy("vec").agg(F.sum("true").alias("true"))
     got = found.groupBy("vec").agg(F.sum("n").alias("n"))
-    r = true.join(got, "vec", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    rows = true.where(F.col("true") > 0).join(got, "vec", "left").select("true", (F.least("true", F.coalesce("n", F.lit(0))) / F.col("true")).alias("share")).collect()  # at most the sample
+    return np.array([tuple(r) for r in rows], float).reshape(-1, 2)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, report: dict | None = None) -> DataFrame:
@@ -279,7 +296,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, report: dict | None
     while True:
         found = _search(nodes, merged, dealer(visits, True), least)
         recall = _recall(nodes, found, least, n)
-        if recall >= TARGET or visits >= most:
+        if (recall is not None and recall >= TARGET) or visits >= most:
             break
         visits *= 2
     if report is not None:

@@ -125,6 +125,20 @@ def test_embeddings(spark):
     assert embedding_graph.near_duplicates(rows.where("1 = 0")).count() == 0
 
 
+def test_audit_sees_single_pairs(spark):
+    """Large groups that are found don't hide pairs that aren't, and an audit without links proves nothing."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(280, 32))
+    x[:200] = x[0] + 0.05 * r.normal(size=(200, 32))
+    x[240:] = x[200:240] + 0.02 * r.normal(size=(40, 32))
+    n, _ = links(x)
+    assert (n[200:] == 1).all()
+    nodes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec long, v array<double>, copies long")
+    found = spark.createDataFrame([(i, int(k) if i < 240 else 0) for i, k in enumerate(n)], "vec long, n long")
+    assert embedding_graph._recall(nodes, found, 0.9, len(x)) == pytest.approx(0.5)
+    assert embedding_graph._recall(nodes.where("vec between 200 and 239"), found, 0.9, 40) is None
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(5, 9), (9, 7), (3, 3)] + [(1, k) for k in range(100, 300)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
