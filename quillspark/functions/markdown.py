@@ -68,15 +68,43 @@ def page_residue(lines: Column) -> Column:
     return F.filter(lines, lambda x: ~x.rlike(r"^\s*(?:PART\s*\d{1,2}|\d{2}|\d{1,2}-\d{1,2})\s*$"))
 
 
-def wrapped_lines(lines: Column) -> Column:
-    """A line is joined to the one before where a sentence was cut between CJK characters, up to 600 characters."""
+#: Lines that are never joined to others.
+_ALONE = (
+    r"^#{1,6}\s+|^\s*(?i:<!--\s*image\s*-->)\s*$|!\[[^\]]*\]\([^)]*\)|^\s*\|.*\|\s*$|^\s*[·•]|^\s*[-*+]\s+|^\s*\d{1,3}(?:[、.．)）]|\s)\s*\S"
+    r"|^\s*>|^\s*</?[a-zA-Z][^>]*>\s*$|^\s*[-*_](?:[-*_]\s*){2,}$"
+)
+_WIDE = r"[\u2e80-\u9fff\u3000-\u303f]"
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.coalesce(F.get(out, F.size(out) - 1), F.lit(""))
-        joins = last.rlike(rf"(?:{_CJK}|，|、)\s*$") & x.rlike(rf"^\s*{_CJK}") & ~last.rlike(_STRUCTURE) & ~x.rlike(_STRUCTURE) & (F.length(last) + F.length(x) <= 600)
-        return F.when(joins, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.rtrim(last), F.ltrim(x))))).otherwise(F.concat(out, F.array(x)))
 
-    return F.when(F.exists(lines, lambda x: x.rlike(_CJK)), F.aggregate(lines, F.array().cast("array<string>"), step)).otherwise(lines)
+def wrapped_lines(lines: Column) -> Column:
+    """Neighbouring plain lines become one, up to 600 characters, without a space between CJK ones; over blank lines only
+    where a sentence was cut between CJK characters.  Of identical neighbours one stays."""
+
+    def step(s: Column, x: Column) -> Column:
+        last, own = F.trim(s["last"]), F.trim(x)
+        blank, plain = x.rlike(r"^\s*$"), ~x.rlike(_ALONE)
+        total = F.length(last) + F.length(own)
+        goes_on = s["plain"] & plain & (total <= 600)
+        again = s["plain"] & ~s["blank"] & (x == s["line"])
+        soft = goes_on & ~s["blank"]
+        broken = goes_on & s["blank"] & (total >= 8) & last.rlike(r"[\u2e80-\u9fff，、：；％%]\s*$") & own.rlike("^" + _WIDE)
+        between = F.when(last.rlike(r"[\u2e80-\u9fff\u3000-\u303f\uff00-\uffef]$") & own.rlike("^" + _WIDE), "").otherwise(" ")
+        joined = F.concat(F.rtrim(s["last"]), between, F.ltrim(x))
+
+        def state(out, last, gap, plain, blank, line):
+            return F.struct(out.alias("out"), last.alias("last"), gap.alias("gap"), plain.alias("plain"), blank.alias("blank"), line.alias("line"))
+
+        no, yes, none = F.lit(False), F.lit(True), F.array().cast("array<string>")
+        return (
+            F.when(blank, state(s["out"], s["last"], F.concat(s["gap"], F.array(x)), s["plain"], yes, s["line"]))
+            .when(again, s)
+            .when(soft | broken, state(s["out"], joined, F.slice(s["gap"], 2, 1_000_000), yes, no, x))
+            .otherwise(state(F.concat(s["out"], F.filter(F.array(s["last"]), lambda y: y.isNotNull()), s["gap"]), x, none, plain, no, x))
+        )
+
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    start = F.struct(none.alias("out"), text.alias("last"), none.alias("gap"), F.lit(False).alias("plain"), F.lit(True).alias("blank"), text.alias("line"))
+    return F.aggregate(lines, start, step, lambda s: F.concat(s["out"], F.filter(F.array(s["last"]), lambda y: y.isNotNull()), s["gap"]))
 
 
 def external_links(lines: Column) -> Column:
@@ -85,13 +113,23 @@ def external_links(lines: Column) -> Column:
 
 
 def repeated_headings(lines: Column) -> Column:
-    """A heading goes where the same one stands within 16 lines above and only images and little text lie between."""
+    """A heading goes where the same one stands within 16 lines above, only images and little text lie between, and its own
+    body has an image and little text without an end of a sentence."""
+
+    def words(part: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.array_join(part, ""), r"!\[[^\]]*\]\([^)]*\)|(?i:<!--\s*image\s*-->)", ""), r"\s+", "")
+
+    def pictured(part: Column) -> Column:
+        return F.exists(part, lambda y: y.rlike(r"^\s*(?:(?i:<!--\s*image\s*-->)|!\[[^\]]*\]\([^)]*\))\s*$"))
 
     def again(x: Column, i: Column) -> Column:
         before = F.slice(lines, F.greatest(i - 15, F.lit(1)), F.least(i, F.lit(16)))
         between = F.slice(before, F.array_position(before, x).cast("int") + 1, 16)
-        words = F.regexp_replace(F.regexp_replace(F.array_join(between, ""), r"!\[[^\]]*\]\([^)]*\)", ""), r"\s+", "")
-        return x.rlike(_HEAD) & (i > 0) & F.array_contains(before, x) & F.exists(between, lambda y: y.rlike(r"!\[")) & (F.length(words) <= 20)
+        after = F.slice(lines, i + 2, 30)
+        end = F.array_position(F.transform(after, lambda y: y.rlike(_HEAD)), F.lit(True)).cast("int")
+        body = F.when(end > 0, F.slice(after, 1, F.greatest(end - 1, F.lit(0)))).otherwise(after)
+        short = (F.length(words(body)) <= 30) & ~words(body).rlike("[。；;]")
+        return x.rlike(_HEAD) & (i > 0) & F.array_contains(before, x) & pictured(between) & (F.length(words(between)) <= 20) & pictured(body) & short
 
     return F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), again(x, i).alias("again"))), lambda s: ~s["again"]), lambda s: s["x"])
 

@@ -60,6 +60,23 @@ def test_cleaner(spark):
     assert {r["t"]: r["c"] for r in rows.select("t", markdown.clean(F.col("t"), one_title=True).alias("c")).collect()} == CLEANED
 
 
+FAR = " ".join(f"p{i}q" for i in range(100, 180))
+WRAPPED = {
+    "a soft\nwrapped line\n\nanother": "a soft wrapped line\n\nanother",
+    "句子在这里被，\n\n分页切断了。": "句子在这里被，分页切断了。",
+    "基地\n\n直发": "基地\n\n直发",
+    "plain\n- item\n| a |\nplain": "plain\n- item\n| a |\nplain",
+    f"{FAR}\n{FAR[::-1]}": f"{FAR}\n{FAR[::-1]}",
+    "# A\n![](a.png)\n# A\n![](b.png)": "# A\n![](a.png)\n![](b.png)",
+    "# A\n![](a.png)\n# A\nits own body": "# A\n![](a.png)\n# A\nits own body",
+}
+
+
+def test_wraps_and_repeated_headings(spark):
+    rows = spark.createDataFrame([(t,) for t in WRAPPED], "t string")
+    assert {r["t"]: r["c"] for r in rows.select("t", markdown.clean(F.col("t")).alias("c")).collect()} == WRAPPED
+
+
 def test_sections_and_chunks(spark):
     docs = spark.createDataFrame([(1, "pre\n# Big\nintro\n## 标题1\n内容11。内容12。\n## 标题2\n内容21。内容22。"), (2, "no heading at all"), (3, ""), (4, None)], "doc_id long, text string")
     rows = chunking.chunk_tree(docs, 30, 0).orderBy("doc_id", "parent_section").collect()
