@@ -7,9 +7,11 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A table is emptied beyond this many chunks, and longer chunks are not kept: only memory is bounded, never what is encoded.
-MOST_CHUNKS, LONGEST_KEPT = 500_000, 64
+#: A table is emptied beyond this many chunks (of byte pairs) or words (of pieces), and longer chunks are not kept: only memory is bounded, never what is encoded.
+MOST_CHUNKS, MOST_WORDS, LONGEST_KEPT = 1_200_000, 500_000, 64
 
 #: White space as the pre-tokenizer's expression sees it, without the space and the line break.
 _OTHER = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,12 +45,35 @@ def space_chunks(text: str) -> list[str]:
     return out
 
 
+#: Words of Latin letters with marks of ASCII behind them, which the pre-tokenizer cuts into two at most: the letters, and the marks.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+#: Texts in which spaces and line breaks stand alone between words are split by Arrow, others by ``space_chunks``.
+_UNEVEN = f"^$|^[ \n]|  | \n|\n |\n\n|[ \n]$|[{_OTHER}]"
+
+
+def join_ids(table: list[bytes], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The table's entries put together in the order of ``codes``, cut after each number of codes in ``ends``."""
+    lengths = np.fromiter(map(len, table), np.int64, len(table)) >> 2
+    starts, counts = np.cumsum(lengths) - lengths, lengths[codes]
+    after = np.cumsum(counts)
+    ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(starts[codes] - after + counts, counts) + np.arange(after[-1] if len(after) else 0)].tobytes()
+    cuts = (4 * np.r_[0, after])[np.r_[0, ends]].tolist()
+    return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
 class BytePairs:
-    """Ids of whole texts by a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts by a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
+
+    Arrow splits the texts and numbers the distinct chunks; those that the
+    table doesn't hold yet are encoded, and the ids are put together by number.
+    The letters of plain words go to the library behind a pre-tokenizer that
+    only cuts between them; all other chunks go through its whole chain.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         line = self.lib.encode("\n", add_special_tokens=False).ids
@@ -58,6 +83,11 @@ class BytePairs:
         # around the strings of added tokens the library cuts otherwise: texts with one go to it whole
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.plain = self.lib.normalizer is None and [w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str("ab, c\nd")] == ["ab", ",", "\u0120c", "\u010a", "d"]
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Split("\u010a", "isolated")
+        # how the byte-level alphabet writes a character, as the pre-tokenizer itself shows it
+        self.written: dict[str, str] = {}
 
     @classmethod
     def of(cls, path: str) -> "BytePairs":
@@ -69,34 +99,89 @@ class BytePairs:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lots(self, keys: list[str], before: str) -> None:
-        """Encode many chunks by few calls: a line break is a token of its own between them."""
-        own = [k.lstrip("\n") for k in keys]
-        lots = range(0, len(keys), 256)
-        first = b"" if before == " " else array("I", [self.line]).tobytes()
-        for i, ids in zip(lots, self._ids([before + ("\n" + before.strip("\n")).join(own[i : i + 256]) for i in lots])):
-            cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == self.line)
-            if first:
-                cuts, ids = cuts[1:] - 1, ids[4:]
-            for k, a, b in zip(keys[i : i + 256], [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(ids)]):
-                self.known[k] = first + ids[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _write(self, word: str) -> str:
+        if word.isascii():
+            return word
+        for c in word:
+            if c not in self.written:
+                self.written[c] = self.lib.pre_tokenizer.pre_tokenize_str(c)[0][0]
+        return "".join([self.written[c] for c in word])
+
+    def _learn_words(self, keys: list[str]) -> None:
+        """Runs of letters, which stand behind a space unless their key starts with two."""
+        for i in range(0, len(keys), 1024):
+            part = keys[i : i + 1024]
+            text = "\u010a".join([self._write(k[2:]) if k[0] == " " else "\u0120" + (k if k.isascii() else self._write(k)) for k in part])
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts, raw = (4 * np.flatnonzero(ids == self.line)).tolist(), ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
+
+    def _learn(self, new: list[str]) -> None:
+        known, parts, other, letters = self.known, [], [], {}
+        marks: dict[str, None] = {}
+        for c in new:
+            start = c[0]
+            found = _PLAIN.fullmatch(c, 1 if start == "\n" else 2 if start == " " else 0) if self.plain else None
+            if found is None:
+                other.append(c)
+                continue
+            word, end = found.groups()
+            if start in " \n":
+                word = "  " + word
+            if word not in known:
+                letters[word] = None
+            if end:
+                end = "  " + end
+                if end not in known:
+                    marks[end] = None
+            if start == "\n" or end:
+                parts.append((c, start, word, end))
+        self._learn_words(list(letters))
+        other += marks
+        for i in range(0, len(other), 1024):
+            part = other[i : i + 1024]
+            known.update(zip(part, self._ids([c if c[0] == "\n" else c[2:] if c[0] == " " else " " + c for c in part])))
+        line = array("I", [self.line]).tobytes()
+        for c, start, word, end in parts:
+            ids = known[word] + known[end] if end else known[word]
+            known[c] = line + ids if start == "\n" else ids
+
+    def _table(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
         known = self.known
         if len(known) > MOST_CHUNKS:
             known.clear()
-        lists = [["  " + t] if any(a in t for a in self.added) else space_chunks(t) for t in texts]
-        new = list({c for x in lists for c in x if c not in known})
-        words = [c for c in new if c[0] not in "\n "]
-        self._lots(words, " ")
-        lines = [c for c in new if c[0] == "\n" and len(c) > 1 and c[1] not in " \n" and c[1] not in _OTHER]
-        self._lots(lines, "\n")
-        alone = [c for c in new if c not in known]
-        known.update(zip(alone, self._ids([c if c[0] == "\n" else c[2:] for c in alone])))
-        out = [b"".join(map(known.__getitem__, x)) for x in lists]
-        for c in new:
-            if len(c) > LONGEST_KEPT:
-                del known[c]
+        new = [k for k in keys if k not in known]
+        self._learn(new)
+        out = [known[k] for k in keys]
+        for k in new:
+            if len(k) > LONGEST_KEPT:
+                known.pop(k, None)
+                known.pop(_PLAIN.match(k).group(1) if _PLAIN.match(k) else k, None)
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        for a in self.added:
+            uneven = pc.or_(uneven, pc.match_substring(texts, a))
+        out: list = [None] * len(texts)
+        even = np.flatnonzero(~uneven.to_numpy(zero_copy_only=False))
+        if len(even):
+            lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
+            chunks, ends = lists.flatten().dictionary_encode(), np.cumsum(lists.value_lengths().to_numpy())
+            codes, names = chunks.indices.to_numpy().astype(np.int64), chunks.dictionary.to_pylist()
+            # the first chunk of a text has no space before it
+            first: dict[str, int] = {}
+            starts = np.r_[0, ends[:-1]]
+            codes[starts] = [first.setdefault("  " + names[c] if names[c][0] != "\n" else names[c], len(names) + len(first)) for c in codes[starts].tolist()]
+            for i, ids in zip(even.tolist(), join_ids(self._table(names + list(first)), codes, ends)):
+                out[i] = ids
+        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist():
+            t = texts[i].as_py()
+            keys = ["  " + t] if any(a in t for a in self.added) else space_chunks(t)
+            place = {k: j for j, k in enumerate(dict.fromkeys(keys))}
+            out[i] = join_ids(self._table(list(place)), np.array([place[k] for k in keys], np.int64), np.array([len(keys)]))[0]
         return out
 
 
@@ -138,7 +223,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids with begin and end as 32-bit bytes, decoded text) of each text."""
         known = self.known
-        if len(known) > MOST_CHUNKS:
+        if len(known) > MOST_WORDS:
             known.clear()
         lists = [self.marked(t) for t in texts]
         new = list({w for x in lists for w in x if w not in known})

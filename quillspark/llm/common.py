@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -46,6 +48,23 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
+    """Parts of an Arrow batch whose texts take at most so many bytes together; a longer text is a part of its own.
+
+    Arrow batches are bounded by rows and by
+    ``spark.sql.execution.arrow.maxBytesPerBatch``; this bounds what the
+    functions here hold beside a batch, however long its texts are.
+    """
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
+        yield batch.slice(at, to - at)
+        at, before = to, int(sizes[to - 1])
+
+
 def crc_bucket(doc_id: str, n: int):
     """crc32 of the id's decimal text, modulo ``n``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -2,7 +2,7 @@
 
 Documents are encoded where they lie; only those longer than a sequence are cut
 (the first piece takes the rest, all others are full).  Pieces are dealt by a
-hash into groups of a bounded size, the number of groups growing with the
+hash of their place in the table (so repeated ids and rows spread as well) into groups of a bounded size, the number of groups growing with the
 table, and each group is packed on its histogram of lengths: a sequence is
 filled greedily from the longest piece that fits, then its smallest piece is
 replaced by the two unpacked ones that fit the widened gap more tightly, where
@@ -10,7 +10,9 @@ there are such.  Each group ends with at most a few open sequences.
 
 Defined results: a null text counts as the empty one and has the end id alone;
 a null doc_id stays null; repeated rows are packed each; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are ignored.  Within a group pieces of one length are
+taken by doc_id, piece and crc, so ties don't depend on the order of arrival.
+A batch is encoded in parts of at most 8 MB of text, a longer text by itself.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import BytePairs
-from .common import id_and_text
+from .common import id_and_text, slices
 
-AT_ONCE = 256
 #: Documents a group is meant to have; a group's rows are some 50 bytes each.
 GROUP = 8192
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -97,9 +98,9 @@ def cut_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     def run(batches):
         coder, end = BytePairs.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, AT_ONCE):
-                part, rows = b.slice(at, AT_ONCE), []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
+            for part in slices(b):
+                rows = []
+                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text"))):
                     ids, start = ids + end, 0
                     for k, n in enumerate(cut(len(ids) // 4, most)):
                         own = ids[start * 4 : (start + n) * 4]
@@ -114,7 +115,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
 def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, with_ids: bool = True, group: int = GROUP) -> DataFrame:
     """Every piece with its sequence_id and its offset there, gapless from 0."""
     groups = max(1, -(-docs.count() // group))
-    pieces = cut_documents(docs, tokenizer, most, end_id, with_ids).withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    pieces = cut_documents(docs, tokenizer, most, end_id, with_ids).withColumn("bin_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = PIECE + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
 
     def fill(t: pa.Table) -> pa.Table:

@@ -6,7 +6,8 @@ per worker, and their ids are joined back by position.  Nothing is shuffled.
 Defined results: a null text counts as the empty one; the empty text has the
 begin and end ids alone and decodes to the empty text; repeated rows give
 repeated results; a null doc_id stays null; columns other than doc_id and text
-are ignored, whatever their names.
+are ignored, whatever their names.  A batch is encoded in parts of at most 1 MB
+of text, a longer text by itself.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import Pieces
-from .common import id_and_text
+from .common import id_and_text, slices
 
-#: Texts taken at a time, so that a batch's lists stay small.
+#: Id lists decoded at a time.
 AT_ONCE = 256
 
 
@@ -30,9 +31,8 @@ def encode_pieces(docs: DataFrame, model: str, digests: bool = False) -> DataFra
     def run(batches):
         coder = Pieces.of(model)
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text")
-            for at in range(0, b.num_rows, AT_ONCE):
-                got = coder.encode(texts.slice(at, AT_ONCE).to_pylist())
+            for part in slices(b, 1 << 20):
+                got = coder.encode(part.column("text").to_pylist())
                 counts = [len(x) // 4 for x, _ in got]
                 if digests:
                     one = [hashlib.sha256(x).hexdigest() for x, _ in got]
@@ -40,7 +40,7 @@ def encode_pieces(docs: DataFrame, model: str, digests: bool = False) -> DataFra
                 else:
                     one, two = pa.array([x for x, _ in got], pa.binary()), [d for _, d in got]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, AT_ONCE), pa.array(counts, pa.int64()), pa.array(one), pa.array(two, pa.string())],
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(one), pa.array(two, pa.string())],
                     ["doc_id", "n_tokens", *[x.split()[0] for x in names.split(", ")]],
                 )
 

@@ -6,17 +6,20 @@ its range and writes one shard of two files into the folder given:
 ``*.ids``  the ids of its documents one after another, little-endian unsigned
            16-bit (32-bit where the vocabulary needs it), nothing else;
 ``*.idx``  NumPy arrays: the documents' keys and offsets in file order, and a
-           hash-and-displace minimal perfect hash over the distinct keys, whose
-           slots hold a 32-bit fingerprint, the first row and the number of rows.
+           minimal perfect hash over the distinct keys, built in levels of bits,
+           whose slots hold a 32-bit fingerprint, the first row and the number of rows.
 
-A key is found in constant time: one displacement, one slot, one comparison.
+A key is found in constant time: a bit or two, a rank, one slot, one comparison.
+The number of shards follows the bytes of the texts.
 File names carry a random part and only committed tasks put theirs into the
 manifest, so retried, speculative and lost tasks leave nothing that is read.
 
 Defined results: a null text counts as the empty one (the end id alone); rows
 with a null doc_id come first, are stored and scanned, and can't be looked up;
-repeated doc_ids are stored in turn and a lookup returns each of their rows; an
-empty table gives an empty store; other columns are ignored.
+repeated doc_ids are stored in turn (in no fixed order among themselves) and a
+lookup returns each of their rows; an empty table gives an empty store; other
+columns are ignored.  A batch is encoded in parts of at most 8 MB of text, a
+longer text by itself.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .chunks import BytePairs
-from .common import id_and_text, new_path
+from .common import id_and_text, new_path, slices
 
 AT_ONCE = 256
+#: Bytes of text that a shard is meant to have, and levels of the hash; a level takes some three fifths of the keys it gets.
+SHARD_BYTES, LEVELS = 32 << 20, 32
 MANIFEST = "shard int, ids_path string, idx_path string, n_docs long, n_tokens long, least long, most long"
-#: Shards whose bounds a lookup takes to the tasks: 24 bytes each.
-MOST_SHARDS = 2_000_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -47,66 +50,53 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements by bucket and, by slot, the position of its key, for distinct int64 keys.
+def build_hash(keys: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The minimal perfect hash of distinct int64 keys, and by slot the position of its key.
 
-    Buckets of two or more keys are placed largest first by trying
-    displacements; single keys then take the free slots, whose numbers are
-    stored directly as ``-slot - 1``.
+    At each level the keys left are hashed into twice as many bits; those alone
+    at theirs set it, the others go on to the next level.  A key's slot is the
+    rank of its bit over all levels.  The few keys that no level takes are
+    listed, in order, behind the others.
     """
-    n = len(keys)
-    m = max(1, n // 4)
-    move, slots = np.zeros(m, np.int64), np.full(n, -1, np.int64)
-    if not n:
-        return move, slots
-    bucket = (_mix(keys, 1) % np.uint64(m)).astype(np.int64)
-    h, step = _mix(keys, 2) % np.uint64(n), np.uint64(1) + _mix(keys, 3) % np.uint64(max(1, n - 1))
-    order = np.argsort(bucket, kind="stable")
-    sizes = np.bincount(bucket, minlength=m)
-    ends = np.cumsum(sizes)
-    single = []
-    for b in np.argsort(-sizes, kind="stable"):
-        size = sizes[b]
-        if size == 0:
-            break
-        own = order[ends[b] - size : ends[b]]
-        if size == 1:
-            single.append((b, own[0]))
-            continue
-        d = 0
-        while True:
-            at = _slot(h[own], step[own], _mix(keys[own], 4 + d // 64), d, n)
-            if (slots[at] < 0).all() and len(set(at.tolist())) == size:
-                break
-            d += 1
-        slots[at], move[b] = own, d
-    free = np.flatnonzero(slots < 0)
-    for (b, k), s in zip(single, free):
-        slots[s], move[b] = k, -s - 1
-    return move, slots
-
-
-def _slot(h, step, salt, d, n):
-    """Slot at displacement d; beyond 64 tries another hash is salted in."""
-    with np.errstate(over="ignore"):
-        d = np.asarray(d, np.uint64)
-        return ((h + d * step + np.where(d >= 64, salt, np.uint64(0))) % np.uint64(n)).astype(np.int64)
-
-
-def find(keys: np.ndarray, move: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    left, bits, sizes = np.arange(len(keys)), [], []
+    owner = []
+    while len(left) and len(sizes) < LEVELS:
+        n = -(-2 * len(left) // 64) * 64
+        at = _at(keys[left], len(sizes), n)
+        alone = np.bincount(at, minlength=n)[at] == 1
+        own = np.full(n, -1, np.int64)
+        own[at[alone]] = left[alone]
+        bits.append(np.packbits(own >= 0, bitorder="little").view("<u8"))
+        owner.append(own[own >= 0])
+        sizes.append(n)
+        left = left[~alone]
+    left = left[np.argsort(keys[left])]
+    words = np.concatenate(bits or [np.zeros(0, "<u8")])
+    ones = np.bitwise_count(words).astype(np.int64)
+    return {"bits": words, "rank": np.cumsum(ones) - ones, "sizes": np.array(sizes, np.int64), "rest": keys[left]}, np.concatenate([*owner, left]).astype(np.int64)
+
+
+def _at(keys: np.ndarray, level: int, n: int) -> np.ndarray:
+    return (_mix(keys, level + 1) % np.uint64(n)).astype(np.int64)
+
+
+def find(keys: np.ndarray, ix: dict[str, np.ndarray], prints: np.ndarray) -> np.ndarray:
     """Slots of the keys, -1 where the stored fingerprint differs."""
-    n = len(prints)
-    if not n or not len(keys):
-        return np.full(len(keys), -1, np.int64)
-    d = move[(_mix(keys, 1) % np.uint64(len(move))).astype(np.int64)]
-    dd = np.maximum(d, 0)
-    salt = np.zeros(len(keys), np.uint64)
-    for k in np.unique(dd // 64):
-        if k:
-            salt[dd // 64 == k] = _mix(keys[dd // 64 == k], 4 + int(k))
-    at = _slot(_mix(keys, 2) % np.uint64(n), np.uint64(1) + _mix(keys, 3) % np.uint64(max(1, n - 1)), salt, dd, n)
-    at = np.where(d < 0, -d - 1, at)
-    return np.where(prints[at] == _print(keys), at, -1)
+    out, left, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
+    for level, n in enumerate(ix["sizes"].tolist()):
+        at = _at(keys[left], level, n) + base
+        word, bit = ix["bits"][at >> 6], (at & 63).astype(np.uint64)
+        hit = (word >> bit) & np.uint64(1) > 0
+        below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        out[left[hit]] = (ix["rank"][at >> 6] + below)[hit]
+        left, base = left[~hit], base + n
+    rest = ix["rest"]
+    if len(rest) and len(left):
+        at = np.minimum(np.searchsorted(rest, keys[left]), len(rest) - 1)
+        out[left] = np.where(rest[at] == keys[left], len(prints) - len(rest) + at, -1)
+    known = out >= 0
+    out[known] = np.where(prints[out[known]] == _print(keys[known]), out[known], -1)
+    return out
 
 
 def _print(keys: np.ndarray) -> np.ndarray:
@@ -133,12 +123,11 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
         store, root = _files(folder)
         name, keys, missing, counts, out = f"{shard:06d}-{uuid.uuid4().hex}", [], [], [], None
         for b in batches:
-            for at in range(0, b.num_rows, AT_ONCE):
+            for part in slices(b):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.ids")
-                part = b.slice(at, AT_ONCE)
-                got = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in coder.encode(part.column("text").to_pylist())]
+                got = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in coder.encode(part.column("text"))]
                 out.write(b"".join(got))
                 counts += [len(x) // kind.itemsize for x in got]
                 missing.append(part.column("doc_id").is_null().to_numpy(zero_copy_only=False))
@@ -149,9 +138,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
         keys, missing = np.concatenate(keys).astype(np.int64), np.concatenate(missing)
         known = np.flatnonzero(~missing)
         one, first, rows = np.unique(keys[known], return_index=True, return_counts=True)
-        move, slots = build_hash(one)
+        hashed, slots = build_hash(one)
         held = io.BytesIO()
-        np.savez(held, width=kind.itemsize, keys=keys, missing=missing, offsets=np.concatenate([[0], np.cumsum(counts)]), move=move, prints=_print(one[slots]), first=known[first][slots] if len(known) else first, rows=rows[slots])
+        np.savez(held, width=kind.itemsize, keys=keys, missing=missing, offsets=np.concatenate([[0], np.cumsum(counts)]), **hashed, prints=_print(one[slots]), first=known[first][slots] if len(known) else first, rows=rows[slots])
         with store.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(held.getvalue())
         bounds = [[int(one[0])], [int(one[-1])]] if len(one) else [[None], [None]]
@@ -161,7 +150,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
         )
 
     rows = id_and_text(docs)
-    rows = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
+    if not shards:
+        shards = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    rows = rows.repartitionByRange(shards, "doc_id")
     rows.sortWithinPartitions("doc_id").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
@@ -180,6 +171,7 @@ def _open(store_of, idx_path: str):
 
 FOUND = "doc_id long, start long, n_tokens long, ids binary"
 FOUND_CRC = "doc_id long, start long, n_tokens long, ids_crc32 long"
+OUT, OUT_CRC = [pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), last]) for last in (("ids", pa.binary()), ("ids_crc32", pa.int64()))]
 
 
 def _payload(f, ix: dict, base: int, rows: np.ndarray, digests: bool):
@@ -204,7 +196,7 @@ def read_store(spark: SparkSession, folder: str, digests: bool = False) -> DataF
             for row in b.to_pylist():
                 ix = _open(_files, row["idx_path"])
                 keys = ix["keys"][~ix["missing"]]
-                slots = find(np.unique(keys), ix["move"], ix["prints"])
+                slots = find(np.unique(keys), ix, ix["prints"])
                 if (slots < 0).any():
                     raise RuntimeError(f"the index of {row['idx_path']} doesn't know its own keys")
                 first, count = ix["first"][slots], ix["rows"][slots]
@@ -220,28 +212,34 @@ def read_store(spark: SparkSession, folder: str, digests: bool = False) -> DataF
 def lookup(spark: SparkSession, folder: str, keys: DataFrame, digests: bool = False) -> DataFrame:
     """The stored rows of the distinct ``doc_id`` of ``keys``; unknown ones give no row.
 
-    Keys are routed to shards by the manifest's bounds (24 bytes a shard, at
-    most MOST_SHARDS of them) and read with ranged reads.
+    The shards' ranges of keys don't overlap, so a key is routed by a search
+    among their bounds, 24 bytes a shard of SHARD_BYTES of text; keys then meet
+    their shard's files by an equi-join, and each shard is opened once.
     """
-    shards = [r.asDict() for r in manifest(spark, folder).where("least is not null").orderBy("least").limit(MOST_SHARDS + 1).collect()]
-    if len(shards) > MOST_SHARDS:
-        raise ValueError("too many shards to route by; write the store with fewer")
-    least, most = np.array([s["least"] for s in shards], np.int64), np.array([s["most"] for s in shards], np.int64)
+    shards = manifest(spark, folder)
+    bounds = shards.where("least is not null").select("shard", "least", "most").orderBy("least").toArrow()
+    number, least, most = [bounds.column(c).to_numpy() for c in bounds.column_names]
 
-    def run(batches):
+    def route(batches):
         for b in batches:
             want = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for k in range(len(shards)):
-                own = want[(want >= least[k]) & (want <= most[k])]
-                if not len(own):
-                    continue
-                ix = _open(_files, shards[k]["idx_path"])
-                slots = find(own, ix["move"], ix["prints"])
-                slots = slots[slots >= 0]
-                rows = np.concatenate([np.arange(f, f + c) for f, c in zip(ix["first"][slots], ix["rows"][slots])] or [np.zeros(0)]).astype(np.int64)
-                rows = rows[np.isin(ix["keys"][rows], own)]
-                store, path = _files(shards[k]["ids_path"])
-                with store.open_input_file(path) as f:
-                    yield from _payload(f, ix, shards[k]["base"], rows, digests)
-
-    return keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().repartitionByRange("doc_id").mapInArrow(run, FOUND_CRC if digests else FOUND)
+            at = np.searchsorted(least, want, "right") - 1
+            own = at >= 0
+            own[own] = want[own] <= most[at[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(want[own], pa.int64()), pa.array(number[at[own]], pa.int32())], ["doc_id", "at"])
+
+    def read(t: pa.Table) -> pa.Table:
+        row = t.slice(0, 1).to_pylist()[0]
+        own = np.sort(t.column("doc_id").to_numpy())
+        ix = _open(_files, row["idx_path"])
+        slots = find(own, ix, ix["prints"])
+        slots = slots[slots >= 0]
+        rows = np.concatenate([np.arange(f, f + c) for f, c in zip(ix["first"][slots], ix["rows"][slots])] or [np.zeros(0)]).astype(np.int64)
+        rows = rows[np.isin(ix["keys"][rows], own)]
+        store, path = _files(row["ids_path"])
+        with store.open_input_file(path) as f:
+            return pa.Table.from_batches(_payload(f, ix, row["base"], rows, digests), OUT_CRC if digests else OUT)
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    routed = wanted.mapInArrow(route, "doc_id long, at int").join(shards.select("shard", "base", "ids_path", "idx_path"), F.col("at") == F.col("shard")).drop("at")
+    return routed.groupBy("shard").applyInArrow(read, FOUND_CRC if digests else FOUND)

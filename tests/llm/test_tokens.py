@@ -34,12 +34,12 @@ def test_chunks_like_the_libraries():
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 100, 5000])
 def test_hash_is_minimal_and_perfect(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
-    move, slots = token_store.build_hash(keys)
+    ix, slots = token_store.build_hash(keys)
     assert sorted(slots.tolist()) == list(range(len(keys)))
     prints = token_store._print(keys[slots])
-    assert (slots[token_store.find(keys, move, prints)] == keys.argsort()).all()
+    assert (slots[token_store.find(keys, ix, prints)] == keys.argsort()).all()
     other = keys + 1 if n else np.array([4])
-    assert (token_store.find(np.setdiff1d(other, keys), move, prints) < 0).mean() > 0.99 if n else True
+    assert (token_store.find(np.setdiff1d(other, keys), ix, prints) < 0).mean() > 0.99 if n else True
 
 
 def test_store(spark, edge, empty):
