@@ -20,6 +20,20 @@ def sample_labels(labels: DataFrame, column: str, learn: Column, most: int) -> D
     return rows
 
 
+def balanced_labels(labels: DataFrame, column: str, learn: Column, most: int) -> DataFrame:
+    """(label_id, y, w) of at most about ``most`` labelled rows, half of them of either label where there are enough.
+
+    Rows are chosen by a hash of doc_id; w is how many rows each stands for.
+    """
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & learn).select(F.col("doc_id").cast("long").alias("label_id"), (F.col(column) > 0).cast("int").alias("y"))
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    few = min(n.values(), default=0)
+    room = {y: min(c, max(most // 2, most - few)) for y, c in n.items()}
+    rate = F.coalesce(*[F.when(F.col("y") == y, F.lit(room[y] / c)) for y, c in n.items()], F.lit(1.0))
+    chosen = rows.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < (rate * (1 << 30)))
+    return chosen.withColumn("w", 1 / rate)
+
+
 def learns(modulus: int, held: int) -> Column:
     return crc_bucket("doc_id", modulus) != held
 

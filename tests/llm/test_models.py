@@ -143,3 +143,34 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(5, 9), (9, 7), (3, 3)] + [(1, k) for k in range(100, 300)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 20 for i in range(21, 61)}, 9: 5, 7: 5, **{k: 1 for k in range(100, 300)}}  # roots aren't listed
+
+
+def test_toxicity_cosines_by_brute_force(corpus):
+    """The neighbours and cosines of the whole operator against plain dictionaries over the same weights."""
+    docs, labels = corpus
+    model, texts = toxicity.learn(docs, labels, F.lit(True))
+    weight = dict(zip(model.vectors.terms.to_pylist(), model.weight_of.tolist()))
+
+    def unit(text):
+        counts = {}
+        for w in "".join(c.lower() if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in text).split():
+            counts[w] = counts.get(w, 0) + 1
+        v = {w: (1 + np.log(c)) * weight[w] for w, c in counts.items() if w in weight}
+        n = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / n for w, x in v.items()}
+
+    known = {r["text"]: r["doc_id"] for r in docs.join(labels, "doc_id").orderBy(F.desc("doc_id")).collect()}
+    examples = {i: unit(t) for t, i in known.items()}
+    df = {}
+    for t in [r["text"] for r in docs.collect()]:
+        for w in unit(t):
+            df[w] = df.get(w, 0) + 1
+    n = docs.count()
+    chi = toxicity._label_weights
+    assert all(weight[w] >= 1 + np.log((n + 1) / (c + 1)) - 1e-9 for w, c in df.items()) and chi is not None
+    for r in toxicity.score(texts, model).join(docs, "doc_id").collect():
+        v = unit(r["text"])
+        all_near = {i: sum(x * e.get(w, 0) for w, x in v.items()) for i, e in examples.items()}
+        best = sorted(all_near.values(), reverse=True)[: len(r["cosines"])]
+        assert len(r["neighbours"]) == min(toxicity.NEIGHBOURS, sum(c > 0 for c in all_near.values()))
+        assert r["cosines"] == pytest.approx(best, abs=1e-6) and [all_near[i] for i in r["neighbours"]] == pytest.approx(best, abs=1e-6)
