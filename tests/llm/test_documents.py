@@ -122,21 +122,57 @@ def test_language_model(spark, edge, empty, corpus):
     assert language_model.score(empty).count() == 0
 
 
-def test_model_sums_to_one():
-    """Predictive probabilities over all words of a context, the unknown one included, sum to one."""
-    word, klass = np.repeat(np.arange(30, dtype=np.uint64), 2), np.tile(np.array([70 * 64 + 1, 71 * 64 + 2], np.uint16), 30)
-    count = np.random.default_rng(0).integers(0, 40, 60)
-    count[:2] = 0  # a word that was never learnt stands for the unknown one
-    b = language_model.Bucket(word, klass, count)
-    state = b.minimal()
-    for _ in range(3):
-        total = language_model.Totals(list(b.totals(*state)))
-        state = b.sweep(*state, total, np.random.default_rng(1))
-    total = language_model.Totals(list(b.totals(*state)))
-    p = b.predict(*state, total)
-    for k in np.unique(klass):
-        assert p[2][klass == k].sum() == pytest.approx(1, abs=0.02)
-    assert p[0].sum() == pytest.approx(1, abs=0.02)
+def test_model_sums_to_one(spark, corpus):
+    """On the query's own path: in each averaged seating the probabilities of all words, the unknown one included, sum to one."""
+    report = {}
+    rows = language_model.score(corpus[0], report=report).collect()
+    contexts, folder = report["contexts"], report["folder"]
+    for turn, total in report["sampled"]:
+        found, all0, known = {}, {}, 0
+        for k in range(report["buckets"]):
+            f = language_model._load(f"{folder}/buckets/{k}")
+            seats = language_model._load(f"{folder}/seats/{turn}/{k}")
+            b = language_model.Bucket(f["word"], f["context"], f["count"], contexts)
+            t = [seats[f"t{i}"].astype(float) for i in range(3)]
+            p = b.predict(t, total)
+            words = f["word"][np.r_[0, np.flatnonzero(np.diff(f["word"])) + 1]] if len(f["word"]) else []
+            all0 |= {int(w): x for w, x, c in zip(words, p[0], b.counts(total)) if c}
+            for w, c, e, n, x, y in zip(f["word"].tolist(), f["context"].tolist(), contexts.parent[f["context"]].tolist(), f["count"].tolist(), p[2], p[1][b.up[2]]):
+                if all0.get(w):
+                    found[c, w] = (x, e, y)
+        new0 = (language_model.STRENGTH + total.discount[0] * total.tables[0][0]) * total.unknown / (language_model.STRENGTH + total.customers[0][0])
+        assert sum(all0.values()) + new0 == pytest.approx(1, abs=1e-9)
+        rest = lambda level, k, p: (language_model.STRENGTH + total.discount[level] * total.tables[level][k]) * p / (language_model.STRENGTH + total.customers[level][k])
+        one = {}
+        for (c, w), (x, e, y) in found.items():
+            one[e, w] = y
+        for c in sorted({c for c, _ in found}):
+            e = contexts.parent[c]
+            level1 = {w: one.get((e, w), rest(1, e, p)) for w, p in all0.items()}
+            level2 = sum(found[c, w][0] if (c, w) in found else rest(2, c, p) for w, p in level1.items())
+            assert level2 + rest(2, c, rest(1, e, new0)) == pytest.approx(1, abs=1e-9)
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+
+
+def test_a_customer_sits_alone_as_often_as_in_enumerated_seatings():
+    def seatings(c, d):
+        """(tables' sizes, weight) of seatings of c customers."""
+        if c == 1:
+            return {(1,): 1.0}
+        out = {}
+        for sizes, w in seatings(c - 1, d).items():
+            for i, n in enumerate(sizes):
+                s = (*sizes[:i], n + 1, *sizes[i + 1 :])
+                out[s] = out.get(s, 0) + w * (n - d)
+            out[(*sizes, 1)] = out.get((*sizes, 1), 0) + w
+        return out
+
+    ratio = language_model.alone(0.4)
+    for c in range(2, 7):
+        for t in range(1, c + 1):
+            some = [(sizes, w) for sizes, w in seatings(c, 0.4).items() if len(sizes) == t]
+            want = sum(w * sum(n == 1 for n in sizes) / c for sizes, w in some) / sum(w for _, w in some)
+            assert ratio[c, t] == pytest.approx(want)
 
 
 def print_of(t, n=4):
