@@ -22,7 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_and_text, staged
+from .common import free_name, id_and_text, staged
 
 KINDS = ("email", "ip", "card", "phone")
 _MAIL = r"A-Za-z0-9._%+-"
@@ -253,16 +253,18 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans of several kinds become one mark, of the kind that starts first.
     """
+    found, mark = free_name(docs, "found"), free_name(docs, "mark")
     text = F.coalesce("text", F.lit(""))
-    model = learn(docs.select(candidates(text).alias("candidates")))
+    held = staged(docs.withColumn(found, candidates(text)), "redacted")
+    model = learn(held.select(F.col(found).alias("candidates")))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    found = F.sort_array(F.transform(F.filter(candidates(text), model.accepts), lambda x: F.struct(x["b"].alias("b"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    spans = F.sort_array(F.transform(F.filter(found, model.accepts), lambda x: F.struct(x["b"].alias("b"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
     def step(a: Column, x: Column) -> Column:
-        mark = F.concat(a["out"], F.substring(text, a["at"] + 1, x["b"] - a["at"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["b"] < a["at"], a["out"]).otherwise(mark).alias("out"))
+        out = F.concat(a["out"], F.substring(text, a["at"] + 1, x["b"] - a["at"]), F.get(names, x["kind"]))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["b"] < a["at"], a["out"]).otherwise(out).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(F.col("_spans"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = docs.withColumn("_spans", found).withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))).drop("_spans")
+    whole = F.aggregate(F.col(mark), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    out = held.withColumn(mark, spans).withColumn("text", F.when(F.size(mark) > 0, whole).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out

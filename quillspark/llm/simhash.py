@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, id_and_text, staged
+from .common import components, free_name, id_and_text, slices, staged
 
 AT_ONCE = 512
 #: Fingerprints the driver may take to choose vantage points from.
@@ -154,7 +154,7 @@ def forest(n: int, pairs, holds=None) -> np.ndarray:
     """
     label = np.arange(n)
     for i, j in pairs:
-        step = len(i) if holds is None else 16_384
+        step = len(i) if holds is None else 2048
         for s in range(0, len(i), max(1, step)):
             a, b = i[s : s + step], j[s : s + step]
             if holds is not None:
@@ -206,21 +206,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, reach: int = 4, shard: int
     )
 
 
-#: The stage's sketches: so many smallest shingle hashes tell which candidate pairs are compared in full.  The estimate's
-#: standard error is 0.035 at a likeness of 0.8, so a margin of 0.2 loses no pair that matters.
-SKETCH, MARGIN = 128, 0.2
+#: The stage's signatures: BANDS groups of ROWS minima of shingle hashes.  Texts with a likeness of 0.8 share none of the
+#: groups with a chance of (1 - 0.8^5)^24, 0.00007.  A candidate component is compared in tiles of two times TILE texts.
+BANDS, ROWS, TILE = 24, 5, 4096
+#: Pairs whose share of equal minima is lower by this than the similarity aren't compared in full: the share's standard error
+#: is 0.037 at a likeness of 0.8.
+MARGIN = 0.2
+_MIX = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
-def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard likeness of pairs of sketches (rows of sorted hashes, padded with the largest number)."""
-    k, pad = one.shape[1], np.uint64(2**64 - 1)
-    both = np.sort(np.concatenate([one, other], axis=1), axis=1)
-    new = np.ones(both.shape, bool)
-    new[:, 1:] = both[:, 1:] != both[:, :-1]
-    new &= both != pad
-    rank = np.cumsum(new, axis=1)
-    counted = (rank <= k) & (both != pad)
-    return (~new & counted).sum(1) / np.maximum(1, (new & counted).sum(1))
+def minima(u: np.ndarray) -> np.ndarray:
+    """The least of the shingle hashes in each of BANDS x ROWS orders; the largest number without any."""
+    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for s in range(0, len(u), 4096):
+        x = (u[s : s + 4096] ^ _MIX[0]) * _MIX[1]
+        np.minimum(out, (x ^ (x >> np.uint64(32))).min(1), out=out)
+    return out
+
+
+def band_keys(m: np.ndarray) -> np.ndarray:
+    keys = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        keys = (keys ^ m[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
 def _in_full(one: bytes, other: bytes) -> float:
@@ -230,71 +239,69 @@ def _in_full(one: bytes, other: bytes) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 24, shard: int = SHARD) -> DataFrame:
-    """(doc_id, text_key, component) of documents by shingle likeness: candidates within ``reach`` bits whose whole sets agree.
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 24) -> DataFrame:
+    """(doc_id, text_key, component) of documents by shingle likeness, each link verified on whole shingle sets.
 
-    Fingerprints are those of the distinct shingles, as the likeness is.  A
-    likeness of 0.8 leaves them some 10 bits apart, give or take 3, which would
-    also let unlike texts meet; so of each candidate pair that sketches don't
-    rule out the whole shingle sets are compared, and only texts whose numbers
-    of distinct shingles allow the likeness meet: they live in classes of sizes
-    and visit the next class.  A component is named by the hash of a set.
+    1. Distinct sets of shingles that share a band of minima hang together in
+       candidate components: each member of a band is tied to its least one, so
+       no pairs are emitted.
+    2. A component's texts meet in tiles of bounded size, small components
+       several to a tile.  There the fingerprints of the distinct shingles are
+       searched within ``reach`` bits by vantage-point trees, pairs that sizes or
+       minima rule out fall away, and the whole sets of the others are compared,
+       unless both are linked already.
+
+    A likeness of 0.8 leaves fingerprints some 10 bits apart, give or take 3.  A
+    component is named by the hash of a set.
     """
-    ratio = 1 / similarity
+    import xxhash
 
-    def describe(batches):
-        import xxhash
+    def describe(full: bool):
+        names, kinds = ["doc_id", "text_key", "node", "print", "size", "bands"], (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        if full:
+            names, kinds = ["group", "parts", "node", "print", "size", "minima", "shingles"], (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
-        for b in batches:
-            for at in range(0, b.num_rows, AT_ONCE):
-                part, rows = b.slice(at, AT_ONCE), []
-                for t in part.column("text").to_pylist():
-                    u = np.unique(shingle_hashes(t, words))
-                    raw = u.tobytes()
-                    rows.append((majority(u), len(u), int(np.uint64(xxhash.xxh64_intdigest(raw, 7)).view(np.int64)), raw))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "text_key", "print", "size", "node", "shingles"]
-                )
+        def run(batches):
+            for b in batches:
+                for part in slices(b):
+                    rows = []
+                    for t in part.column("text").to_pylist():
+                        u = np.unique(shingle_hashes(t, words))
+                        raw, m = u.tobytes(), minima(u)
+                        node = int(np.uint64(xxhash.xxh64_intdigest(raw, 7)).view(np.int64))
+                        rows.append((node, majority(u), len(u), m.astype("<u2").tobytes(), raw) if full else (node, majority(u), len(u), band_keys(m).tolist()))
+                    yield pa.RecordBatch.from_arrays([part.column(names[0]), part.column(names[1]), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names)
 
-    keyed = id_and_text(docs).where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
-    marks = staged(keyed.mapInArrow(describe, "doc_id long, text_key long, print long, size long, node long, shingles binary"), "marks")
-    size_class = F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(ratio)) + 1e-9).cast("int")
-    distinct = staged(marks.select("print", "size", "node", "shingles").dropDuplicates(["node"]).withColumn("class", size_class), "distinct")
-    n = distinct.count()
-    counts = {r["class"]: r["count"] for r in distinct.groupBy("class").count().collect()}  # a row per class: under 200 for any text
-    sampled = distinct.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))).select("class", "print").limit(2 * SAMPLE).collect()
-    trees = {}
-    for c, size in counts.items():
-        x = np.sort(np.array([r["print"] for r in sampled if r["class"] == c], np.int64)).view(np.uint64)
-        trees[c] = grow(x, max(0, int(np.ceil(np.log2(size / shard))))) if len(x) else None
+        return run
 
-    def deal(batches):
-        for b in batches:
-            x, k = b.column("print").to_numpy().view(np.uint64), b.column("class").to_numpy()
-            for c in np.unique(k).tolist():
-                at = np.flatnonzero(k == c)
-                for own, live in ((c, True), (c + 1, False)):
-                    if own not in trees:
-                        continue
-                    for leaf, go, home in route(x[at], trees[own], reach, live):
-                        if len(go):
-                            rows = b.take(pa.array(at[go]))
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([f"{own}/{leaf}"] * len(go)), *[rows.column(name) for name in ("print", "size", "shingles", "node")], pa.array(home)], ["shard", "print", "size", "shingles", "node", "home"]
-                            )
+    keyed = id_and_text(docs).where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+    marks = staged(keyed.mapInArrow(describe(False), "doc_id long, text_key long, node long, print long, size long, bands array<long>"), "marks")
+    nodes = staged(marks.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands")), "nodes")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    least = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    tied = components(banded.join(least, ["band", "key"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    tied = staged(tied.union(tied.select(F.col("component").alias("node"), "component").distinct()), "tied")
+    sizes = tied.groupBy("component").agg(F.count("*").alias("n"))
+    small = F.lit(max(1, -(-tied.count() // TILE)))
+    members = tied.join(sizes, "component").join(nodes.select("node", "first"), "node").select(
+        F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.col("component").alias("group"), F.ceil(F.col("n") / TILE).cast("long").alias("parts")
+    )
+    whole = keyed.dropDuplicates(["doc_id", "text_key"]).join(members, ["doc_id", "text_key"]).select("group", "parts", "text")
+    sets = whole.mapInArrow(describe(True), "group long, parts long, node long, print long, size long, minima binary, shingles binary")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
+    dealt = sets.withColumn("tile", F.explode(tiles)).select(
+        F.when(F.col("parts") > 1, F.xxhash64("group")).otherwise(F.pmod(F.xxhash64("group"), small)).alias("group"), "tile.i", "tile.j", "node", "print", "size", "minima", "shingles", (part == F.col("tile.i")).alias("home")
+    )
 
     def link(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
-        full = t.column("shingles").to_pylist()
-        sketches = np.full((t.num_rows, SKETCH), 2**64 - 1, np.uint64)
-        for i, raw in enumerate(full):
-            few = np.frombuffer(raw[: 8 * SKETCH], "<u8")
-            sketches[i, : len(few)] = few
-        size = t.column("size").to_numpy().astype(float)
+        full, size = t.column("shingles").to_pylist(), t.column("size").to_numpy().astype(float)
+        signs = np.frombuffer(b"".join(t.column("minima").to_pylist()), "<u2").reshape(t.num_rows, -1)
 
         def holds(a, b):
             good = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-            good[good] = likeness(sketches[a[good]], sketches[b[good]]) >= similarity - MARGIN
+            good[good] = (signs[a[good]] == signs[b[good]]).mean(1) >= similarity - MARGIN
             good[good] = [_in_full(full[i], full[j]) >= similarity for i, j in zip(a[good].tolist(), b[good].tolist())]
             return good
 
@@ -302,15 +309,20 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int =
         a, ids = np.flatnonzero(label != np.arange(t.num_rows)), t.column("node").to_numpy()
         return pa.table({"a": ids[a], "b": ids[label[a]]})
 
-    dealt = distinct.mapInArrow(deal, "shard string, print long, size long, shingles binary, node long, home boolean")
-    found = components(dealt.groupBy("shard").applyInArrow(link, "a long, b long")).withColumnRenamed("node", "of")
+    found = components(dealt.groupBy("group", "i", "j").applyInArrow(link, "a long, b long")).withColumnRenamed("node", "of")
     return marks.join(found, F.col("node") == F.col("of"), "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest doc_id (and text hash, where an id has several texts); rows with no id stay."""
+    """``docs`` with one row of each group, that of the smallest doc_id (and text hash, where an id has several texts).
+
+    Rows with no id stay; a null text counts as the empty one, and all texts
+    without words are one group; of rows that repeat id and text one stays;
+    other columns stay, whatever their names; an empty table stays empty.
+    """
     first = alike(docs, words, similarity).groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text"))
-    named = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = named.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where("doc_id is null"))
+    own_id, own_key = free_name(docs, "id"), free_name(docs, "key")
+    chosen = first.select(F.col("first.doc_id").alias(own_id), F.col("first.text_key").alias(own_key))
+    named = docs.where("doc_id is not null").withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = named.dropDuplicates([own_id, own_key]).join(chosen, [own_id, own_key], "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
