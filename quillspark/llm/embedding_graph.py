@@ -10,13 +10,18 @@
    the shard's medoid with a beam, then expansion over everything within range.
    Found pairs are verified in double precision.  A pair counts in the shard
    that is the found node's first home, so no pair counts twice; shards return
-   counts and a spanning forest, never all pairs of a group.
+   counts and a spanning forest, never all pairs of a group.  A shard with more
+   residents than PART is several parts with a graph each, dealt by a hash, and
+   its visitors go to all of them, so a dense group doesn't sit in one task.
 5. Audit: for a sample of nodes, links are counted by brute force over all rows.
    Recall is averaged over nodes within strata of link counts, so large groups
    don't hide single pairs, and the sample grows from AUDIT to at most
-   MOST_AUDIT nodes until each stratum has ENOUGH of them.  While the worst
-   stratum is under TARGET, or no sampled node has a link, the search is run
-   again with twice the visits, up to all shards.
+   MOST_AUDIT nodes until each stratum has ENOUGH of them.  Beside that, probes
+   made from sampled nodes, at a cosine of just over the threshold in random
+   directions, must find the node they were made from, so the audit says
+   something where no sampled node has a link.  While the worst of these shares
+   is under TARGET, the search is run again with twice the visits, up to all
+   shards; if that isn't enough, shards compare all their visitors and residents.
 
 Defined results: rows whose vector is null, empty, zero or holds a null or
 non-finite component, or whose vec_id is null, link with nothing (their
@@ -35,7 +40,9 @@ from .common import components, staged
 
 SAMPLE, SHARD, HOMES, VISITS = 32_768, 512, 2, 6
 CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 48, 20, 1.2, 32, 0.05
-AUDIT, MOST_AUDIT, ENOUGH, TARGET = 512, 4096, 50, 0.99
+AUDIT, MOST_AUDIT, ENOUGH, TARGET = 512, 4096, 50, 0.97
+#: Residents of a part of a shard, and how far over the threshold probes are.
+PART, CLOSE = 4096, 0.005
 #: Least link counts of the audit's strata.
 STRATA = (1, 2, 16)
 
@@ -159,64 +166,91 @@ def range_search(x: np.ndarray, links: np.ndarray, both: list[np.ndarray], start
     return np.concatenate(hits_q), np.concatenate(hits_x)
 
 
-NODE = "vec long, v array<double>, copies long"
+NODE = "vec long, v array<double>, copies long, probe boolean"
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:
     """Distinct usable vectors: the smallest vec_id, the vector, and how many rows have it."""
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return v.where(sound).groupBy("v").agg(F.min("id").alias("vec"), F.count("*").alias("copies")).select("vec", "v", "copies")
+    return v.where(sound).groupBy("v").agg(F.min("id").alias("vec"), F.count("*").alias("copies")).select("vec", "v", "copies", F.lit(False).alias("probe"))
 
 
-def _search(nodes: DataFrame, merged: DataFrame, deal, least: float) -> DataFrame:
-    """One row per (shard, node): links counted there and the node's place in the shard's forest."""
+def _probes(nodes: DataFrame, least: float, n: int) -> DataFrame:
+    """About AUDIT nodes turned in a random direction until their cosine with themselves is just over ``least``."""
+    near = min(least + CLOSE, 1.0)
+
+    def turn(batches):
+        for b in batches:
+            out = []
+            for i, v in zip(b.column("vec").to_pylist(), b.column("v").to_pylist()):
+                x = unit(np.array([v]))[0]
+                r = np.random.default_rng([i & (2**63 - 1), 1]).standard_normal(len(x))
+                r -= (r @ x) * x
+                size = np.sqrt(r @ r)
+                out.append((near * x + np.sqrt(1 - near * near) * r / size if size > 1e-9 else x).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("vec"), pa.array(out, pa.list_(pa.float64())), b.column("copies"), pa.array([True] * b.num_rows)], ["vec", "v", "copies", "probe"])
+
+    return nodes.where(F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, AUDIT / max(n, 1)) * (1 << 30))).mapInArrow(turn, NODE)
+
+
+def _search(nodes: DataFrame, merged: DataFrame, probes: DataFrame, deal, least: float, all_pairs: bool) -> DataFrame:
+    """One row per (shard, node): links counted there and the node's place in the shard's forest; of probes whether they found their node."""
 
     def look(t: pa.Table) -> pa.Table:
         from .simhash import forest
 
-        t = t.sort_by("vec")
+        t = t.sort_by([("vec", "ascending"), ("probe", "ascending")])
         ids, x, copies, rank = t.column("vec").to_numpy(), unit(rows_of(t.column("v"))), t.column("copies").to_numpy(), t.column("rank").to_numpy()
-        live = np.flatnonzero(rank < HOMES)
+        probe, home = t.column("probe").to_numpy(), t.column("home").to_numpy()
+        live = np.flatnonzero(home)
         if not len(live):
-            return pa.table({"vec": ids[:0], "n": copies[:0], "root": ids[:0]})
-        place = {int(i): k for k, i in enumerate(ids[live])}
-        lists = [[place[j] for j in near if j in place] for near in t.column("near").take(pa.array(live)).to_pylist()]
-        width = max(1, max(map(len, lists)))
-        links = np.array([a + [-1] * (width - len(a)) for a in lists], np.int64)
-        both = [set(a) for a in lists]
-        for i, a in enumerate(lists):
-            for j in a:
-                both[j].add(i)
-        both = [np.array(sorted(a), np.int64) for a in both]
+            return pa.table({"vec": ids[:0], "probe": probe[:0], "n": copies[:0], "root": ids[:0]})
         r = x[live]
-        start = np.array([(r @ r.mean(0)).argmax()])
-        own = np.full(len(ids), -1)
-        own[live] = np.arange(len(live))
+        if all_pairs:
+            search = lambda s: np.nonzero(x[s : s + 256] @ r.T >= least)
+        else:
+            place = {int(i): k for k, i in enumerate(ids[live])}
+            lists = [[place[j] for j in near if j in place] for near in t.column("near").take(pa.array(live)).to_pylist()]
+            width = max(1, max(map(len, lists)))
+            links = np.array([a + [-1] * (width - len(a)) for a in lists], np.int64)
+            both = [set(a) for a in lists]
+            for i, a in enumerate(lists):
+                for j in a:
+                    both[j].add(i)
+            both = [np.array(sorted(a), np.int64) for a in both]
+            start = np.array([(r @ r.mean(0)).argmax()])
+            own = np.full(len(ids), -1)
+            own[live] = np.arange(len(live))
+            search = lambda s: range_search(r, links, both, start, x[s : s + 256], least, own[s : s + 256])
         count, edges = np.zeros(len(ids), np.int64), []
         for s in range(0, len(ids), 256):
-            qi, xi = range_search(r, links, both, start, x[s : s + 256], least, own[s : s + 256])
+            qi, xi = search(s)
             qi, xi = qi + s, live[xi]
-            other = qi != xi
-            qi, xi = qi[other], xi[other]
-            first = rank[xi] == 0
+            first = (rank[xi] == 0) & (qi != xi) & ~probe[qi]
             np.add.at(count, qi[first], copies[xi[first]])
-            edges.append((qi, xi))
+            count[qi[probe[qi] & (ids[qi] == ids[xi])]] = 1
+            other = (qi != xi) & ~probe[qi]
+            edges.append((qi[other], xi[other]))
         label = forest(len(ids), edges)
-        return pa.table({"vec": ids, "n": count, "root": ids[label]})
+        return pa.table({"vec": ids, "probe": probe, "n": count, "root": ids[label]})
 
-    dealt = nodes.join(merged, "vec").mapInArrow(deal, f"shard int, rank int, near array<long>, {NODE}")
-    return staged(dealt.groupBy("shard").applyInArrow(look, "vec long, n long, root long"), "found")
+    asked = nodes.join(merged, "vec").unionByName(probes.withColumn("near", F.array().cast("array<long>")))
+    dealt = asked.mapInArrow(deal, f"shard long, rank int, home boolean, near array<long>, {NODE}")
+    return staged(dealt.groupBy("shard").applyInArrow(look, "vec long, probe boolean, n long, root long"), "found")
 
 
-def _recall(nodes: DataFrame, found: DataFrame, least: float, n: int) -> float | None:
-    """The worst stratum's mean share of a node's true links that the search counted; None if no sampled node has a link."""
+def _recall(nodes: DataFrame, found: DataFrame, least: float, n: int) -> float:
+    """The worst of the strata's mean shares of a node's true links that the search counted, and of the share of probes that
+    found their node; 1 without any node."""
     size = AUDIT
+    probes = found.where("probe").groupBy("vec").agg(F.max("n").alias("n")).agg(F.avg("n")).first()[0]
+    found = found.where("not probe")
     while True:
         r = _audited(nodes, found, least, n, size)
         strata = [r[(r[:, 0] >= a) & (r[:, 0] < b), 1] for a, b in zip(STRATA, (*STRATA[1:], np.inf))]
         if size >= min(n, MOST_AUDIT) or all(len(x) >= ENOUGH for x in strata):
-            return min((float(x.mean()) for x in strata if len(x)), default=None)
+            return min([float(x.mean()) for x in strata if len(x)] + ([] if probes is None else [float(probes)]), default=1.0)
         size *= 8
 
 
@@ -263,23 +297,43 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, report: dict | None
         centres[d] = (base, centres_of(x, k))
         base += k
 
+    def ranked(b, visits: int):
+        """(positions, shards by rank) of a batch's rows, for each number of components."""
+        by = b.column("v").value_lengths().to_numpy()
+        for d in np.unique(by).tolist():
+            at = np.flatnonzero(by == d)
+            first, c = centres.get(d, (base + d, np.ones((1, d))))
+            sims = unit(rows_of(b.column("v").take(pa.array(at)))) @ c.T
+            yield at, first + np.argsort(-sims, axis=1, kind="stable")[:, : min(visits, len(c))]
+
+    def count(batches):
+        for b in batches:
+            shards = np.concatenate([near[:, :HOMES].ravel() for _, near in ranked(b, HOMES)])
+            k, c = np.unique(shards, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["shard", "n"])
+
+    residents = nodes.mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > PART).collect()
+    parts = {r["shard"]: -(-r["n"] // PART) for r in residents}  # large shards only, at most all centres
+
     def dealer(visits: int, near: bool):
-        """Rows (shard, rank of the shard for the node, ...) for the nearest centres; more than HOMES ranks are visits."""
+        """Rows (part of a shard, rank of the shard for the node, whether it lives there, ...) for the nearest centres."""
+        names = [*(["near"] if near else []), "vec", "v", "copies", "probe"]
 
         def deal(batches):
             for b in batches:
-                by = b.column("v").value_lengths().to_numpy()
-                for d in np.unique(by).tolist():
-                    at = np.flatnonzero(by == d)
-                    first, c = centres.get(d, (base + d, np.ones((1, d))))
-                    many = min(visits, len(c))
-                    sims = unit(rows_of(b.column("v").take(pa.array(at)))) @ c.T
-                    best = np.argsort(-sims, axis=1, kind="stable")[:, :many]
-                    for rank in range(many):
-                        own = b.take(pa.array(at))
-                        names = ["near", "vec", "v", "copies"] if near else ["vec", "v", "copies"]
+                for at, shards in ranked(b, visits):
+                    salt = (b.column("vec").to_numpy()[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+                    lives = ~b.column("probe").to_numpy(zero_copy_only=False)[at]
+                    for rank in range(shards.shape[1]):
+                        many = np.array([parts.get(k, 1) for k in shards[:, rank].tolist()])
+                        row = np.repeat(np.arange(len(at)), many)
+                        part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                        home = (part == (salt % many.astype(np.uint64)).astype(np.int64)[row]) & lives[row] & (rank < HOMES)
+                        if not near:
+                            row, part, home = row[home], part[home], home[home]
+                        own = b.take(pa.array(at[row]))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(first + best[:, rank], pa.int32()), pa.array(np.full(len(at), rank, np.int32)), *[own.column(c) for c in names]], ["shard", "rank", *names]
+                            [pa.array((shards[row, rank] << 24) + part, pa.int64()), pa.array(np.full(len(row), rank, np.int32)), pa.array(home), *[own.column(c) for c in names]], ["shard", "rank", "home", *names]
                         )
 
         return deal
@@ -290,17 +344,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, report: dict | None
         near = pruned_graph(unit(rows_of(t.column("v"))))
         return pa.table({"vec": ids, "near": pa.array([ids[a].tolist() for a in near], pa.list_(pa.int64()))})
 
-    built = nodes.mapInArrow(dealer(HOMES, False), f"shard int, rank int, {NODE}").groupBy("shard").applyInArrow(build, "vec long, near array<long>")
+    built = nodes.mapInArrow(dealer(HOMES, False), f"shard long, rank int, home boolean, {NODE}").groupBy("shard").applyInArrow(build, "vec long, near array<long>")
     merged = staged(built.groupBy("vec").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    visits, most = VISITS, max([len(c) for _, c in centres.values()], default=1)
+    visits, most, probes, all_pairs = VISITS, max([len(c) for _, c in centres.values()], default=1), staged(_probes(nodes, least, n), "probes"), False
     while True:
-        found = _search(nodes, merged, dealer(visits, True), least)
+        found = _search(nodes, merged, probes, dealer(visits, True), least, all_pairs)
         recall = _recall(nodes, found, least, n)
-        if (recall is not None and recall >= TARGET) or visits >= most:
+        if recall >= TARGET or all_pairs:
             break
+        all_pairs = visits >= most
         visits *= 2
+    found = found.where("not probe")
     if report is not None:
-        report |= {"recall": recall, "visits": visits}
+        report |= {"recall": recall, "visits": visits, "all_pairs": all_pairs}
     linked = components(found.select(F.col("vec").alias("a"), F.col("root").alias("b")))
     count = found.groupBy("vec").agg(F.sum("n").alias("n"))
     named = (

@@ -134,9 +134,33 @@ def test_audit_sees_single_pairs(spark):
     n, _ = links(x)
     assert (n[200:] == 1).all()
     nodes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec long, v array<double>, copies long")
-    found = spark.createDataFrame([(i, int(k) if i < 240 else 0) for i, k in enumerate(n)], "vec long, n long")
+    found = spark.createDataFrame([(i, False, int(k) if i < 240 else 0) for i, k in enumerate(n)] + [(i, True, int(i % 4 > 0)) for i in range(40)], "vec long, probe boolean, n long")
     assert embedding_graph._recall(nodes, found, 0.9, len(x)) == pytest.approx(0.5)
-    assert embedding_graph._recall(nodes.where("vec between 200 and 239"), found, 0.9, 40) is None
+    assert embedding_graph._recall(nodes.where("vec between 200 and 239"), found, 0.9, 40) == pytest.approx(0.75)  # no links: the probes tell
+
+
+@pytest.mark.parametrize("part, target", [(4096, 0.97), (40, 0.97), (40, 2.0)])
+def test_planted_links_by_queries_divisible_by_100(spark, monkeypatch, part, target):
+    """Recall of 12 pairs just over the threshold, a dense group and copies: ids divisible by 100 against all rows, by parts and by full comparison."""
+    monkeypatch.setattr(embedding_graph, "PART", part)
+    monkeypatch.setattr(embedding_graph, "TARGET", target)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1:300] = x[0] + 0.03 * r.normal(size=(299, 64))
+    for i in range(400, 3000, 200):
+        y = r.normal(size=64)
+        y -= (y @ x[i]) * x[i]
+        x[i + 1] = 0.91 * x[i] + np.sqrt(1 - 0.91**2) * y / np.linalg.norm(y)
+    x[2500:2600] = x[400]
+    n, label = links(x)
+    rows, report = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), {}
+    got = {q["vec_id"]: q for q in embedding_graph.near_duplicates(rows, report=report).collect()}
+    asked = [i for i in range(0, 3000, 100) if n[i]]
+    assert np.mean([min(1.0, got[i]["n_links"] / n[i]) for i in asked]) >= 0.9 and report["recall"] >= 0.9
+    assert all(got[i]["n_links"] <= n[i] for i in range(3000))
+    if target > 1:
+        assert report["all_pairs"] and all(got[i]["n_links"] == n[i] and got[i]["component_id"] == label[i] for i in range(3000))
 
 
 def test_components(spark):
