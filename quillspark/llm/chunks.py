@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A table is emptied beyond this many chunks (of byte pairs) or words (of pieces), and longer chunks are not kept: only memory is bounded, never what is encoded.
-MOST_CHUNKS, MOST_WORDS, LONGEST_KEPT = 1_200_000, 500_000, 64
+MOST_CHUNKS, MOST_WORDS, LONGEST_KEPT = 500_000, 400_000, 64
 
 #: White space as the pre-tokenizer's expression sees it, without the space and the line break.
 _OTHER = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -56,7 +57,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
+def slices(batch, most_bytes: int = 4 << 20, column: str = "text"):
     """Parts of an Arrow batch whose texts take at most so many bytes together; a longer text is a part of its own.
 
     Arrow batches are bounded by rows and by
@@ -71,6 +72,7 @@ def slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
         to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
         yield batch.slice(at, to - at)
         at, before = to, int(sizes[to - 1])
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def crc_bucket(doc_id: str, n: int):

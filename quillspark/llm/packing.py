@@ -12,7 +12,7 @@ Defined results: a null text counts as the empty one and has the end id alone;
 a null doc_id stays null; repeated rows are packed each; an empty table gives
 no rows; other columns are ignored.  Within a group pieces of one length are
 taken by doc_id, piece and crc, so ties don't depend on the order of arrival.
-A batch is encoded in parts of at most 8 MB of text, a longer text by itself.
+A batch is encoded in parts of at most 4 MB of text, a longer text by itself.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ Defined results: a null text counts as the empty one (the end id alone); rows
 with a null doc_id come first, are stored and scanned, and can't be looked up;
 repeated doc_ids are stored in turn (in no fixed order among themselves) and a
 lookup returns each of their rows; an empty table gives an empty store; other
-columns are ignored.  A batch is encoded in parts of at most 8 MB of text, a
+columns are ignored.  A batch is encoded in parts of at most 4 MB of text, a
 longer text by itself.
 """
 
