@@ -87,11 +87,7 @@ class _Writer(HTMLParser):
             self.table.append(self.cells + [""] * self.extra_cell)
             self.cells = None
         elif tag == "table" and self.table is not None:
-            width = max(map(len, self.table), default=0)
-            rows = [r + [""] * (width - len(r)) for r in self.table]
-            lines = ["| " + " | ".join(r) + " |" for r in rows]
-            if lines:
-                self.out.append("\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]))
+            self.out += table_of(self.table)
             self.table = None
 
     def handle_data(self, data):
@@ -103,12 +99,24 @@ class _Writer(HTMLParser):
             self.text += data
 
 
+def table_of(cells: list[list[str]]) -> list[str]:
+    """Lines of a Markdown table whose first row is its header; short rows end in empty cells."""
+    columns = max(map(len, cells), default=0)
+    lines = []
+    for number, row in enumerate(cells):
+        full = [*row, *[""] * (columns - len(row))]
+        lines.append(f"| {' | '.join(full)} |")
+        if number == 0:
+            lines.append("|" + " --- |" * columns)
+    return lines
+
+
 def to_markdown(html: str, extra_cell: bool = False) -> str:
     w = _Writer(extra_cell)
     w.feed(html)
     w.close()
     w.flush()
-    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(w.out)).strip() + "\n"
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(w.out)).strip() + "\n"
 
 
 def markdown_of(html: Column, extra_cell: bool = False) -> Column:

@@ -87,59 +87,81 @@ def windows(text: str, size: int, overlap: int, lookback: int | None = None) ->
     return out
 
 
-def split(text: Column, size: int, overlap: int, lookback: int | None = None) -> Column:
-    """array<string> of a text's windows."""
+def split(text: Column, size: Column | int, overlap: int, lookback: int | None = None) -> Column:
+    """array<string> of a text's windows; ``size`` may differ by row."""
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else windows(t, size, overlap, lookback))
+    def run(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else windows(t, int(n), overlap, lookback) for t, n in zip(texts, sizes)], dtype=object)
 
-    return run(text)
+    return run(text, size if isinstance(size, Column) else F.lit(size))
 
 
-def sections(text: Column) -> Column:
-    """array<struct<h1, title, body>>: a section starts at each H2 or numbered bold line; the text of an H1 joins the next section.
+_COLON_TITLE = re.compile(r"(?m)^(\*\*[^*\n]+\*\*)[ ]*：")
+_CHAPTER = re.compile(r"#\s|\s*- \*\*[^*]+\*\*\s*$")
+_SECTION = re.compile(r"##\s|\s*\*\*\d+、[^*]+\*\*\s*$")
 
-    Without any heading the whole text is one section without a title.
-    """
-    lines = F.split(F.regexp_replace(text, r"(?m)^(\*\*[^*\n]+\*\*)[ ]*：", "$1\n"), r"\n", -1)
-    one = lambda x: x.rlike(r"^#\s+\S|^- \*\*[^*]+\*\*\s*$")
-    two = lambda x: x.rlike(r"^##\s+\S|^\*\*\d+、[^*]+\*\*\s*$")
-    name = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^#+\s+|^- ", ""), r"\*\*", ""))
-    kind = "struct<done:array<struct<h1:string,title:string,body:string>>,h1:string,title:string,body:string,open:boolean>"
-    start = F.from_json(F.lit('{"done":[],"h1":"","title":"","body":"","open":false}'), kind)
 
-    def made(a: Column) -> Column:
-        return F.concat(a["done"], F.array(F.struct(a["h1"].alias("h1"), a["title"].alias("title"), F.trim(a["body"]).alias("body"))))
+def section_list(text: str) -> list[tuple[str, str, str]]:
+    """(prefix, title, body) of each section: one starts at each second-level heading or numbered bold line.
 
-    def state(done, h1, title, body, open_) -> Column:
-        return F.struct(done.alias("done"), h1.alias("h1"), title.alias("title"), body.alias("body"), open_.alias("open"))
+    The headings keep their marks.  The latest first-level heading leads the
+    prefix of every section below it and makes none itself: its own text, and
+    what stands before any heading, joins the next section.  Without any heading
+    the whole text is one section without a title.
+    """
+    found, chapter, title, body = [], "", None, []
+    text = _COLON_TITLE.sub(r"\1\n", text)
+    for line in text.split("\n"):
+        opens = "chapter" if _CHAPTER.match(line) else "section" if _SECTION.match(line) else None
+        if opens is None:
+            body.append(line)
+            continue
+        if title is not None:
+            found.append((chapter, title, "\n".join(body).strip()))
+            body = []
+        title = line.strip()
+        chapter = title if opens == "chapter" else chapter
+    if title is None:
+        return [("", "", text.strip())] if text.strip() else []
+    found.append((chapter, title, "\n".join(body).strip()))
+    out, waiting = [], []
+    for chapter, title, body in found:
+        if body:
+            waiting.append(body)
+        if title != chapter and waiting:
+            out.append((f"{chapter}\n{title}" if chapter else title, title, "\n\n".join(waiting)))
+            waiting = []
+    return out
 
-    def step(a: Column, x: Column) -> Column:
-        none, yes = F.lit(""), F.lit(True)
-        on_one = F.when(a["open"], state(made(a), name(x), none, none, F.lit(False))).otherwise(state(a["done"], F.trim(F.concat_ws("\n", F.nullif(a["h1"], none), name(x))), none, a["body"], F.lit(False)))
-        on_two = F.when(a["open"], state(made(a), none, name(x), none, yes)).otherwise(state(a["done"], a["h1"], name(x), a["body"], yes))
-        text_line = state(a["done"], a["h1"], a["title"], F.concat(a["body"], x, F.lit("\n")), a["open"])
-        return F.when(one(x), on_one).when(two(x), on_two).otherwise(text_line)
 
-    def finish(a: Column) -> Column:
-        return F.when(a["open"], made(a)).otherwise(a["done"])
+def sections(text: Column) -> Column:
+    """array<struct<prefix, title, body>> of a text, in one Arrow pass."""
 
-    whole = F.array(F.struct(F.lit("").alias("h1"), F.lit("").alias("title"), F.trim(text).alias("body")))
-    return F.when(F.exists(lines, lambda x: one(x) | two(x)), F.aggregate(lines, start, step, finish)).otherwise(whole)
+    @F.pandas_udf("array<struct<prefix:string,title:string,body:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else section_list(t) for t in texts], dtype=object)
+
+    return run(text)
 
 
-def chunk_tree(docs: DataFrame, size: int = 300, overlap: int = 40, parent_size: int = 2000, lookback: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def chunk_tree(docs: DataFrame, size: int = 300, overlap: int = 40, parent_size: int = 2000, lookback: int | None = None, parent_lookback: int | None = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per child: key, parent_seq, parent_id, title, parent_content, images, chunk_index, content, tokens.
 
-    A parent is a section, cut without overlap where it is over ``parent_size``;
-    children are windows of its text without images, each under its headings.
+    A parent is a section, cut without overlap where it is over ``parent_size``
+    with its headings; children are windows of its text without images.  Each
+    stands under its headings, whose tokens come off both budgets.
     """
     found = docs.select(key, F.posexplode(sections(F.col(text))).alias("section", "s"))
-    prefix = F.concat_ws("\n", F.nullif("s.h1", F.lit("")), F.nullif("s.title", F.lit("")))
-    parents = found.select(key, "section", F.col("s.title").alias("title"), prefix.alias("_prefix"), F.posexplode(split(F.col("s.body"), parent_size, 0, lookback)).alias("part", "body"))
-    parents = parents.withColumn("parent_id", stable_id(F.col(key), F.col("section"), F.col("part"))).withColumn("parent_content", F.concat_ws("\n", F.nullif("_prefix", F.lit("")), "body")).withColumn("images", image_refs(F.col("body")))
-    children = parents.withColumn("_c", split(without_images(F.col("body")), size, overlap, lookback))
+    found = found.select(key, "section", F.col("s.title").alias("title"), F.col("s.prefix").alias("_prefix"), F.col("s.body").alias("_body"))
+    under = lambda c: F.when(F.col("_prefix") == "", c).otherwise(F.concat_ws("\n", "_prefix", c))
+    lead = F.when(F.col("_prefix") == "", 0).otherwise(token_count(F.col("_prefix")))
+    found = found.withColumn("_lead", lead)
+    whole = lead + token_count(F.col("_body")) <= parent_size
+    blocks = F.when(whole, F.array("_body")).otherwise(split(F.when(~whole, F.col("_body")), F.greatest(F.lit(parent_size) - F.col("_lead"), F.lit(1)), 0, parent_lookback))
+    parents = found.select(key, "section", "title", "_prefix", "_lead", F.posexplode(blocks).alias("part", "_block")).where(F.trim("_block") != "")
+    parents = parents.withColumn("parent_id", stable_id(F.col(key), F.col("section"), F.col("part"))).withColumn("images", image_refs(under(F.col("_block")))).withColumn("parent_content", without_images(under(F.col("_block"))))
+    children = parents.withColumn("_c", split(without_images(F.col("_block")), F.greatest(F.lit(size) - F.col("_lead"), F.lit(1)), overlap, lookback))
     out = children.select(key, F.col("section").alias("parent_section"), F.col("part").alias("parent_part"), "parent_id", "title", "parent_content", "images", "_prefix", F.posexplode("_c").alias("chunk_index", "_piece"))
-    content = F.concat_ws("\n", F.nullif("_prefix", F.lit("")), "_piece")
+    content = under(F.col("_piece"))
     return out.withColumn("content", content).withColumn("tokens", token_count(content)).drop("_prefix", "_piece")

@@ -6,7 +6,7 @@ minima and joined back on the fingerprint and the order, which is unique.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 SCOPE = ["tenant_id", "kb_id"]
 
@@ -58,3 +58,8 @@ def dependents(removed: DataFrame, chunks: DataFrame) -> DataFrame:
 def first_owner(files: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     """For each content hash of a scope with several files: the oldest file and how many there are."""
     return files.groupBy(*scope, "sha256").agg(F.min(F.struct("created_at", "id"))["id"].alias("first_id"), F.count("*").alias("n_files")).where("n_files > 1")
+
+
+def renumbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """``name`` counts the rows of each key from 0, in ``order``."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long") - 1)

@@ -55,3 +55,14 @@ def merge_chunks(chunks: DataFrame, keys: list[str], merged: Column) -> DataFram
     """Of each group of ``keys`` the rows where ``merged`` holds become one, at the lowest index, their texts joined by blank lines."""
     one = chunks.where(merged).groupBy(*keys).agg(F.min("chunk_index").alias("chunk_index"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "\n\n").alias("content"))
     return chunks.where(~F.coalesce(merged, F.lit(False))).select(*keys, "chunk_index", "content").unionByName(one)
+
+
+def page_with_total(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
+    """A page, each row with the number of all ``rows``."""
+    return page(rows, order, number, size).withColumn("total", F.lit(rows.count()))
+
+
+def delete_cascade(parents: DataFrame, gone: Column, key: str, children: DataFrame, child_key: str) -> tuple[DataFrame, DataFrame]:
+    """Parents without those that are ``gone``, and children without the children of those."""
+    lost = parents.where(gone).select(F.col(key).alias("_lost")).distinct()
+    return parents.where(~F.coalesce(gone, F.lit(False))), children.join(lost, F.col(child_key) == F.col("_lost"), "left_anti")

@@ -56,3 +56,9 @@ def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
 
 def _same(term: str):
     return lambda x: x == term
+
+
+def stats(vectors: DataFrame, *keys: str) -> DataFrame:
+    """Rows, current rows and the range of sizes by key."""
+    size = F.size("embedding")
+    return vectors.groupBy(*keys).agg(F.count("*").alias("n_vectors"), F.sum(F.col("is_current").cast("long")).alias("n_current"), F.min(size).alias("least_size"), F.max(size).alias("most_size"))

@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in spark.checkpoint.dir; only where that is unset (local tests) a folder is made."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()

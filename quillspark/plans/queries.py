@@ -427,3 +427,38 @@ def heading_levels(spark, d):
     h = c.select(F.col("file_id").alias("doc"), F.col("chunk_index").alias("line"), F.lit(2).alias("level"), F.col("content").alias("title"))
     boxes = c.select(F.col("file_id").alias("doc"), F.floor(F.col("chunk_index") / 6).cast("int").alias("page"), F.col("content").alias("title"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.length("content").cast("double").alias("x1"), F.lit(10.0).alias("y1"))
     return headings.relevelled(h, boxes)
+
+
+@query(
+    "SELECT file_id, content, row_number() OVER (PARTITION BY file_id ORDER BY seq) - 1 AS chunk_index"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY file_id, child_hash ORDER BY seq) AS turn FROM chunks) WHERE turn = 1",
+    CHUNKS,
+)
+def page_wide_children(spark, d):
+    """Children that repeat anywhere in a page go, the others are numbered anew without gaps."""
+    return dedup.renumbered(dedup.keep_first(t.chunks(spark, d), ["file_id", "child_hash"], "seq"), ["file_id"], "seq", "chunk_index").select("file_id", "content", "chunk_index")
+
+
+@query("SELECT id, name, (SELECT count(*) FROM files WHERE status = 'done') AS total FROM files WHERE status = 'done' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20", FILES)
+def files_page_with_total(spark, d):
+    """The second page of the finished files beside their number."""
+    return listing.page_with_total(listing.files(t.files(spark, d), status="done"), [F.desc("created_at"), F.asc("id")], 2).select("id", "name", "total")
+
+
+@query(
+    "SELECT kb_id, count(*) AS n_files, sum(n)::BIGINT AS n_chunks FROM (SELECT f.id, f.kb_id, count(c.file_id) AS n FROM files f LEFT JOIN chunks c ON c.file_id = f.id WHERE f.status <> 'failed' GROUP BY f.id, f.kb_id) GROUP BY kb_id",
+    FILES,
+    CHUNKS,
+)
+def after_cascade(spark, d):
+    """Files and chunks of each base after failed files are deleted with their chunks."""
+    files, chunks = t.files(spark, d), t.chunks(spark, d)
+    left, children = listing.delete_cascade(files, F.col("status") == "failed", "id", chunks, "file_id")
+    n = children.groupBy("file_id").agg(F.count("*").alias("n"))
+    return left.join(n, left["id"] == n["file_id"], "left").groupBy("kb_id").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"))
+
+
+@query("SELECT label AS space_id, count(*) AS n_vectors, sum(CASE WHEN vec_id % 5 <> 0 THEN 1 ELSE 0 END)::BIGINT AS n_current, min(len(embedding)) AS least_size, max(len(embedding)) AS most_size FROM embeddings GROUP BY label")
+def vector_stats(spark, d):
+    """Vectors of each space, how many are current, and their numbers of components."""
+    return vectors.stats(t.vectors(spark, d), "space_id").withColumn("least_size", F.col("least_size").cast("long")).withColumn("most_size", F.col("most_size").cast("long"))

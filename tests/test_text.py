@@ -34,6 +34,7 @@ def test_html(spark):
     for part in ("# Title", "**Bold** text", "- one", "  1. a", "| A | B |\n| --- | --- |\n| 1 | 2 |", "![x](i.png)", "link"):
         assert part in m
     assert "no" not in m and "](u)" not in m and m.endswith("\n")
+    assert m == "# Title\n**Bold** text\n- one\n- two\n  1. a\n| A | B |\n| --- | --- |\n| 1 | 2 |\n![x](i.png)link\n"
     assert "| A | B |  |" in one(spark, page, lambda c: html.markdown_of(c, True))
     assert one(spark, None, html.markdown_of) is None and one(spark, "", html.markdown_of) == "\n"
 
@@ -78,12 +79,31 @@ def test_wraps_and_repeated_headings(spark):
 
 
 def test_sections_and_chunks(spark):
-    docs = spark.createDataFrame([(1, "pre\n# Big\nintro\n## 标题1\n内容11。内容12。\n## 标题2\n内容21。内容22。"), (2, "no heading at all"), (3, ""), (4, None)], "doc_id long, text string")
-    rows = chunking.chunk_tree(docs, 30, 0).orderBy("doc_id", "parent_section").collect()
-    assert [r["title"] for r in rows if r["doc_id"] == 1] == ["标题1", "标题2"]
-    assert "pre" in rows[0]["parent_content"] and "intro" in rows[0]["parent_content"] and rows[0]["parent_content"].startswith("Big\n标题1")
+    docs = spark.createDataFrame(
+        [
+            (1, "start\n# Book\nforeword\n## One\nfirst text.\n## Two\nsecond text.\n# Late\n## Three\nthird\n# Alone\nlost"),
+            (2, "no heading at all"),
+            (3, ""),
+            (4, None),
+            (5, "## Long\n" + " ".join(f"w{i}" for i in range(200))),
+            (6, "## Pic\n\n![a cat](cat.png)\n\ntext"),
+        ],
+        "doc_id long, text string",
+    )
+    rows = chunking.chunk_tree(docs, 30, 0, 100).orderBy("doc_id", "parent_section", "parent_part", "chunk_index").collect()
+    one = [r for r in rows if r["doc_id"] == 1]
+    assert [(r["title"], r["parent_content"], r["content"]) for r in one] == [
+        ("## One", "# Book\n## One\nstart\n\nforeword\n\nfirst text.".replace("start\n\nforeword", "start\nforeword"), "# Book\n## One\nstart\nforeword\n\nfirst text."),
+        ("## Two", "# Book\n## Two\nsecond text.", "# Book\n## Two\nsecond text."),
+        ("## Three", "# Late\n## Three\nthird", "# Late\n## Three\nthird"),
+    ]
     assert [r["content"] for r in rows if r["doc_id"] == 2] == ["no heading at all"]
     assert not [r for r in rows if r["doc_id"] in (3, 4)]
+    long = [r for r in rows if r["doc_id"] == 5]
+    assert len({r["parent_id"] for r in long}) == 3 and all(r["tokens"] <= 30 and r["content"].startswith("## Long\n") for r in long)
+    assert sorted({w for r in long for w in r["content"].split()[2:]}) == sorted(f"w{i}" for i in range(200))
+    (pic,) = [r for r in rows if r["doc_id"] == 6]
+    assert pic["images"] and "cat.png" not in pic["parent_content"] and pic["content"].startswith("## Pic\n") and pic["content"].endswith("text")
 
 
 def test_windows_lose_nothing():
