@@ -75,4 +75,13 @@ def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_personal_data, op4_token_store, op5_sentencepiece, op6_toxicity, op7_language_model, op8_packing, op9_simhash, op10_embedding_graph)}
-ORACLES: dict[str, str] = {}
+#: The definition of operator 10 over all pairs; the query finds links by its graphs.
+_LINKS = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r(a, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a)
+SELECT m.vec_id, coalesce(k.n, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+FROM (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a) m
+LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = m.vec_id
+"""
+ORACLES: dict[str, str] = {"op10_embedding_graph": _LINKS}
