@@ -249,3 +249,12 @@ def test_repeated_ids_with_different_texts(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
     docs = spark.createDataFrame([(1, one), (1, two), (1, two), (0, one), (2, three)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"][0]) for r in simhash.one_of_each(docs).collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_clashing_names_stay(spark):
+    rows = [(1, "mail ann.bell@example.com now", 5, 6, 7, 8), (2, None, 1, 2, 3, 4), (3, "plain words only here", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found int, mark int, id int, key int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == rows
+    masked = {r["doc_id"]: r for r in personal_data.redact(docs).collect()}
+    assert masked[1].asDict() == {"doc_id": 1, "text": "mail <EMAIL> now", "found": 5, "mark": 6, "id": 7, "key": 8} and tuple(masked[2]) == rows[1]
