@@ -16,6 +16,21 @@ def equals(df: DataFrame, **values) -> Column:
     return all_of(*[F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(k) == F.lit(v) for k, v in values.items() if v is not None and k in df.columns])
 
 
+def differs(df: DataFrame, **values) -> Column:
+    """Inequality on each column that ``df`` has; a missing value differs from none."""
+    return all_of(*[F.col(k) != F.lit(v) for k, v in values.items() if v is not None and k in df.columns])
+
+
+def below(df: DataFrame, **values) -> Column:
+    """Values under a bound on each column that ``df`` has."""
+    return all_of(*[F.col(k) < F.lit(v) for k, v in values.items() if v is not None and k in df.columns])
+
+
+def starts_with(column: str, text: str | None) -> Column | None:
+    """A prefix, with nothing in ``text`` being special."""
+    return F.startswith(F.col(column), F.lit(text)) if text else None
+
+
 def holds_text(column: str, text: str | None) -> Column | None:
     """Case-blind substring, with nothing in ``text`` being special."""
     return F.contains(F.lower(F.col(column)), F.lower(F.lit(text))) if text else None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html, markdown, text
-from ..functions.predicates import equals
+from ..functions.predicates import all_of, below, differs, equals, starts_with
 from ..operators import chunking, dedup, headings, listing, publishing, snapshots, vectors, wiki
 from ..streaming import limits
 from . import tables as t
@@ -462,3 +462,17 @@ def after_cascade(spark, d):
 def vector_stats(spark, d):
     """Vectors of each space, how many are current, and their numbers of components."""
     return vectors.stats(t.vectors(spark, d), "space_id").withColumn("least_size", F.col("least_size").cast("long")).withColumn("most_size", F.col("most_size").cast("long"))
+
+
+@query("SELECT count(*) AS n_vectors, min(vec_id) AS least, max(vec_id) AS most FROM embeddings WHERE label <> 3 AND vec_id < 400 AND vec_id % 5 <> 0")
+def vectors_below(spark, d):
+    """Current vectors under an inequality and a bound."""
+    v = t.vectors(spark, d)
+    return v.where(all_of(differs(v, space_id=3), below(v, vec_id=400), equals(v, is_current=True))).agg(F.count("*").alias("n_vectors"), F.min("vec_id").alias("least"), F.max("vec_id").alias("most"))
+
+
+@query("SELECT tenant_id, count(*) AS n_left FROM files WHERE NOT (name LIKE 'doc-1%' AND status <> 'done') GROUP BY tenant_id", FILES)
+def deleted_by_name(spark, d):
+    """Files of each tenant left after those with a name's beginning that aren't finished are deleted."""
+    f = t.files(spark, d)
+    return f.where(~all_of(starts_with("name", "doc-1"), differs(f, status="done"))).groupBy("tenant_id").agg(F.count("*").alias("n_left"))
