@@ -1,17 +1,26 @@
 """Markdown cleaning as column expressions over a document's lines.
 
 A text is cut at its code fences and only what lies outside is cleaned, so the
-passes never see code.  Each pass maps an array of lines to one.
+passes never see code.  Each pass maps an array of lines to one; passages said
+twice within a line are found by an Arrow function, as a backtracking pattern
+would try every length at every character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _CJK = r"[一-鿿]"
 _HEAD = r"^#{1,6}\s"
-#: Headings that carry nothing.
-NOISE = ["thanks", "thank you", "contents", "business", "目录", "谢谢"]
+#: Headings that carry nothing, in lower case; numbers of up to four digits go as well.
+NOISE = ["thanks", "business", "contents", "table of contents", "目录"]
+#: Bounds of a passage said twice, and of a body line that may become a list item.
+SHORTEST, LONGEST, LIST_CHARS = 14, 120, 360
 _STRUCTURE = r"^\s*(?:#{1,6}\s|[-*+]\s|\d+[.)、]|\||>|!\[|```|---|$)"
 
 
@@ -28,10 +37,11 @@ def bold_headings(lines: Column) -> Column:
     return _each(lines, r"^\s*\*\*\s*(\d+、[^*]{1,118}?)\s*\*\*\s*$", r"## $1")
 
 
-def junk_headings(lines: Column) -> Column:
+def junk_headings(lines: Column, noisy: Iterable[str] = NOISE) -> Column:
     """Headings of noise or page numbers go; very long ones, and longer ones with sentence marks, become text."""
     body = lambda x: F.trim(F.regexp_replace(x, r"^#{1,6}\s*", ""))
-    noise = lambda x: F.lower(body(x)).isin(NOISE) | body(x).rlike(r"^\d{1,4}$")
+    dense = [re.sub(r"\s+", "", n).lower() for n in noisy]
+    noise = lambda x: F.lower(F.regexp_replace(body(x), r"\s+", "")).isin(dense) | body(x).rlike(r"^\d{1,4}$")
     long = lambda x: (F.length(body(x)) > 120) | ((F.length(body(x)) >= 30) & body(x).rlike("[。；;]"))
     kept = F.filter(lines, lambda x: ~(x.rlike(_HEAD) & noise(x)))
     return F.transform(kept, lambda x: F.when(x.rlike(_HEAD) & long(x), body(x)).otherwise(x))
@@ -138,7 +148,7 @@ def numbered_lists(lines: Column) -> Column:
     """Numbered body lines become list items where another one stands within eight lines."""
     number = r"^\s*\d{1,2}[、．]\s*(?=\S)"
     near = lambda i: F.concat(F.slice(lines, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), F.slice(lines, i + 2, 8))
-    return F.transform(lines, lambda x, i: F.when(x.rlike(number) & F.exists(near(i), lambda y: y.rlike(number)), F.concat(F.lit("- "), F.regexp_replace(x, number, ""))).otherwise(x))
+    return F.transform(lines, lambda x, i: F.when((F.length(x) <= LIST_CHARS) & x.rlike(number) & F.exists(near(i), lambda y: y.rlike(number)), F.concat(F.lit("- "), F.regexp_replace(x, number, ""))).otherwise(x))
 
 
 def paged_lines(lines: Column) -> Column:
@@ -148,14 +158,70 @@ def paged_lines(lines: Column) -> Column:
     return F.flatten(F.transform(lines, lambda x: F.when(long(x), F.array(F.regexp_replace(x, twice, r"## $1$2"), F.regexp_replace(x, twice, r"$3"))).otherwise(F.array(x))))
 
 
-def repeats(lines: Column) -> Column:
-    """Of identical neighbouring lines one stays, and of a passage repeated at once within a line."""
-    kept = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), ((i > 0) & (F.trim(x) != "") & (F.get(lines, i - 1) == x)).alias("again"))), lambda s: ~F.coalesce(s["again"], F.lit(False))), lambda s: s["x"])
-    return F.transform(kept, lambda x: F.when(_table(x), x).otherwise(F.regexp_replace(x, r"(.{14,120})\s*\1", r"$1")))
+def repeated_neighbours(lines: Column) -> Column:
+    """Of identical neighbouring lines one stays."""
+    again = lambda x, i: F.coalesce((i > 0) & (F.trim(x) != "") & (F.get(lines, i - 1) == x), F.lit(False))
+    return F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), again(x, i).alias("again"))), lambda s: ~s["again"]), lambda s: s["x"])
 
 
-def bullets(lines: Column) -> Column:
-    return _each(lines, r"^\s*[·•]+\s*", "- ")
+_TWICE = re.compile(rf"(.{{{SHORTEST},{LONGEST}}})\s*\1", re.ASCII)
+_GAPS = re.compile(r"[^\S\n]+", re.ASCII)
+
+
+def _said_twice(lines: list[str]) -> set[int]:
+    """Numbers of the lines that may say a passage twice in a row.
+
+    Without its gaps such a line agrees with itself, moved by the passage's length, over that length.  A passage whose
+    gaps are single characters keeps at least half its length.
+    """
+    codes = np.frombuffer("\n".join(_GAPS.sub("", x) for x in lines).encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(codes == 10)
+    found: set[int] = set()
+    for length in range(SHORTEST // 2, min(LONGEST, len(codes) // 2) + 1):
+        run, width = codes[length:] == codes[:-length], 1
+        while width < length and run.size:
+            step = min(width, length - width)
+            run, width = run[:-step] & run[step:], width + step
+        found.update(np.searchsorted(ends, np.flatnonzero(run)).tolist())
+    return found
+
+
+def _without_repeats(flat: list[str], block: int = 1 << 18) -> list[str]:
+    """The lines, taken in blocks of about ``block`` characters; a passage repeated at once is said once, but in tables."""
+    out, start = list(flat), 0
+    while start < len(out):
+        end, size = start, 0
+        while end < len(out) and (end == start or size < block):
+            size, end = size + len(out[end]) + 1, end + 1
+        part = out[start:end]
+        twice = _said_twice(part) | {i for i, x in enumerate(part) if re.search(r"\s\s", x)}
+        for i in twice:
+            if not part[i].lstrip().startswith("|"):
+                out[start + i] = _TWICE.sub(r"\1", part[i])
+        start = end
+    return out
+
+
+def _last_passes(repeats: bool = True, bullets: bool = True):
+    """A function of parts of texts, of which every second one lies inside code fences and stays: passages repeated at
+    once within a line are said once; marks before a line become a list item."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(parts: pd.Series) -> pd.Series:
+        out = [None if p is None else list(p) for p in parts]
+        places = [(i, j) for i, p in enumerate(out) if p is not None for j in range(0, len(p), 2)]
+        rows = [out[i][j].split("\n") for i, j in places]
+        flat = [line for r in rows for line in r]
+        if repeats:
+            flat = _without_repeats(flat)
+        if bullets:
+            flat = [re.sub(r"^\s*[·•]+\s*", "- ", x) for x in flat]
+        lines = iter(flat)
+        for (i, j), r in zip(places, rows):
+            out[i][j] = "\n".join(next(lines) for _ in r)
+        return pd.Series(out, dtype=object)
+
+    return run
 
 
 def single_title(lines: Column) -> Column:
@@ -164,21 +230,70 @@ def single_title(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.when((i + 1 > first) & (first > 0) & x.rlike(r"^#\s"), F.concat(F.lit("#"), x)).otherwise(x))
 
 
-PASSES = [bold_headings, junk_headings, empty_headings, recognition_garbage, spacing, page_residue, wrapped_lines, external_links, repeated_headings, numbered_lists, paged_lines, repeats, bullets]
+#: The passes in order; ``repeated_passages`` and ``bullets`` follow in Arrow.
+PASSES = [bold_headings, junk_headings, empty_headings, recognition_garbage, spacing, page_residue, wrapped_lines, external_links, repeated_headings, numbered_lists, paged_lines, repeated_neighbours]
+#: Lines that a report names.
+DETAILS = 200
 
 
 def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def clean(text: Column, one_title: Column | bool = False) -> Column:
-    """All passes in order over what lies outside code fences; ``one_title`` also leaves one first-level heading."""
+def _outside(parts: Column, use) -> Column:
+    """``use`` on the lines of every part outside code fences."""
+    return F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).otherwise(F.array_join(use(F.split(p, r"\n", -1)), "\n")))
 
-    def outside(part: Column) -> Column:
-        lines = F.split(part, r"\n", -1)
-        for f in PASSES:
-            lines = _once(lines, f)
-        lines = F.when(F.lit(one_title) if isinstance(one_title, bool) else one_title, _once(lines, single_title)).otherwise(lines)
-        return F.array_join(lines, "\n")
 
-    return F.array_join(F.transform(F.split(text, "```", -1), lambda p, i: F.when(i % 2 == 1, p).otherwise(outside(p))), "```")
+def _steps(one_title: Column | bool, skip: Iterable[str], layout: bool, noise: Iterable[str]) -> list:
+    """(name, pass over lines) of all passes before those in Arrow."""
+    left_out = {*skip, *(["bold_headings"] if layout else [])}
+    wanted = F.lit(one_title) if isinstance(one_title, bool) else one_title
+    steps = [(f.__name__, (lambda x: junk_headings(x, noise)) if f is junk_headings else f) for f in PASSES]
+    return [s for s in steps if s[0] not in left_out] + [("single_title", lambda x: F.when(wanted, _once(x, single_title)).otherwise(x))]
+
+
+def clean(rows: DataFrame, text: str, one_title: Column | bool = False, skip: Iterable[str] = (), layout: bool = False, noise: Iterable[str] = NOISE) -> DataFrame:
+    """``rows`` with ``markdown``: the column ``text`` after all passes in order over what lies outside code fences.
+
+    ``one_title`` also leaves one first-level heading; ``skip`` names passes to leave out; with ``layout`` bold lines stay,
+    as headings come from boxes; ``noise`` lists headings that go.  A null text gives null.
+    """
+
+    def run(lines: Column) -> Column:
+        for _, f in _steps(one_title, skip, layout, noise):
+            lines = _once(lines, f)
+        return lines
+
+    last = _last_passes("repeated_passages" not in skip, "bullets" not in skip)
+    # Two uses keep the parts in a projection of their own: a Python function can't take nested lambdas as its input.
+    parts = rows.withColumn("_parts", _outside(F.split(F.col(text), "```", -1), run))
+    return parts.select(*rows.columns, F.when(F.col("_parts").isNotNull(), F.array_join(last("_parts"), "```")).alias("markdown"))
+
+
+def clean_report(rows: DataFrame, text: str, one_title: Column | bool = False, skip: Iterable[str] = (), layout: bool = False, noise: Iterable[str] = NOISE) -> DataFrame:
+    """``rows`` with ``markdown``, as ``clean`` gives it, and a report of what the passes did.
+
+    ``counts`` has each pass that ran with the number of lines it took away or changed (the greater of the lines lost and
+    the different lines that it left no equal of); ``details`` names up to 200 of those lines as (pass, line), each cut
+    at 200 characters.  A null text gives null in all three.
+    """
+    steps = [(name, lambda c, f=f: _outside(c, f)) for name, f in _steps(one_title, skip, layout, noise)]
+    steps += [(name, _last_passes(name == "repeated_passages", name == "bullets")) for name in ("repeated_passages", "bullets") if name not in skip]
+    out = rows.withColumn("_clean", F.array(F.split(F.col(text), "```", -1)))
+    for name, f in steps:
+        out = out.withColumn("_next", f(F.element_at("_clean", -1))).withColumn("_clean", F.concat("_clean", F.array("_next"))).drop("_next")
+
+    def report(i: Column) -> Column:
+        lines = lambda p: F.flatten(F.transform(F.filter(p, lambda x, n: n % 2 == 0), lambda x: F.split(x, r"\n", -1)))
+        before, after = lines(F.get("_clean", i)), lines(F.get("_clean", i + 1))
+        gone = F.array_except(before, after)
+        name = F.get(F.array(*[F.lit(n) for n, _ in steps]), i)
+        lost = F.greatest(F.size(gone), F.size(before) - F.size(after)).cast("long")
+        return F.struct(name.alias("pass"), lost.alias("n"), F.transform(gone, lambda x: F.struct(name.alias("pass"), F.substring(x, 1, 200).alias("line"))).alias("lines"))
+
+    known = F.col(text).isNotNull()
+    out = out.withColumn("_report", F.when(known, F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), report)))
+    counts = F.map_from_entries(F.transform("_report", lambda r: F.struct(r["pass"], r["n"])))
+    details = F.slice(F.flatten(F.transform("_report", lambda r: r["lines"])), 1, DETAILS)
+    return out.select(*rows.columns, F.array_join(F.element_at("_clean", -1), "```").alias("markdown"), counts.alias("counts"), details.alias("details"))

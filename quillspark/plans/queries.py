@@ -396,7 +396,15 @@ def html_to_markdown(spark, d):
 
 @query()
 def clean_markdown(spark, d):
-    return t.table(spark, d, "documents").select("doc_id", markdown.clean(F.coalesce("text", F.lit(""))).alias("markdown"))
+    return markdown.clean(t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text").drop("text")
+
+
+@query()
+def clean_counts(spark, d):
+    """Lines that each cleaning pass took away or changed, and the documents it touched."""
+    r = markdown.clean_report(t.table(spark, d, "documents").select("doc_id", "text"), "text")
+    n = r.select(F.explode("counts").alias("pass", "n"))
+    return n.groupBy("pass").agg(F.sum("n").alias("n_lines"), F.sum((F.col("n") > 0).cast("long")).alias("n_documents"))
 
 
 @query()

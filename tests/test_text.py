@@ -58,7 +58,7 @@ CLEANED = {
 
 def test_cleaner(spark):
     rows = spark.createDataFrame([(t,) for t in CLEANED], "t string")
-    assert {r["t"]: r["c"] for r in rows.select("t", markdown.clean(F.col("t"), one_title=True).alias("c")).collect()} == CLEANED
+    assert {r["t"]: r["markdown"] for r in markdown.clean(rows, "t", one_title=True).collect()} == CLEANED
 
 
 FAR = " ".join(f"p{i}q" for i in range(100, 180))
@@ -75,7 +75,7 @@ WRAPPED = {
 
 def test_wraps_and_repeated_headings(spark):
     rows = spark.createDataFrame([(t,) for t in WRAPPED], "t string")
-    assert {r["t"]: r["c"] for r in rows.select("t", markdown.clean(F.col("t")).alias("c")).collect()} == WRAPPED
+    assert {r["t"]: r["markdown"] for r in markdown.clean(rows, "t").collect()} == WRAPPED
 
 
 def test_sections_and_chunks(spark):
