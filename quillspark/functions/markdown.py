@@ -202,7 +202,7 @@ def _without_repeats(flat: list[str], block: int = 1 << 18) -> list[str]:
     return out
 
 
-def _last_passes(repeats: bool = True, bullets: bool = True):
+def _last_passes(repeats: bool, bullets: bool):
     """A function of parts of texts, of which every second one lies inside code fences and stays: passages repeated at
     once within a line are said once; marks before a line become a list item."""
 
@@ -232,8 +232,6 @@ def single_title(lines: Column) -> Column:
 
 #: The passes in order; ``repeated_passages`` and ``bullets`` follow in Arrow.
 PASSES = [bold_headings, junk_headings, empty_headings, recognition_garbage, spacing, page_residue, wrapped_lines, external_links, repeated_headings, numbered_lists, paged_lines, repeated_neighbours]
-#: Lines that a report names.
-DETAILS = 200
 
 
 def _once(value: Column, use) -> Column:
@@ -269,31 +267,3 @@ def clean(rows: DataFrame, text: str, one_title: Column | bool = False, skip: It
     # Two uses keep the parts in a projection of their own: a Python function can't take nested lambdas as its input.
     parts = rows.withColumn("_parts", _outside(F.split(F.col(text), "```", -1), run))
     return parts.select(*rows.columns, F.when(F.col("_parts").isNotNull(), F.array_join(last("_parts"), "```")).alias("markdown"))
-
-
-def clean_report(rows: DataFrame, text: str, one_title: Column | bool = False, skip: Iterable[str] = (), layout: bool = False, noise: Iterable[str] = NOISE) -> DataFrame:
-    """``rows`` with ``markdown``, as ``clean`` gives it, and a report of what the passes did.
-
-    ``counts`` has each pass that ran with the number of lines it took away or changed (the greater of the lines lost and
-    the different lines that it left no equal of); ``details`` names up to 200 of those lines as (pass, line), each cut
-    at 200 characters.  A null text gives null in all three.
-    """
-    steps = [(name, lambda c, f=f: _outside(c, f)) for name, f in _steps(one_title, skip, layout, noise)]
-    steps += [(name, _last_passes(name == "repeated_passages", name == "bullets")) for name in ("repeated_passages", "bullets") if name not in skip]
-    out = rows.withColumn("_clean", F.array(F.split(F.col(text), "```", -1)))
-    for name, f in steps:
-        out = out.withColumn("_next", f(F.element_at("_clean", -1))).withColumn("_clean", F.concat("_clean", F.array("_next"))).drop("_next")
-
-    def report(i: Column) -> Column:
-        lines = lambda p: F.flatten(F.transform(F.filter(p, lambda x, n: n % 2 == 0), lambda x: F.split(x, r"\n", -1)))
-        before, after = lines(F.get("_clean", i)), lines(F.get("_clean", i + 1))
-        gone = F.array_except(before, after)
-        name = F.get(F.array(*[F.lit(n) for n, _ in steps]), i)
-        lost = F.greatest(F.size(gone), F.size(before) - F.size(after)).cast("long")
-        return F.struct(name.alias("pass"), lost.alias("n"), F.transform(gone, lambda x: F.struct(name.alias("pass"), F.substring(x, 1, 200).alias("line"))).alias("lines"))
-
-    known = F.col(text).isNotNull()
-    out = out.withColumn("_report", F.when(known, F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), report)))
-    counts = F.map_from_entries(F.transform("_report", lambda r: F.struct(r["pass"], r["n"])))
-    details = F.slice(F.flatten(F.transform("_report", lambda r: r["lines"])), 1, DETAILS)
-    return out.select(*rows.columns, F.array_join(F.element_at("_clean", -1), "```").alias("markdown"), counts.alias("counts"), details.alias("details"))

@@ -70,3 +70,39 @@ def converted(old: DataFrame, new: DataFrame) -> DataFrame:
     same = F.col("_raw").isNull() | F.col("raw").eqNullSafe(F.col("_raw"))
     version = F.when(F.col("version").isNull(), 1).when(same, F.col("version")).otherwise(F.col("version") + 1)
     return both.select("file_id", F.coalesce("_raw", "raw").alias("raw"), F.when(same, F.col("cleaned")).alias("cleaned"), version.cast("long").alias("version"))
+
+
+def mark_cleaned(conversions: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Conversions after a cleaning: the first raw text stays, and the version rises only if the text changed.
+
+    ``conversions``: file_id, markdown, raw, clean_state, version; ``cleaned``: file_id, markdown, source.
+    """
+    new = cleaned.select("file_id", F.col("markdown").alias("_m"), F.col("source").alias("_s"), F.lit(True).alias("_hit"))
+    both = conversions.join(new, "file_id", "left")
+    rises = F.col("_hit").isNotNull() & ~F.col("markdown").eqNullSafe(F.col("_m"))
+    take = lambda new, old: F.when(F.col("_hit"), new).otherwise(F.col(old)).alias(old)
+    return both.select("file_id", take(F.col("_m"), "markdown"), take(F.coalesce("raw", "_s"), "raw"), take(F.lit("cleaned"), "clean_state"), (F.col("version") + rises.cast("long")).alias("version"))
+
+
+def edit_conversions(conversions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Conversions after edits by hand: of the raw text, which ends any cleaning, or of the cleaned one; the version rises.
+
+    ``edits``: file_id, markdown, target ('raw' or 'cleaned').
+    """
+    both = conversions.join(edits.select("file_id", F.col("markdown").alias("_m"), F.col("target").alias("_t")), "file_id", "left")
+    hit, raw = F.col("_t").isNotNull(), F.col("_t") == "raw"
+    state = F.when(raw, "edited").when(hit, "cleaned").otherwise(F.col("clean_state"))
+    return both.select("file_id", F.when(hit, F.col("_m")).otherwise(F.col("markdown")).alias("markdown"), F.when(raw, F.col("_m")).otherwise(F.col("raw")).alias("raw"), state.alias("clean_state"), (F.col("version") + hit.cast("long")).alias("version"))
+
+
+def delete_in_scopes(parents: DataFrame, scopes: DataFrame, tenant_id: str, kb_id: str, keep: DataFrame) -> DataFrame:
+    """Parents of the given scopes become 'deleted'; those listed in ``keep`` stay, but only in the current scope.
+
+    Ids repeat across scopes when content is unchanged, so what the current scope keeps mustn't hold elsewhere.
+    """
+    marked = scopes.where("tenant_id <> '' and kb_id <> ''").select(*SCOPE).distinct().withColumn("_scope", F.lit(True))
+    kept = keep.select("parent_id").distinct().withColumn("_keep", F.lit(True))
+    own = (F.col("tenant_id") == tenant_id) & (F.col("kb_id") == kb_id)
+    gone = F.col("_scope").isNotNull() & ~(own & F.col("_keep").isNotNull())
+    both = parents.join(marked, SCOPE, "left").join(kept, "parent_id", "left")
+    return both.withColumn("status", F.when(gone, "deleted").otherwise(F.col("status"))).select(parents.columns)

@@ -103,3 +103,27 @@ def line_diff(old: Column, new: Column) -> Column:
         return pd.Series([[{"op": o, "text": t} for o, t in one(x, y)] for x, y in zip(a, b)])
 
     return run(old, new)
+
+
+def recovered(pages: DataFrame, revisions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pages stuck in publishing, with their ``latest`` revision and new status: published where it has vectors, else draft.
+
+    ``pages`` are the stale ones; a page without revisions becomes a draft.
+    """
+    newest = revisions.groupBy("page_id").agg(F.max("revision_id").alias("latest"))
+    there = vectors.select("page_id", F.col("revision_id").alias("latest")).distinct().withColumn("_there", F.lit(True))
+    found = pages.join(newest, "page_id", "left").join(there, ["page_id", "latest"], "left")
+    return found.select(*[c for c in pages.columns if c != "status"], "latest", F.when(F.col("_there"), "published").otherwise("draft").alias("status"))
+
+
+def keep_revision(vectors: DataFrame, keep: DataFrame) -> DataFrame:
+    """Vectors without those of the pages in ``keep`` (page_id, revision_id) that belong to other revisions; a null revision keeps none."""
+    k = keep.select("page_id", F.col("revision_id").alias("_kept"), F.lit(True).alias("_known"))
+    rows = vectors.join(k, "page_id", "left")
+    return rows.where(F.col("_known").isNull() | F.coalesce(F.col("revision_id") == F.col("_kept"), F.lit(False))).select(vectors.columns)
+
+
+def purged(nodes: DataFrame, gone: Column) -> DataFrame:
+    """A forest (id, parent_id) of pages or comments without the nodes where ``gone`` holds and all below them."""
+    marks = climb(nodes.select("id", "parent_id", gone.alias("mark"))).where("not marked").select("id")
+    return nodes.join(marks, "id", "left_semi")

@@ -399,14 +399,6 @@ def clean_markdown(spark, d):
     return markdown.clean(t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text").drop("text")
 
 
-@query()
-def clean_counts(spark, d):
-    """Lines that each cleaning pass took away or changed, and the documents it touched."""
-    r = markdown.clean_report(t.table(spark, d, "documents").select("doc_id", "text"), "text")
-    n = r.select(F.explode("counts").alias("pass", "n"))
-    return n.groupBy("pass").agg(F.sum("n").alias("n_lines"), F.sum((F.col("n") > 0).cast("long")).alias("n_documents"))
-
-
 @query()
 def chunk_tree(spark, d):
     return chunking.chunk_tree(t.table(spark, d, "documents")).select("doc_id", "parent_id", "title", "chunk_index", "content", "tokens")
@@ -484,3 +476,76 @@ def deleted_by_name(spark, d):
     """Files of each tenant left after those with a name's beginning that aren't finished are deleted."""
     f = t.files(spark, d)
     return f.where(~all_of(starts_with("name", "doc-1"), differs(f, status="done"))).groupBy("tenant_id").agg(F.count("*").alias("n_left"))
+
+
+@query(
+    "SELECT parent_id, status, CASE WHEN status <> 'deleted' AND kb_id LIKE '%STEEL' THEN 'deleted' ELSE status END AS after_scopes,"
+    " CASE WHEN status <> 'deleted' AND tenant_id <> 'Brand#11' THEN 'deleted' ELSE status END AS after_outside FROM store",
+    STORE,
+)
+def scoped_deletes(spark, d):
+    """Parents after soft deletes within scopes (steel bases, none of them the current scope) and outside one."""
+    p = t.parent_store(spark, d)
+    keys = ["tenant_id", "kb_id", "parent_id"]
+    scopes = p.where("kb_id like '%STEEL'").select("tenant_id", "kb_id").distinct()
+    within = publishing.delete_in_scopes(p, scopes, "none", "none", p.where("parent_id % 4 = 0")).select(*keys, F.col("status").alias("after_scopes"))
+    outside = snapshots.soft_delete(p, F.col("tenant_id") != "Brand#11").select(*keys, F.col("status").alias("after_outside"))
+    return p.join(within, keys).join(outside, keys).select("parent_id", "status", "after_scopes", "after_outside")
+
+
+@query(
+    "SELECT parent_id, CASE WHEN status <> 'deleted' AND (tenant_id = 'Brand#12' OR tenant_id = 'Brand#11' AND NOT (kb_id = 'PROMO BURNISHED COPPER' AND parent_id % 4 = 0)) THEN 'deleted' ELSE status END AS status FROM store",
+    STORE,
+)
+def deletes_keeping_current(spark, d):
+    """Soft deletes in every scope of two tenants; only the current scope keeps the parents just published."""
+    p = t.parent_store(spark, d)
+    scopes = p.where("tenant_id in ('Brand#11', 'Brand#12')").select("tenant_id", "kb_id").distinct()
+    return publishing.delete_in_scopes(p, scopes, "Brand#11", "PROMO BURNISHED COPPER", p.where("parent_id % 4 = 0")).select("parent_id", "status")
+
+
+@query(
+    "SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 3 = 1 THEN 'old' ELSE 'same' END AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'raw' ELSE 'old' END AS raw,"
+    " CASE doc_id % 3 WHEN 2 THEN 'edited' WHEN 1 THEN 'raw' ELSE 'cleaned' END AS clean_state, CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 5 END AS version FROM documents WHERE doc_id % 3 <> 2"
+    " UNION ALL SELECT doc_id, 'edit', CASE WHEN doc_id % 2 = 0 THEN 'edit' WHEN doc_id % 4 = 1 THEN 'raw' END, CASE WHEN doc_id % 2 = 0 THEN 'edited' ELSE 'cleaned' END, 6 FROM documents WHERE doc_id % 3 = 2",
+)
+def conversion_edits(spark, d):
+    """Conversions after a cleaning of some (the raw text is kept, the version rises only with the text) and edits of others."""
+    k = F.col("file_id")
+    ids = t.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
+    old = ids.select("file_id", F.lit("old").alias("markdown"), F.when(k % 3 == 2, F.when(k % 4 == 1, "raw")).otherwise(F.when(k % 2 == 0, "raw")).alias("raw"), F.lit("raw").alias("clean_state"), F.lit(5).cast("long").alias("version"))
+    cleaned = ids.where("file_id % 3 <> 2").select("file_id", F.when(k % 3 == 0, "new").otherwise("old").alias("markdown"), F.lit("old").alias("source"))
+    edits = ids.where("file_id % 3 = 2").select("file_id", F.lit("edit").alias("markdown"), F.when(k % 2 == 0, "raw").otherwise("cleaned").alias("target"))
+    done = publishing.mark_cleaned(old, cleaned).withColumn("clean_state", F.when(k % 3 == 1, "raw").otherwise(F.col("clean_state")))
+    return publishing.edit_conversions(done, edits)
+
+
+@query(
+    "SELECT page_id, max(revision_id) AS latest, CASE WHEN max(revision_id) IS NOT NULL AND bool_or(v.revision IS NOT NULL) THEN 'published' ELSE 'draft' END AS status FROM (SELECT p.page_id, r.latest AS revision_id FROM pages p LEFT JOIN (SELECT page_id, max(revision_id) AS latest FROM revisions GROUP BY page_id) r ON p.page_id = r.page_id WHERE p.page_id % 2 = 0) x"
+    " LEFT JOIN (SELECT vec_id % 60 AS page, vec_id % 5 AS revision FROM embeddings) v ON v.page = x.page_id AND v.revision = x.revision_id GROUP BY page_id",
+    PAGES,
+    REVISIONS,
+)
+def recovered_publishes(spark, d):
+    """Pages stuck in publishing: published where the newest revision has vectors, else drafts again."""
+    k = F.col("vec_id")
+    v = t.vectors(spark, d).select((k % 60).alias("page_id"), (k % 5).alias("revision_id"))
+    return wiki.recovered(t.pages(spark, d).where("page_id % 2 = 0"), t.revisions(spark, d), v).select("page_id", "latest", "status")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 60 NOT IN (SELECT page_id FROM pages) OR vec_id % 5 = 1", PAGES)
+def converged_vectors(spark, d):
+    """Vectors left when every page keeps those of one revision; vectors of unknown pages stay."""
+    k = F.col("vec_id")
+    v = t.vectors(spark, d).select("vec_id", (k % 60).alias("page_id"), (k % 5).alias("revision_id"))
+    return wiki.keep_revision(v, t.pages(spark, d).select("page_id", F.lit(1).cast("long").alias("revision_id"))).select("vec_id")
+
+
+@query(
+    "RECURSIVE +s AS (SELECT id, id % 10 = 0 AS gone FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, s.gone OR t.id % 10 = 0 FROM tree t JOIN s ON t.parent_id = s.id)"
+    " SELECT id FROM s WHERE NOT gone",
+    TREE,
+)
+def purged_tree(spark, d):
+    """Nodes left after every tenth is purged with all that lies below it."""
+    return wiki.purged(t.tree(spark, d), F.col("id") % 10 == 0).select("id")

@@ -61,6 +61,27 @@ def test_cleaner(spark):
     assert {r["t"]: r["markdown"] for r in markdown.clean(rows, "t", one_title=True).collect()} == CLEANED
 
 
+def test_cleaner_options(spark):
+    rows = spark.createDataFrame([("**1、Plan**\n·one\n# Appendix",)], "t string")
+    one = lambda **k: markdown.clean(rows, "t", **k).first()["markdown"]
+    assert one(layout=True, skip=["bullets"]) == "**1、Plan**\n·one\n# Appendix"
+    assert one(noise=["appendix"]) == "## 1、Plan\n- one"
+
+
+def test_repeated_passages():
+    import random
+    import re
+
+    random.seed(3)
+    draw = lambda: "".join(random.choice("ab \t" if random.random() < 0.5 else "abcdefgh ") for _ in range(random.randint(0, 60)))
+    lines = []
+    for _ in range(3000):
+        a = draw()
+        lines.append(a + random.choice(["", " ", "  ", "\t"]) + a + "x" if random.random() < 0.5 else a)
+    want = [re.sub(r"(.{14,120})\s*\1", r"\1", x) for x in lines]
+    assert markdown._without_repeats(lines, 500) == want and want != lines
+
+
 FAR = " ".join(f"p{i}q" for i in range(100, 180))
 WRAPPED = {
     "a soft\nwrapped line\n\nanother": "a soft wrapped line\n\nanother",
