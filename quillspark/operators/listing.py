@@ -66,3 +66,10 @@ def delete_cascade(parents: DataFrame, gone: Column, key: str, children: DataFra
     """Parents without those that are ``gone``, and children without the children of those."""
     lost = parents.where(gone).select(F.col(key).alias("_lost")).distinct()
     return parents.where(~F.coalesce(gone, F.lit(False))), children.join(lost, F.col(child_key) == F.col("_lost"), "left_anti")
+
+
+def edit_chunks(chunks: DataFrame, edits: DataFrame, gone: DataFrame) -> DataFrame:
+    """Chunks without those in ``gone`` (seq), and with the texts of ``edits`` (seq, content), each seq once."""
+    new = edits.select("seq", F.col("content").alias("_new"))
+    left = chunks.join(gone.select("seq").distinct(), "seq", "left_anti").join(new, "seq", "left")
+    return left.withColumn("content", F.coalesce("_new", "content")).select(chunks.columns)

@@ -106,3 +106,23 @@ def delete_in_scopes(parents: DataFrame, scopes: DataFrame, tenant_id: str, kb_i
     gone = F.col("_scope").isNotNull() & ~(own & F.col("_keep").isNotNull())
     both = parents.join(marked, SCOPE, "left").join(kept, "parent_id", "left")
     return both.withColumn("status", F.when(gone, "deleted").otherwise(F.col("status"))).select(parents.columns)
+
+
+#: Fixed value: characters of an error that a job keeps.
+ERROR_CHARS = 2000
+
+
+def update_jobs(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """Jobs after updates by job_id: the state is set, null fields of an update leave what was there, errors are cut.
+
+    ``jobs``: job_id, state, indexed_chunks, last_error, retry_count and others; ``updates``: job_id (once each), state,
+    indexed_chunks, error, retry (whether the count of retries rises).
+    """
+    new = updates.select("job_id", F.col("state").alias("_state"), F.col("indexed_chunks").alias("_n"), F.col("error").alias("_error"), F.col("retry").alias("_retry"))
+    value = {
+        "state": F.coalesce("_state", "state"),
+        "indexed_chunks": F.coalesce("_n", "indexed_chunks"),
+        "last_error": F.coalesce(F.substring("_error", 1, ERROR_CHARS), "last_error"),
+        "retry_count": F.col("retry_count") + F.coalesce(F.col("_retry"), F.lit(False)).cast("long"),
+    }
+    return jobs.join(new, "job_id", "left").select(*[value[c].alias(c) if c in value else F.col(c) for c in jobs.columns])

@@ -127,3 +127,9 @@ def purged(nodes: DataFrame, gone: Column) -> DataFrame:
     """A forest (id, parent_id) of pages or comments without the nodes where ``gone`` holds and all below them."""
     marks = climb(nodes.select("id", "parent_id", gone.alias("mark"))).where("not marked").select("id")
     return nodes.join(marks, "id", "left_semi")
+
+
+def newest_revisions(revisions: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest revisions of each page; only their numbers are collected, not their texts."""
+    top = revisions.groupBy("page_id").agg(F.slice(F.sort_array(F.collect_set("revision_id"), asc=False), 1, n).alias("_top"))
+    return revisions.join(top.select("page_id", F.explode("_top").alias("revision_id")), ["page_id", "revision_id"], "left_semi")

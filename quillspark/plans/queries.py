@@ -549,3 +549,31 @@ def converged_vectors(spark, d):
 def purged_tree(spark, d):
     """Nodes left after every tenth is purged with all that lies below it."""
     return wiki.purged(t.tree(spark, d), F.col("id") % 10 == 0).select("id")
+
+
+@query(
+    "SELECT event_id AS job_id, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE event_type END AS state, CASE WHEN event_id % 6 = 0 THEN 7 ELSE event_id % 100 END AS indexed_chunks,"
+    " CASE WHEN event_id % 9 = 0 THEN 2000 ELSE 3 END AS error_chars, CASE WHEN event_id % 6 = 3 THEN 2 ELSE 1 END AS retry_count FROM events"
+)
+def updated_jobs(spark, d):
+    """Jobs after every third one failed: some with a count, an error that is too long, or another try."""
+    k = F.col("job_id")
+    jobs = t.jobs(spark, d).select("job_id", "state", (k % 100).alias("indexed_chunks"), F.lit("old").alias("last_error"), F.lit(1).cast("long").alias("retry_count"))
+    updates = jobs.where("job_id % 3 = 0").select(
+        "job_id", F.lit("failed").alias("state"), F.when(k % 6 == 0, 7).cast("long").alias("indexed_chunks"), F.when(k % 9 == 0, F.repeat(F.lit("x"), 3000)).alias("error"), (k % 6 == 3).alias("retry")
+    )
+    return publishing.update_jobs(jobs, updates).select("job_id", "state", "indexed_chunks", F.length("last_error").cast("long").alias("error_chars"), "retry_count")
+
+
+@query("SELECT seq, CASE WHEN seq % 5 = 1 THEN 'edited ' || content ELSE content END AS content FROM chunks WHERE seq % 7 <> 0", CHUNKS)
+def edited_chunks(spark, d):
+    """Chunks after some were deleted and others rewritten."""
+    c = t.chunks(spark, d)
+    edits = c.where("seq % 5 = 1").select("seq", F.concat(F.lit("edited "), "content").alias("content"))
+    return listing.edit_chunks(c, edits, c.where("seq % 7 = 0")).select("seq", "content")
+
+
+@query("SELECT page_id, revision_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY revision_id DESC) AS turn FROM revisions) WHERE turn <= 2", REVISIONS)
+def newest_revisions(spark, d):
+    """The two newest revisions of each page."""
+    return wiki.newest_revisions(t.revisions(spark, d), 2).select("page_id", "revision_id")
