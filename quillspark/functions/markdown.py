@@ -207,9 +207,9 @@ def _last_passes(repeats: bool, bullets: bool):
     once within a line are said once; marks before a line become a list item."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(parts: pd.Series) -> pd.Series:
+    def run(parts: pd.Series, sizes: pd.Series) -> pd.Series:
         out = [None if p is None else list(p) for p in parts]
-        places = [(i, j) for i, p in enumerate(out) if p is not None for j in range(0, len(p), 2)]
+        places = [(i, j) for i, n in enumerate(sizes) for j in range(0, n, 2)]
         rows = [out[i][j].split("\n") for i, j in places]
         flat = [line for r in rows for line in r]
         if repeats:
@@ -266,4 +266,5 @@ def clean(rows: DataFrame, text: str, one_title: Column | bool = False, skip: It
     last = _last_passes("repeated_passages" not in skip, "bullets" not in skip)
     # Two uses keep the parts in a projection of their own: a Python function can't take nested lambdas as its input.
     parts = rows.withColumn("_parts", _outside(F.split(F.col(text), "```", -1), run))
-    return parts.select(*rows.columns, F.when(F.col("_parts").isNotNull(), F.array_join(last("_parts"), "```")).alias("markdown"))
+    size = F.greatest(F.size("_parts"), F.lit(0))
+    return parts.select(*rows.columns, F.array_join(last("_parts", size), "```").alias("markdown"))

@@ -68,6 +68,11 @@ def test_cleaner_options(spark):
     assert one(noise=["appendix"]) == "## 1、Plan\n- one"
 
 
+def test_cleaner_without_nulls(spark):
+    rows = spark.range(2).select(F.concat(F.lit("·a"), F.col("id").cast("string")).alias("t"))
+    assert sorted(r["markdown"] for r in markdown.clean(rows.select(F.coalesce("t", F.lit("")).alias("t")), "t").collect()) == ["- a0", "- a1"]
+
+
 def test_repeated_passages():
     import random
     import re
