@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_embedding_graph": "vec_id n_links component_id kept",
+    "op11_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_simplex_clusters": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op13_substrings": "doc_id n_words n_removed kept_sha256",
 }
 
 
@@ -44,7 +47,7 @@ def found(spark):
 def test_columns_and_rows(found, texts, name):
     rows = found(name)
     assert set(COLUMNS[name].split()) <= set(rows[0].asDict())
-    if name == "op10_embedding_graph":
+    if name in ("op10_embedding_graph", "op12_simplex_clusters"):
         assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{DATA}/embeddings.parquet'").fetchall()[0][0]
     else:
         assert sorted({r["doc_id"] for r in rows}) == sorted(texts) and (name == "op8_packing" or len(rows) == len(texts))
@@ -77,8 +80,10 @@ def test_base_scores(found, texts):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in own), rel=1e-9)
 
 
-def test_like_sql(found):
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_like_sql(found, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
-    want = c.execute(queries.ORACLES["op10_embedding_graph"]).fetchall()
-    assert sorted(tuple(r[k] for k in COLUMNS["op10_embedding_graph"].split()) for r in found("op10_embedding_graph")) == sorted(want)
+    for table in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = c.execute(queries.ORACLES[name]).fetchall()
+    assert sorted(tuple(r[k] for k in COLUMNS[name].split()) for r in found(name)) == sorted(want)
