@@ -2,14 +2,15 @@
 
 Parquet tables aren't changed in place.  An operation is a join that gives the
 next snapshot; ``publish`` writes it beside the current one, verifies its rows
-and only then adds it to the table's log, whose last entry is current.  One
-writer at a time.
+and only then commits a manifest that names it; the last manifest is current.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .manifests import Log
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], compare: str, version: str = "doc_version") -> DataFrame:
     """``old`` with the rows of ``new`` put in by key; the version rises by one only where ``compare`` changed.
@@ -52,31 +53,28 @@ def patch(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*[F.coalesce(f"_p_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns])
 
 
-def next_versions(current: DataFrame, target: DataFrame, key: str = "parent_id") -> DataFrame:
+def next_versions(current: DataFrame, target: DataFrame, *key: str) -> DataFrame:
     """(key, version to publish): 1 if absent, one more if the hash differs, else the same."""
-    c = current.select(key, F.col("content_sha256").alias("_sha"), F.col("doc_version").alias("_v"))
+    key = key or ("parent_id",)
+    c = current.select(*key, F.col("content_sha256").alias("_sha"), F.col("doc_version").alias("_v"))
     v = F.when(F.col("_v").isNull(), 1).when(F.col("_sha").eqNullSafe(F.col("content_sha256")), F.col("_v")).otherwise(F.col("_v") + 1)
-    return target.join(c, key, "left").select(key, v.cast("long").alias("target_version"))
+    return target.join(c, list(key), "left").select(*key, v.cast("long").alias("target_version"))
 
 
 def publish(rows: DataFrame, path: str, expected: int | None = None) -> int:
-    """Write the next snapshot, check its number of rows, and make it current; returns its number."""
-    spark = rows.sparkSession
-    log = f"{path}/_log"
-    try:
-        number = (spark.read.schema("snapshot long").parquet(log).agg(F.max("snapshot")).first()[0] or 0) + 1
-    except Exception as e:  # no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        number = 1
-    rows.write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
-    found = spark.read.schema(rows.schema).parquet(f"{path}/snapshot-{number}").count()
+    """Write the next snapshot, check its number of rows, and make it current; returns its number.
+
+    Of two writers at once the second is refused when it comes to its number.
+    """
+    log = Log(rows.sparkSession, path)
+    before = log.read()
+    folder = log.write(rows, "snapshot")
+    found = log.rows([folder], rows.schema).count()
     if expected is not None and found != expected:
-        raise ValueError(f"snapshot {number} has {found} rows instead of {expected}; the current one stays")
-    spark.range(1).select(F.lit(number).cast("long").alias("snapshot")).coalesce(1).write.mode("append").parquet(log)
-    return number
+        log.drop([folder])
+        raise ValueError(f"the new snapshot has {found} rows instead of {expected}; the current one stays")
+    return log.commit(before | {"snapshot": folder})["number"]
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    number = spark.read.schema("snapshot long").parquet(f"{path}/_log").agg(F.max("snapshot")).first()[0]
-    return spark.read.parquet(f"{path}/snapshot-{number}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{Log(spark, path).read()['snapshot']}")

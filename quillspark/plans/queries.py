@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html, markdown, text
 from ..functions.predicates import all_of, below, differs, equals, starts_with
-from ..operators import chunking, dedup, headings, listing, publishing, snapshots, vectors, wiki
+from ..operators import chunking, dedup, headings, listing, maintained, publish_flow, publishing, snapshots, vectors, wiki
 from ..streaming import limits
 from . import tables as t
+from .lineage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -577,3 +578,71 @@ def edited_chunks(spark, d):
 def newest_revisions(spark, d):
     """The two newest revisions of each page."""
     return wiki.newest_revisions(t.revisions(spark, d), 2).select("page_id", "revision_id")
+
+
+# A rule that SQL can state too; ``markdown.clean`` and ``chunking.chunk_tree`` take the same place.
+def _squeezed(texts: DataFrame) -> DataFrame:
+    return texts.select("sha", F.regexp_replace("text", "[ \\t]+", " ").alias("text"))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("sha", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where("content <> ''")
+
+
+@query(
+    "WITH arrived AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 100 AS k FROM documents), second AS (SELECT doc_id, k, text,"
+    " CASE WHEN k = 0 THEN text || '  changed' WHEN k IN (1, 2) THEN 'edited  ' || doc_id END AS came FROM arrived),"
+    " squeezed AS (SELECT *, regexp_replace(text, '[ \t]+', ' ', 'g') AS one, regexp_replace(came, '[ \t]+', ' ', 'g') AS two FROM second),"
+    " served AS (SELECT doc_id AS file_id, CASE WHEN k = 1 THEN 'edited' ELSE 'cleaned' END AS clean_state, CASE k WHEN 0 THEN two WHEN 1 THEN came WHEN 2 THEN came ELSE one END AS text,"
+    " 1 + (one <> text)::BIGINT + CASE WHEN k = 0 THEN 1 + (two <> came)::BIGINT WHEN k IN (1, 2) THEN 1 ELSE 0 END AS version FROM squeezed)"
+    " SELECT file_id, clean_state, version, sha256(text) AS sha, len(list_filter(string_split(text, chr(10)), lambda x: x <> ''))::BIGINT AS n_chunks FROM served"
+)
+def maintained_corpus(spark, d):
+    """Texts kept cleaned and cut through two arrivals: all documents; then new texts for some, edits by hand of raw and cleaned
+    texts, some unchanged texts, and cleanings forced anew."""
+    c = maintained.Corpus(spark, scratch(spark, "corpus"), _squeezed, _lines, "squeezed-1", "lines-1")
+    docs, k = t.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text"), F.col("file_id") % 100
+    c.arrive(docs.withColumn("kind", F.lit("converted")))
+    c.refresh()
+    kind = F.when(k == 1, "raw_edit").when(k == 2, "cleaned_edit").otherwise("converted")
+    came = F.when(k == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("  changed"))).when(k == 3, F.col("text")).otherwise(F.concat(F.lit("edited  "), "file_id"))
+    c.arrive(docs.where(k <= 3).select("file_id", kind.alias("kind"), came.alias("text")))
+    c.refresh(force=docs.where(k == 4))
+    n = c.chunks().groupBy("file_id").agg(F.count("*").alias("n"))
+    return c.served().join(n, "file_id", "left").select("file_id", "clean_state", "version", F.sha2("text", 256).alias("sha"), F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
+@query(
+    "WITH p AS (SELECT p_brand AS tenant_id, p_type AS kb_id, p_partkey AS id, p_partkey % 100 AS file_id FROM part), step AS (SELECT unnest(['embedding', 'vector_verified', 'switching', 'switched', 'cleanup_pending', 'done']) AS step, unnest([0, 0, 0, 1, 1, 2]) AS nth),"
+    " mine AS (SELECT *, file_id % 10 = 3 AS again, file_id % 10 = 3 AND id % 3 <> 0 AS kept FROM p)"
+    " SELECT step, 'parent' AS kind, id::VARCHAR AS key, CASE WHEN nth = 2 AND again AND NOT kept THEN 'deleted' ELSE 'active' END AS status, CASE WHEN nth > 0 AND kept AND id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM mine, step"
+    " UNION ALL SELECT step, 'vector', id || ':' || c, NULL, 1 FROM mine, step, (SELECT unnest([0, 1]) AS c) WHERE nth < 2 OR NOT again"
+    " UNION ALL SELECT step, 'vector', id || ':n', NULL, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END FROM mine, step WHERE nth > 0 AND kept"
+)
+def publish_steps(spark, d):
+    """What readers see after each step of a publish that replaces the parents and vectors of some files."""
+    base = publish_flow.Base(spark, scratch(spark, "base"))
+    p = t.table(spark, d, "part").select(F.col("p_brand").alias("tenant_id"), F.col("p_type").alias("kb_id"), F.col("p_partkey").alias("_id"), F.col("p_partkey").cast("string").alias("parent_id"), (F.col("p_partkey") % 100).alias("file_id"), F.col("p_name").alias("content"))
+    places = p.select("file_id", "tenant_id", "kb_id").distinct()
+
+    def vectors_of(rows, names):
+        return rows.withColumn("chunk_index", F.explode(F.array(*[F.lit(n) for n in names]))).select("*", F.concat_ws(":", "parent_id", "chunk_index").alias("vector_id"), F.array(F.col("_id").cast("float")).alias("embedding"))
+
+    base.publish("first", p, vectors_of(p, ["0", "1"]), places)
+    again = p.where("file_id % 10 = 3 and _id % 3 <> 0").withColumn("content", F.when(F.col("_id") % 2 == 0, F.concat("content", F.lit(" revised"))).otherwise(F.col("content")))
+    at: dict[str, dict] = {}
+    base.publish("second", again, vectors_of(again, ["n"]).withColumn("chunk_index", F.lit(0)), places.where("file_id % 10 = 3"), stop=lambda step: at.update({step: base.log.read()}))
+    at["done"] = base.log.read()
+    none = F.lit(None).cast("string")
+    rows = [
+        part
+        for step, m in at.items()
+        for part in (
+            base.parents_at(m).select(F.lit(step).alias("step"), F.lit("parent").alias("kind"), F.col("parent_id").alias("key"), "status", F.col("doc_version").alias("version")),
+            base.vectors_at(m).select(F.lit(step).alias("step"), F.lit("vector").alias("kind"), F.col("vector_id").alias("key"), none.alias("status"), F.col("doc_version").alias("version")),
+        )
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
