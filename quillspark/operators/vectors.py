@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.predicates import all_of, current, equals
+from ..plans.lineage import cut
 from .listing import page
 
 
@@ -45,6 +46,7 @@ def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
     wanted = sorted({t.lower() for t in terms})
     rows = docs.select(key, F.array_remove(words, "").alias("w")).select(key, F.size("w").alias("n"), *[F.size(F.filter("w", _same(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    rows = cut(rows)  # a few numbers a row, so that texts are split once
     s = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(wanted))]).first()
     score = F.lit(0.0)
     for i in range(len(wanted)):

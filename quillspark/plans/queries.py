@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html, markdown, text
 from ..functions.predicates import all_of, below, differs, equals, starts_with
-from ..operators import chunking, dedup, headings, listing, maintained, publish_flow, publishing, snapshots, vectors, wiki
+from ..operators import chunking, dedup, headings, listing, maintained, publish_flow, publishing, search_index, snapshots, vectors, wiki
 from ..streaming import limits
 from . import tables as t
 from .lineage import scratch
@@ -646,3 +646,33 @@ def publish_steps(spark, d):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+@query(f"SELECT vec_id, space_id, round(score, 6) AS score FROM (SELECT vec_id, CAST(label AS BIGINT) AS space_id, {COS} AS score FROM embeddings, q WHERE vec_id % 5 <> 0 AND label IN (1, 2, 3)) ORDER BY score DESC, vec_id LIMIT 20", Q)
+def ivf_topk(spark, d):
+    """The same top-k by inverted lists, all of which are probed."""
+    index = search_index.VectorLists.build(t.vectors(spark, d), scratch(spark, "lists"))
+    found = index.top_k(_query_vector(spark, d), 20, search_index.LISTS, where=F.col("space_id").isin(1, 2, 3))
+    return found.select("vec_id", "space_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def ivf_recall(spark, d):
+    """By the number of lists probed: how many of the ten nearest are found, for every vector whose id is divisible by 100."""
+    v = t.table(spark, d, "embeddings")
+    index = search_index.VectorLists.build(v, scratch(spark, "lists"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    exact = index.top_k_of_each(asked, 10, search_index.LISTS).select("query", "vec_id")
+    out = None
+    for probes in (1, 4, 16, 64, search_index.LISTS):
+        hit = index.top_k_of_each(asked, 10, probes).select("query", "vec_id", F.lit(1).alias("hit"))
+        rows = exact.join(hit, ["query", "vec_id"], "left").agg(F.lit(probes).alias("probes"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.count("*").alias("n_nearest"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT doc_id, round(ln(1 + (nd - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (nd - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (nd - de + 0.5) / (de + 0.5)) * e * 2.2 / (e + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a + b + e > 0 ORDER BY score DESC, doc_id LIMIT 20", BM)
+def keyword_topk(spark, d):
+    """The same keyword ranking from an index of postings."""
+    index = search_index.Postings.build(t.table(spark, d, "documents"), scratch(spark, "postings"))
+    return index.top_k("The ention, que", 20).select("doc_id", F.round("score", 6).alias("score"))
