@@ -421,13 +421,29 @@ def revision_diffs(spark, d):
     return r.select("page_id", "revision_id", "content_md", before.alias("_before")).select("page_id", "revision_id", F.to_json(wiki.line_diff(F.col("_before"), F.col("content_md"))).alias("diff"))
 
 
-@query()
+@query(
+    r"+l AS (SELECT file_id AS doc, i AS line, trim(content) AS title, regexp_replace(lower(content), '[^\p{L}\p{N}]+', '', 'g') AS key, i // 6 AS page, greatest(len(content), 1) * 10.0 AS area FROM lines WHERE trim(content) <> ''),"
+    r" k AS (SELECT *, regexp_matches(title, '^(?i:(part\s*)?\d{1,3}|thanks|business|contents)$') AS noise, regexp_matches(title, '^(?i:part\s*)?\d{1,3}\s') AS numbered FROM l),"
+    " c AS (SELECT doc, key, min(line) AS ord, arg_max(page, line) AS page, arg_max(area, line) AS area FROM k WHERE NOT noise AND len(title) <= 200 AND key <> '' GROUP BY doc, key),"
+    " near AS (SELECT h.doc, h.line, arg_min({'key': c.key, 'page': c.page, 'area': c.area}, c.ord) AS c FROM (SELECT k.* FROM k ANTI JOIN c USING (doc, key)) h JOIN c ON h.doc = c.doc AND len(h.key) >= 2 AND (contains(c.key, h.key) OR contains(h.key, c.key)) GROUP BY ALL),"
+    " hit AS (SELECT k.*, coalesce(c.page, n.c.page) AS p, coalesce(c.area, n.c.area) AS a FROM k LEFT JOIN c USING (doc, key) LEFT JOIN near n ON n.doc = k.doc AND n.line = k.line),"
+    " m AS (SELECT *, p IS NOT NULL AND NOT noise AND len(title) <= 120 AS counts FROM hit), d AS (SELECT doc, bool_or(counts) AS found, min(line) AS start, min(p) FILTER (counts) AS first, max(p) FILTER (counts) AS last FROM m GROUP BY doc),"
+    " num AS (SELECT DISTINCT doc, page FROM k WHERE numbered OR (noise AND len(title) <= 4)),"
+    " r AS (SELECT doc, line, p, row_number() OVER w AS rank, count(*) OVER (PARTITION BY doc, p) AS n, a, min(line) OVER (PARTITION BY doc, p) AS top FROM m WHERE counts WINDOW w AS (PARTITION BY doc, p ORDER BY a DESC, line)),"
+    " x AS (SELECT doc, p, max(a) FILTER (rank = 1) / max(a) FILTER (rank = 2) AS ratio, min(top) AS top FROM r GROUP BY doc, p),"
+    " y AS (SELECT doc, p, ratio, top, EXISTS (SELECT 1 FROM num z WHERE z.doc = x.doc AND z.page = x.p) AS numbered FROM x),"
+    " v AS (SELECT *, coalesce(max(numbered::INT) OVER (PARTITION BY doc ORDER BY top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS chapter FROM y),"
+    " e AS (SELECT r.doc, r.line, CASE WHEN r.p = d.first THEN CASE WHEN r.line = d.start THEN 1 ELSE 2 END WHEN r.n = 1 AND r.p <> d.last AND v.chapter AND NOT v.numbered THEN 3 WHEN v.ratio IS NULL OR v.ratio >= 1.25 THEN CASE WHEN r.rank = 1 THEN 2 ELSE 3 END WHEN r.n >= 4 THEN 3 ELSE 2 END AS level FROM r JOIN d USING (doc) JOIN v ON v.doc = r.doc AND v.p = r.p)"
+    " SELECT m.doc, m.line, CASE WHEN m.noise AND (d.found OR m.p IS NOT NULL) THEN 0 ELSE coalesce(e.level, CASE WHEN d.found AND m.line = d.start THEN 1 END, 2) END::INTEGER AS level FROM m JOIN d USING (doc) LEFT JOIN e ON e.doc = m.doc AND e.line = m.line",
+    CHUNKS,
+)
 def heading_levels(spark, d):
-    """Levels of line-like titles: the documents' short lines as headings, their order and length as boxes."""
-    c = t.chunks(spark, d).where("length(content) between 1 and 120")
-    h = c.select(F.col("file_id").alias("doc"), F.col("chunk_index").alias("line"), F.lit(2).alias("level"), F.col("content").alias("title"))
-    boxes = c.select(F.col("file_id").alias("doc"), F.floor(F.col("chunk_index") / 6).cast("int").alias("page"), F.col("content").alias("title"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.length("content").cast("double").alias("x1"), F.lit(10.0).alias("y1"))
-    return headings.relevelled(h, boxes)
+    """Levels of all lines as if they were headings of the second level: their order as pages, their length as boxes."""
+    c = t.chunks(spark, d).where("trim(content) <> ''").select(F.col("file_id").alias("doc"), F.col("chunk_index").alias("line"), F.trim("content").alias("title"), F.length("content").alias("n"))
+    h = c.select("doc", "line", F.lit(2).alias("level"), "title")
+    page = F.floor(F.col("line") / 6).cast("int")
+    items = c.select("doc", F.col("line").alias("ord"), page.alias("page"), "title", F.lit(True).alias("is_title"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("n").cast("double").alias("x1"), F.lit(10.0).alias("y1"))
+    return headings.levels(h, items)
 
 
 @query(

@@ -36,9 +36,3 @@ def plain_texts(spark: SparkSession, path: str) -> DataFrame:
 def write_markdown(rows: DataFrame, path: str, parts: list[str]) -> None:
     """Markdown as Parquet, by the columns of ``parts``."""
     rows.write.mode("overwrite").partitionBy(*parts).parquet(path)
-
-
-def layout(json_text: Column) -> Column:
-    """Title boxes of a parser's content list, a JSON array."""
-    items = F.from_json(json_text, "array<struct<type:string,text:string,page_idx:int,bbox:array<double>>>")
-    return F.filter(items, lambda x: x["type"] == "title")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions import html, markdown, text
-from quillspark.operators import chunking, headings
+from quillspark.operators import chunking
 
 
 def one(spark, value, f):
@@ -144,9 +144,3 @@ def test_windows_lose_nothing():
     assert all(p.startswith("| a | b |") for p in pieces) and all(p.endswith(chunking.CUT_MARK) for p in pieces[:-1])
     assert {f"r{i}" for i in range(100)} <= set(re.findall(r"r\d+", "\n".join(pieces)))
 
-
-def test_heading_levels(spark):
-    h = spark.createDataFrame([(1, 0, 1, "Cover"), (1, 1, 1, "Sub"), (1, 5, 1, "Lead"), (1, 6, 1, "Tile A"), (1, 7, 1, "Tile B"), (1, 9, 1, "Unmatched")], "doc int, line int, level int, title string")
-    boxes = spark.createDataFrame([(1, 0, "cover", 0.0, 0.0, 10.0, 10.0), (1, 0, "Sub", 0.0, 0.0, 5.0, 5.0), (1, 1, "LEAD!", 0.0, 0.0, 20.0, 10.0), (1, 1, "Tile A", 0.0, 0.0, 5.0, 5.0), (1, 1, "Tile B", 9.0, 0.0, 14.0, 5.0), (1, 1, "!!!", 0.0, 0.0, 99.0, 99.0)], "doc int, page int, title string, x0 double, y0 double, x1 double, y1 double")
-    got = {r["line"]: r["level"] for r in headings.relevelled(h, boxes).collect()}
-    assert got == {0: 1, 1: 2, 5: 2, 6: 3, 7: 3, 9: 2}
