@@ -194,7 +194,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts:
     marks = staged(marks.groupBy(*key).agg(F.count("*").alias("copies"), *one), "repeat-marks")
 
     every = marks.select("k1", "k2", "n_words", "copies", F.inline(F.arrays_zip("anchor", "unit", "first", "n")))
-    shared = every.groupBy("anchor").agg(F.sum("copies").alias("times"), F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("times > 1")
+    shared = every.groupBy("anchor").agg(F.sum("copies").alias("times"), F.min("unit").alias("lo"), F.max("unit").alias("hi"))
+    # written, so that the join below deals both sides out by itself and adaptive execution can split a frequent anchor
+    shared = staged(shared.where("times > 1"), "repeat-anchors")
     met = staged(every.join(shared, "anchor").select("k1", "k2", "n_words", "copies", "anchor", "unit", "first", "n", (F.col("lo") == F.col("hi")).alias("same")), "repeat-units")
 
     # distinct units of anchors with differing ones: how often they occur, and a text to extend them in
