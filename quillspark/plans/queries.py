@@ -400,6 +400,14 @@ def clean_markdown(spark, d):
     return markdown.clean(t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text").drop("text")
 
 
+@query()
+def clean_report(spark, d):
+    """How many edits of each kind the cleaner makes, and in how many documents."""
+    done = t.table(spark, d, "documents").select(markdown.cleaned(F.col("text")).alias("c"))
+    each = done.select(F.explode("c.counts").alias("kind", "n"))
+    return each.groupBy("kind").agg(F.sum("n").alias("n_edits"), F.sum((F.col("n") > 0).cast("long")).alias("n_documents"))
+
+
 @query()
 def chunk_tree(spark, d):
     return chunking.chunk_tree(t.table(spark, d, "documents")).select("doc_id", "parent_id", "title", "chunk_index", "content", "tokens")

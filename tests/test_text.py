@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import html, markdown, text
+from quillspark.functions import html, text
 from quillspark.operators import chunking
 
 
@@ -39,71 +39,6 @@ def test_html(spark):
     assert one(spark, None, html.markdown_of) is None and one(spark, "", html.markdown_of) == "\n"
 
 
-CLEANED = {
-    "**1、集团概括**\ntext": "## 1、集团概括\ntext",
-    "an **inline** word": "an **inline** word",
-    "# THANKS\n##  \nbody": "body",
-    "[t](http://a.b/c) and []()": "t and ",
-    "这是 中文 的句子。": "这是中文的句子。",
-    "·one\n••two": "- one\n- two",
-    "same\nsame\n\nsame": "same\n\nsame",
-    "PART 01\n02\nbody": "body",
-    "# A\n# B\n## C": "# A\n## B\n## C",
-    "```\n# THANKS\nsame\nsame\n```": "```\n# THANKS\nsame\nsame\n```",
-    "这是一个很长的句子，\n下一行继续。": "这是一个很长的句子，下一行继续。",
-    "1、first\n2、second": "- first\n- second",
-    "": "",
-}
-
-
-def test_cleaner(spark):
-    rows = spark.createDataFrame([(t,) for t in CLEANED], "t string")
-    assert {r["t"]: r["markdown"] for r in markdown.clean(rows, "t", one_title=True).collect()} == CLEANED
-
-
-def test_cleaner_options(spark):
-    rows = spark.createDataFrame([("**1、Plan**\n·one\n# Appendix",)], "t string")
-    one = lambda **k: markdown.clean(rows, "t", **k).first()["markdown"]
-    assert one(layout=True, skip=["bullets"]) == "**1、Plan**\n·one\n# Appendix"
-    assert one(noise=["appendix"]) == "## 1、Plan\n- one"
-
-
-def test_cleaner_without_nulls(spark):
-    rows = spark.range(2).select(F.concat(F.lit("·a"), F.col("id").cast("string")).alias("t"))
-    assert sorted(r["markdown"] for r in markdown.clean(rows.select(F.coalesce("t", F.lit("")).alias("t")), "t").collect()) == ["- a0", "- a1"]
-
-
-def test_repeated_passages():
-    import random
-    import re
-
-    random.seed(3)
-    draw = lambda: "".join(random.choice("ab \t" if random.random() < 0.5 else "abcdefgh ") for _ in range(random.randint(0, 60)))
-    lines = []
-    for _ in range(3000):
-        a = draw()
-        lines.append(a + random.choice(["", " ", "  ", "\t"]) + a + "x" if random.random() < 0.5 else a)
-    want = [re.sub(r"(.{14,120})\s*\1", r"\1", x) for x in lines]
-    assert markdown._without_repeats(lines, 500) == want and want != lines
-
-
-FAR = " ".join(f"p{i}q" for i in range(100, 180))
-WRAPPED = {
-    "a soft\nwrapped line\n\nanother": "a soft wrapped line\n\nanother",
-    "句子在这里被，\n\n分页切断了。": "句子在这里被，分页切断了。",
-    "基地\n\n直发": "基地\n\n直发",
-    "plain\n- item\n| a |\nplain": "plain\n- item\n| a |\nplain",
-    f"{FAR}\n{FAR[::-1]}": f"{FAR}\n{FAR[::-1]}",
-    "# A\n![](a.png)\n# A\n![](b.png)": "# A\n![](a.png)\n![](b.png)",
-    "# A\n![](a.png)\n# A\nits own body": "# A\n![](a.png)\n# A\nits own body",
-}
-
-
-def test_wraps_and_repeated_headings(spark):
-    rows = spark.createDataFrame([(t,) for t in WRAPPED], "t string")
-    assert {r["t"]: r["markdown"] for r in markdown.clean(rows, "t").collect()} == WRAPPED
-
-
 def test_sections_and_chunks(spark):
     docs = spark.createDataFrame(
         [
