@@ -47,7 +47,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
-    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted", "neighbours", "cosines")
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted", "neighbours", "cosines", "plain_cosines")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

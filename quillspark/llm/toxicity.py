@@ -17,8 +17,10 @@
 Examples are a bounded sample (MOST_EXAMPLES labelled rows, up to half of them
 of either label; an example's vote counts for as many rows as it stands for, and
 equal texts are one example with their mean label), so the index has a bound
-too; every text is scored whole.  Words that are in no example can't meet any and are left out of
-a text's vector.
+too; every text is scored whole.  All words of a text are in its norm: those of
+no example, which can't meet any, weigh there as words of a single document do.
+Beside the cosines that vote, which chi-square weighs, the evidence has the
+plain ones.
 
 Defined results: a null text counts as the empty one; a text without any word
 is as near to every example without words and gets their share of label 1, one
@@ -75,15 +77,22 @@ class Vectors:
 
     def of(self, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Terms in order and their counts for each text, and whether it has any word."""
+        return self.all_of(texts)[:3]
+
+    def all_of(self, texts: pa.Array):
+        """``of``, and the sum of (1 + log(count))^2 over each text's words that aren't in the list."""
         n, (of, found) = len(texts), split_words(texts)
-        if not len(self.terms) or not len(of):
+        if not len(of):
             none = [np.zeros(0, np.int64)] * n
-            return none, none, np.bincount(of, minlength=n) > 0
-        place = pc.fill_null(pc.index_in(found.dictionary, value_set=self.terms), -1).to_numpy()[found.indices.to_numpy()].astype(np.int64)
+            return none, none, np.zeros(n, bool), np.zeros(n)
+        words = pc.fill_null(pc.index_in(found.dictionary, value_set=self.terms), -1).to_numpy().astype(np.int64)
+        place = words[found.indices.to_numpy()]
         known = place >= 0
+        other, times = np.unique(of[~known] * len(words) + found.indices.to_numpy()[~known].astype(np.int64), return_counts=True)
+        rest = np.bincount(other // len(words), (1 + np.log(times)) ** 2, n)
         pairs, counts = np.unique(of[known] * len(self.terms) + place[known], return_counts=True)
         cuts = np.searchsorted(pairs, np.arange(1, n) * len(self.terms))
-        return np.split(pairs % len(self.terms), cuts), np.split(counts, cuts), np.bincount(of, minlength=n) > 0
+        return np.split(pairs % max(1, len(self.terms)), cuts), np.split(counts, cuts), np.bincount(of, minlength=n) > 0, rest
 
 
 class BlockMaxIndex:
@@ -186,7 +195,8 @@ def vote(near: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, base: flo
 class ToxicityModel:
     """Examples are (id, label, terms, counts, whether they have words, whether the scale is fitted on them, rows they stand for)."""
 
-    def __init__(self, terms: pa.Array, idf: np.ndarray, examples: list[tuple]):
+    def __init__(self, terms: pa.Array, idf: np.ndarray, examples: list[tuple], unseen: float = 1.0):
+        """``unseen`` is the idf of a word of no example."""
         examples = sorted(examples, key=lambda e: (e[0], e[1]))
         y, ids = np.array([e[1] for e in examples], float), np.array([e[0] for e in examples], np.int64)
         some, fitted = np.array([e[4] for e in examples], bool), np.array([e[5] for e in examples], bool)
@@ -194,7 +204,8 @@ class ToxicityModel:
         self.vectors = Vectors(terms)
         self.base = float(np.average(y, weights=w)) if len(y) else 0.0
         self.blank = float(((y * w)[~some].sum() + self.base) / (w[~some].sum() + 1))
-        self.slope, self.shift = 1.0, 0.0
+        self.slope, self.shift, self.idf, self.unseen = 1.0, 0.0, idf, unseen
+        self.plain = [(e[2].astype(np.int32), self._unit(e[2], e[3], plain=True)[1].astype(np.float32)) for e, s in zip(examples, some) if s]
 
         def index(seen: np.ndarray) -> list:
             self.weight_of = idf * _label_weights([e[2] for e in examples], y, seen, len(terms))
@@ -206,9 +217,10 @@ class ToxicityModel:
         self._calibrate(rows, y[some], w[some], np.flatnonzero(fitted[some]))
         index(np.ones(len(y), bool))
 
-    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(np.maximum(counts, 1))) * self.weight_of[terms] if len(terms) else np.zeros(0)
-        n = np.sqrt((w**2).sum())
+    def _unit(self, terms: np.ndarray, counts: np.ndarray, rest: float = 0.0, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the terms over the norm of all words; ``rest`` is what the words of no example have in it before their idf."""
+        w = (1 + np.log(np.maximum(counts, 1))) * (self.idf if plain else self.weight_of)[terms] if len(terms) else np.zeros(0)
+        n = np.sqrt((w**2).sum() + rest * self.unseen**2)
         return (terms, w / n) if n > 0 else (terms[:0], w[:0])
 
     def _vote(self, found: np.ndarray, near: np.ndarray) -> float:
@@ -230,17 +242,23 @@ class ToxicityModel:
             b = np.clip(b, [0.2, -4.0], [4.0, 4.0])  # steps from few examples mustn't run away
         self.slope, self.shift = float(b[0]), float(b[1])
 
-    def score(self, texts: pa.Array) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(probability, first neighbours' ids, their cosines) of each text."""
-        terms, counts, some = self.vectors.of(texts)
-        out = []
-        for (found, near), any_word in zip(self.index.nearest_of([self._unit(t, c) for t, c in zip(terms, counts)], NEIGHBOURS, None, True), some):
+    def score(self, texts: pa.Array) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """(probability, first neighbours' ids, their cosines, their plain cosines) of each text."""
+        terms, counts, some, rest = self.vectors.all_of(texts)
+        queries = [self._unit(t, c, r) for t, c, r in zip(terms, counts, rest)]
+        out, held = [], np.zeros(len(self.vectors.terms))
+        for k, (found, near) in enumerate(self.index.nearest_of(queries, NEIGHBOURS, None, True)):
             if len(found):
                 z = self._vote(found, near)
                 p = 1 / (1 + np.exp(-(self.slope * np.log(z / (1 - z)) + self.shift)))
             else:
-                p = self.base if any_word else self.blank
-            out.append((float(p), self.index.ids[found[:NEIGHBOURS]], near[:NEIGHBOURS]))
+                p = self.base if some[k] else self.blank
+            found = found[:NEIGHBOURS]
+            own = terms[k]
+            held[own] = self._unit(own, counts[k], rest[k], plain=True)[1]
+            plain = np.array([held[t] @ w for t, w in (self.plain[r] for r in self.index.rows[found])]) if len(found) else np.zeros(0)
+            held[own] = 0
+            out.append((float(p), self.index.ids[found], near[:NEIGHBOURS], plain))
         return out
 
 
@@ -316,10 +334,10 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MO
     chosen = staged(one_each.withColumn("fitted", F.pmod(F.xxhash64("label_id"), F.lit(4)) == 0), "examples")
     terms, examples = _examples(chosen)
     n, df = _frequencies(texts, Vectors(terms))
-    return ToxicityModel(terms, 1 + np.log((n + 1) / (df + 1)), examples), texts
+    return ToxicityModel(terms, 1 + np.log((n + 1) / (df + 1)), examples, 1 + np.log((n + 1) / 2)), texts
 
 
-EVIDENCE = ", neighbours array<long>, cosines array<double>"
+EVIDENCE = ", neighbours array<long>, cosines array<double>, plain_cosines array<double>"
 
 
 def score(texts: DataFrame, model: ToxicityModel, evidence: bool = True) -> DataFrame:
@@ -335,8 +353,8 @@ def score(texts: DataFrame, model: ToxicityModel, evidence: bool = True) -> Data
                 s = np.array([g[0] for g in got], float)
                 columns = [part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
                 if evidence:
-                    columns += [pa.array([g[1].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2].tolist() for g in got], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "neighbours", "cosines"][: len(columns)])
+                    columns += [pa.array([g[i].tolist() for g in got], pa.list_(k)) for i, k in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "neighbours", "cosines", "plain_cosines"][: len(columns)])
 
     return texts.mapInArrow(run, schema)
 

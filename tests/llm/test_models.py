@@ -76,6 +76,51 @@ def test_toxicity_of_rare_words(spark):
     assert got[500]["predicted"] == 1  # the 16 smallest ids of the 60 equal ones are clean, most are toxic
 
 
+def test_toxicity_cosines_of_other_texts(spark):
+    """Texts that are no examples, with words of none: cosines by dictionaries over all words."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    r = random.Random(7)
+    word = lambda: f"{r.choice('abcdef')}{r.choice('aeiou')}{r.choice('klmnrst')}"
+    examples = [(i, " ".join(word() for _ in range(r.randint(1, 25))), i % 3 == 0) for i in range(120)]
+    others = [(1000 + i, " ".join([word() for _ in range(r.randint(0, 25))] + [f"new{r.randint(0, 40)}" for _ in range(r.randint(0, 30))])) for i in range(60)]
+    docs = [e[:2] for e in examples] + others
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in examples], "doc_id long, toxic int")
+    model, texts = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+    got = {r["doc_id"]: r for r in toxicity.score(texts, model).collect()}
+
+    words = {i: Counter(re.findall("[a-z0-9]+", t)) for i, t in docs}
+    df = Counter(w for c in words.values() for w in c)
+    known = {w for i, _, _ in examples for w in words[i]}
+    chi = dict(zip(model.vectors.terms.to_pylist(), model.weight_of / model.idf))
+    idf = {w: 1 + math.log((len(docs) + 1) / ((df[w] if w in known else 1) + 1)) for w in df}
+
+    def vector(i, weigh):
+        v = {w: (1 + math.log(n)) * idf[w] * (chi.get(w, 1.0) if weigh else 1.0) for w, n in words[i].items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    for i, _ in others:
+        for column, weigh in (("cosines", True), ("plain_cosines", False)):
+            q = vector(i, weigh)
+            want = {e: sum(x * q.get(w, 0.0) for w, x in vector(e, weigh).items()) for e, _, _ in examples}
+            if weigh:
+                assert got[i][column] == pytest.approx(sorted((c for c in want.values() if c > 0), reverse=True)[: toxicity.NEIGHBOURS], abs=1e-5)
+            assert got[i][column] == pytest.approx([want[e] for e in got[i]["neighbours"]], abs=1e-5)
+
+
+def test_one_known_word_decides_nothing(spark):
+    docs = [(i, "trashy" if i % 2 else f"kind word{i}") for i in range(40)] + [(100, "trashy " + " ".join(f"unknown{i}" for i in range(1000))), (101, "trashy")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model, texts = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+    got = {r["doc_id"]: r for r in toxicity.score(texts, model).where("doc_id >= 100").collect()}
+    assert got[101]["score"] > 0.9 and got[101]["cosines"][0] == pytest.approx(1.0)
+    assert got[100]["cosines"][0] < 0.1 and got[100]["plain_cosines"][0] < 0.04 and abs(got[100]["score"] - model.base) < 0.25
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(1)
     rows = []

@@ -15,7 +15,7 @@ COLUMNS = {
     "op3_personal_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op4_token_store": "doc_id start n_tokens ids_crc32",
     "op5_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
-    "op6_toxicity": "doc_id held_out score predicted neighbours cosines",
+    "op6_toxicity": "doc_id held_out score predicted neighbours cosines plain_cosines",
     "op7_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op8_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_simhash": "doc_id fingerprint component_id",
