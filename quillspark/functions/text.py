@@ -78,3 +78,17 @@ def truncated(text: Column, most: int, mark: str = "…") -> Column:
 def stable_id(*parts: Column) -> Column:
     """An id that a task that runs again gives once more."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def name_id(namespace: str, name: Column) -> Column:
+    """The name-based id (version 5) of a name within a namespace id, as 32 hexadecimal digits: SHA-1 of both with the
+    version and the variant put in.  A null name gives null."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
+
+
+def parent_name(tenant_id: Column, kb_id: Column, title: Column, content: Column) -> Column:
+    """What a parent without an id is named by: its scope, its title, and the hash of its content, white space and case aside."""
+    plain = lambda c: F.lower(F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\u00a0\u3000]+", " ")))
+    return F.concat_ws("|", tenant_id, kb_id, plain(title), F.sha2(plain(content), 256))

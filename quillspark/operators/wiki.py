@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import wiki_links
 from ..plans.lineage import cut
@@ -87,20 +87,20 @@ def search(vectors: DataFrame, query: list[float], k: int, pages: DataFrame, rev
 
 
 def line_diff(old: Column, new: Column) -> Column:
-    """array<struct<op, text>>: lines kept (=), taken out (-) and put in (+); a replacement is its deletions, then its insertions."""
+    """array<struct<op, text>>: lines that are 'equal', 'delete' or 'insert'; a replacement is its deletions, then its insertions."""
 
-    def one(a: str | None, b: str | None) -> list[tuple[str, str]]:
+    def one(a: str | None, b: str | None) -> list[dict]:
         x, y, out = (a or "").splitlines(), (b or "").splitlines(), []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes():
             if tag == "equal":
-                out += [("=", t) for t in x[i:j]]
+                out += [{"op": tag, "text": t} for t in x[i:j]]
             else:
-                out += [("-", t) for t in x[i:j]] + [("+", t) for t in y[k:m]]
+                out += [{"op": "delete", "text": t} for t in x[i:j]] + [{"op": "insert", "text": t} for t in y[k:m]]
         return out
 
     @F.pandas_udf("array<struct<op:string,text:string>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"op": o, "text": t} for o, t in one(x, y)] for x, y in zip(a, b)])
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
 
     return run(old, new)
 
@@ -130,6 +130,55 @@ def purged(nodes: DataFrame, gone: Column) -> DataFrame:
 
 
 def newest_revisions(revisions: DataFrame, n: int) -> DataFrame:
-    """The ``n`` newest revisions of each page; only their numbers are collected, not their texts."""
-    top = revisions.groupBy("page_id").agg(F.slice(F.sort_array(F.collect_set("revision_id"), asc=False), 1, n).alias("_top"))
-    return revisions.join(top.select("page_id", F.explode("_top").alias("revision_id")), ["page_id", "revision_id"], "left_semi")
+    """The ``n`` newest revisions of each page.  Only their numbers are ranked, not their texts, and each task keeps ``n`` a page."""
+    newest = Window.partitionBy("page_id").orderBy(F.desc("revision_id"))
+    numbers = revisions.select("page_id", "revision_id").distinct().withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= n).drop("_place")
+    return revisions.join(numbers, ["page_id", "revision_id"], "left_semi")
+
+
+def _topmost(nodes: DataFrame) -> DataFrame:
+    """(id, top): for nodes (id, parent_id, mark) that lie at or below a marked one, the topmost marked node above them.
+
+    Pointers are doubled as in ``climb``.
+    """
+    ids = nodes.select(F.col("id").alias("parent_id"))
+    known = nodes.where("parent_id is not null").join(ids, "parent_id", "left_semi").select("id", F.col("parent_id").alias("up"))
+    t = nodes.join(known, "id", "left").select("id", "up", F.when(F.col("mark"), F.col("id")).alias("top"))
+    t = cut(t)
+    while t.where("up is not null").take(1):
+        over = t.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("top").alias("_top"))
+        t = cut(t.join(over, F.col("up") == F.col("_id"), "left").select("id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")))
+    return t.where("top is not null").select("id", "top")
+
+
+def trashed(pages: DataFrame, gone: Column, deletion: str) -> DataFrame:
+    """``pages`` after the pages where ``gone`` holds went to the trash with all that lies below them.
+
+    ``pages`` have id, parent_id and deleted_by, null for live ones.  A live page
+    is marked with the deletion and the topmost page that took it; pages that an
+    earlier deletion took keep their mark.
+    """
+    taken = _topmost(pages.select("id", "parent_id", (F.coalesce(gone, F.lit(False)) & F.col("deleted_by").isNull()).alias("mark")))
+    mark = F.concat(F.lit(f"{deletion}:"), F.col("top").cast("string"))
+    return pages.join(taken, "id", "left").withColumn("deleted_by", F.coalesce("deleted_by", mark)).select(pages.columns)
+
+
+def restored(pages: DataFrame, deletions: DataFrame) -> DataFrame:
+    """``pages`` after the given deletions (deleted_by) were taken back: what they took returns, and nothing else.
+
+    A page that comes back below one that stays in the trash hangs below its
+    nearest live ancestor, or at the top where there is none.
+    """
+    back = deletions.select("deleted_by").distinct().withColumn("_back", F.lit(True))
+    after = cut(pages.join(back, "deleted_by", "left").withColumn("deleted_by", F.when(F.col("_back"), None).otherwise(F.col("deleted_by"))))
+    # pointers of deleted pages are doubled until each points to a live page or to none
+    up = cut(after.where("deleted_by is not null").select("id", F.col("parent_id").alias("up")))
+    while True:
+        over = up.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        longer = up.join(over, F.col("up") == F.col("_id"))
+        if not longer.take(1):
+            break
+        up = cut(up.join(over, F.col("up") == F.col("_id"), "left").select("id", F.when(F.col("_id").isNotNull(), F.col("_up")).otherwise(F.col("up")).alias("up")))
+    dead = up.select(F.col("id").alias("parent_id"), F.col("up").alias("_live"), F.lit(True).alias("_dead"))
+    hung = after.join(dead, "parent_id", "left")
+    return hung.withColumn("parent_id", F.when(F.col("_back") & F.col("_dead"), F.col("_live")).otherwise(F.col("parent_id"))).select(pages.columns)

@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where a few large files would keep most of them idle; for
+    functions that cost far more than moving their rows.  Tables of more partitions stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

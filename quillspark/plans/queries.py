@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html, markdown, text
 from ..functions.predicates import all_of, below, differs, equals, starts_with
-from ..operators import chunking, dedup, headings, listing, maintained, publish_flow, publishing, search_index, snapshots, vectors, wiki
+from ..operators import chunking, dedup, headings, listing, maintained, migration, publish_flow, publishing, search_index, snapshots, vectors, wiki
 from ..streaming import limits
 from . import tables as t
-from .lineage import scratch
+from .lineage import scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,7 +273,7 @@ BM = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p
 
 @query("SELECT doc_id, round(ln(1 + (nd - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (nd - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (nd - de + 0.5) / (de + 0.5)) * e * 2.2 / (e + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a + b + e > 0 ORDER BY score DESC, doc_id LIMIT 20", BM)
 def bm25_topk(spark, d):
-    return vectors.bm25(t.table(spark, d, "documents"), ["the", "ention", "que"], 20).select("doc_id", F.round("score", 6).alias("score"))
+    return vectors.bm25(spread(t.table(spark, d, "documents").select("doc_id", "text")), ["the", "ention", "que"], 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT p.page_id, p.current_revision_id AS revision_id FROM pages p JOIN revisions r ON p.page_id = r.page_id AND p.current_revision_id = r.revision_id WHERE p.status = 'published' AND p.deleted_at IS NULL", PAGES, REVISIONS)
@@ -391,26 +391,26 @@ def word_counts(spark, d):
 
 @query()
 def html_to_markdown(spark, d):
-    m = t.table(spark, d, "pages").select("page_id", html.markdown_of(F.col("html"), True).alias("markdown"))
+    m = spread(t.table(spark, d, "pages").select("page_id", "html")).select("page_id", html.markdown_of(F.col("html"), True).alias("markdown"))
     return m.withColumn("table_count", html.table_lines(F.col("markdown")))
 
 
 @query()
 def clean_markdown(spark, d):
-    return markdown.clean(t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text").drop("text")
+    return markdown.clean(spread(t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "text").drop("text")
 
 
 @query()
 def clean_report(spark, d):
     """How many edits of each kind the cleaner makes, and in how many documents."""
-    done = t.table(spark, d, "documents").select(markdown.cleaned(F.col("text")).alias("c"))
+    done = spread(t.table(spark, d, "documents").select("text")).select(markdown.cleaned(F.col("text")).alias("c"))
     each = done.select(F.explode("c.counts").alias("kind", "n"))
     return each.groupBy("kind").agg(F.sum("n").alias("n_edits"), F.sum((F.col("n") > 0).cast("long")).alias("n_documents"))
 
 
 @query()
 def chunk_tree(spark, d):
-    return chunking.chunk_tree(t.table(spark, d, "documents")).select("doc_id", "parent_id", "title", "chunk_index", "content", "tokens")
+    return chunking.chunk_tree(spread(t.table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "parent_id", "title", "chunk_index", "content", "tokens")
 
 
 @query()
@@ -698,5 +698,64 @@ def ivf_recall(spark, d):
 @query("SELECT doc_id, round(ln(1 + (nd - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (nd - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (nd - de + 0.5) / (de + 0.5)) * e * 2.2 / (e + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a + b + e > 0 ORDER BY score DESC, doc_id LIMIT 20", BM)
 def keyword_topk(spark, d):
     """The same keyword ranking from an index of postings."""
-    index = search_index.Postings.build(t.table(spark, d, "documents"), scratch(spark, "postings"))
+    index = search_index.Postings.build(spread(t.table(spark, d, "documents").select("doc_id", "text")), scratch(spark, "postings"))
     return index.top_k("The ention, que", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+#: The namespace of ids that are made from a parent's scope, title and content.
+PARENT_NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
+
+
+@query(
+    "+n AS (SELECT parent_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(tenant_id || '|' || kb_id || '|' || parent_id || '|' || sha256(lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))))) AS h FROM store)"
+    " SELECT parent_id, h[1:12] || '5' || h[14:16] || substr('89ab', ('0x' || h[17:17])::INT % 4 + 1, 1) || h[18:32] AS id FROM n",
+    STORE,
+)
+def parent_name_ids(spark, d):
+    """Ids of parents from their scope, title and content."""
+    name = text.parent_name(F.col("tenant_id"), F.col("kb_id"), F.col("parent_id").cast("string"), F.col("content"))
+    return t.parent_store(spark, d).select("parent_id", text.name_id(PARENT_NAMESPACE, name).alias("id"))
+
+
+@query(
+    "RECURSIVE +a AS (SELECT id, parent_id, CASE WHEN id % 17 = 0 THEN id END AS top FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, t.parent_id, coalesce(a.top, CASE WHEN t.id % 17 = 0 THEN t.id END) FROM tree t JOIN a ON t.parent_id = a.id),"
+    " b AS (SELECT id, top, CASE WHEN top IS NULL AND id % 10 = 0 THEN id END AS second FROM a WHERE parent_id IS NULL UNION ALL SELECT a.id, a.top, coalesce(b.second, CASE WHEN a.top IS NULL AND a.id % 10 = 0 THEN a.id END) FROM a JOIN b ON a.parent_id = b.id),"
+    " m AS (SELECT a.id, a.parent_id, CASE WHEN a.top IS NOT NULL THEN 'first:' || a.top WHEN b.second IS NOT NULL THEN 'second:' || b.second END AS was FROM a JOIN b USING (id)),"
+    " n AS (SELECT id, parent_id, was, CASE WHEN was LIKE 'first:%' AND substr(was, 7)::BIGINT % 2 = 0 THEN NULL ELSE was END AS deleted_by FROM m),"
+    " l AS (SELECT id, CASE WHEN deleted_by IS NULL THEN id END AS live FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, CASE WHEN n.deleted_by IS NULL THEN n.id ELSE l.live END FROM n JOIN l ON n.parent_id = l.id)"
+    " SELECT n.id, CASE WHEN n.was IS NOT NULL AND n.deleted_by IS NULL THEN l.live ELSE n.parent_id END AS parent_id, n.deleted_by FROM n LEFT JOIN l ON l.id = n.parent_id",
+    TREE,
+)
+def restored_pages(spark, d):
+    """Pages after two deletions, and the half of the first one's taken back."""
+    pages = t.tree(spark, d).select("id", "parent_id", F.lit(None).cast("string").alias("deleted_by"))
+    pages = wiki.trashed(wiki.trashed(pages, F.col("id") % 17 == 0, "first"), F.col("id") % 10 == 0, "second")
+    back = pages.where("deleted_by like 'first:%' and cast(substring(deleted_by, 7) as bigint) % 2 = 0").select("deleted_by")
+    return wiki.restored(pages, back)
+
+
+@query(
+    "WITH o AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS tenant_id, p_type AS kb_id, p_name AS content, p_name AS title, p_type AS body FROM part),"
+    " s AS (SELECT *, CASE WHEN tenant_id = '' THEN 'default' ELSE tenant_id END AS t FROM o),"
+    " n AS (SELECT *, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(t || '|' || kb_id || '|' || lower(title) || '|' || sha256(lower(body)))) AS h FROM s)"
+    " SELECT id, t AS tenant_id, kb_id, content, CASE WHEN id % 3 = 0 THEN 'p' || id ELSE h[1:12] || '5' || h[14:16] || substr('89ab', ('0x' || h[17:17])::INT % 4 + 1, 1) || h[18:32] END AS parent_id, 1::BIGINT AS doc_version FROM n"
+)
+def migrated_rows(spark, d):
+    """Rows of an old schema copied in pages into a new one, in two runs, of which the first stops half way."""
+    old = t.table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_brand")).alias("tenant_id"), F.col("p_type").alias("kb_id"), F.col("p_name").alias("content"), F.col("p_name").alias("parent_title"), F.col("p_type").alias("parent_content"),
+    )
+    known = old.where("id % 3 = 0").select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("parent_id"))
+    change = migration.with_parents(PARENT_NAMESPACE, known)
+    m = migration.Migration(spark, scratch(spark, "migration"))
+
+    def stop(page: int) -> None:
+        if page == 2:
+            raise InterruptedError
+
+    try:
+        m.copy(old, "id", change, 4, stop)
+    except InterruptedError:
+        m.copy(old, "id", change, 4)
+    m.swap(old.count(), "part")
+    return m.rows().select("id", "tenant_id", "kb_id", "content", "parent_id", "doc_version")

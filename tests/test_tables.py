@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import dedup, snapshots, vectors
 from quillspark.sources import files
-from quillspark.streaming import limits
 
 
 def test_publish_and_swap(spark, tmp_path):
@@ -45,26 +44,3 @@ def test_uploads(spark, tmp_path):
     assert got["a.md"]["stored_name"] == got["a.md"]["sha256"] + ".md"
     texts = {r["path"].rpartition("/")[2]: r["markdown"] for r in files.plain_texts(spark, f"file://{tmp_path}").collect()}
     assert texts["a.md"] == "hello\n" and texts["c.md"] == "bad � byte\n"
-
-
-def stream(spark, tmp_path, rows, schema, f, name):
-    spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
-    q = f(source).writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name).collect()
-
-
-def test_anchored_windows(spark, tmp_path):
-    rows = [(1, s) for s in (50, 55, 109, 110, 111)] + [(2, 50)]
-    got = stream(spark, tmp_path, rows, "user_id long, s long", lambda e: limits.anchored_rates(e, "user_id", 2, 60), "anchored")
-    # the window of user 1 starts at 50, so 109 is its third event and 110 starts anew
-    assert sorted(r["allowed"] for r in got) == [False, True, True, True, True, True]
-    assert [r["ts"].timestamp() for r in got if not r["allowed"]] == [109.0]
-
-
-def test_idempotency(spark, tmp_path):
-    rows = [("a", 1), ("a", 100), ("b", 5)]
-    got = stream(spark, tmp_path, rows, "key string, s long", lambda e: limits.first_of_each(e, ["key"]), "idempotent")
-    assert sorted(r["key"] for r in got) == ["a", "b"]
