@@ -1,9 +1,8 @@
 """Parents and children: sections by headings, windows of tokens with sentence boundaries.
 
-Sections are found with array functions; only the window splitter, whose next
-start depends on where the last one was cut, runs in Arrow batches.  A token is
-a word, a CJK character or a mark; another tokenizer may be passed in as a
-pattern.
+A text becomes its parents with their children in one Arrow pass, which counts
+every token once; rows, ids and images are made of that by array functions.  A
+token is a word, a CJK character or a mark.
 """
 
 from __future__ import annotations
@@ -22,7 +21,14 @@ CUT_MARK = " [表格截断]"
 
 
 def token_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit("(?U)" + TOKEN), F.lit(0)))
+
+
+_TOKEN, _IMAGE = re.compile(TOKEN), re.compile(r"!\[([^\]]*)\]\(([^)]*)\)")
+
+
+def count(text: str) -> int:
+    return len(_TOKEN.findall(text))
 
 
 def _tables(text: str) -> list[tuple[int, int]]:
@@ -30,7 +36,7 @@ def _tables(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"(?m)(?:^[ \t]*\|.*(?:\n|\Z)){2,}", text)]
 
 
-def _pieces_of_table(table: str, size: int, count) -> list[str]:
+def _pieces_of_table(table: str, size: int) -> list[str]:
     """A table's rows in pieces of at most ``size`` tokens, each under the header; wider rows are cut."""
     lines = table.rstrip("\n").split("\n")
     head, rows = lines[:2], []
@@ -51,20 +57,17 @@ def _pieces_of_table(table: str, size: int, count) -> list[str]:
 
 def windows(text: str, size: int, overlap: int, lookback: int | None = None) -> list[str]:
     """Windows of at most ``size`` tokens that share ``overlap`` with the one before; a table at a window's start goes whole."""
-    spans = [m.span() for m in re.finditer(TOKEN, text)]
+    spans = [m.span() for m in _TOKEN.finditer(text)]
     back = overlap + 15 if lookback is None else lookback
     tables, out, at = _tables(text), [], 0
     starts = [s for s, _ in spans]
 
-    def count(t: str) -> int:
-        return sum(1 for _ in re.finditer(TOKEN, t))
-
     while at < len(spans):
         table = next(((a, b) for a, b in tables if a <= starts[at] < b), None)
         if table:
             whole = text[starts[at] : table[1]].strip("\n")
             n = count(whole)
-            out += [whole] if n <= size else _pieces_of_table(whole, size, count)
+            out += [whole] if n <= size else _pieces_of_table(whole, size)
             at += n
             continue
         end = min(at + size, len(spans))
@@ -145,23 +148,36 @@ def sections(text: Column) -> Column:
     return run(text)
 
 
+def tree(text: str, size: int, overlap: int, parent_size: int, lookback: int | None, parent_lookback: int | None) -> list[dict]:
+    """The parents of a text in order, each with its place, its headings and text, and its children."""
+    out = []
+    for section, (prefix, title, body) in enumerate(section_list(text)):
+        lead = count(prefix)
+        whole = lead + count(body) <= parent_size
+        for part, block in enumerate([body] if whole else windows(body, max(1, parent_size - lead), 0, parent_lookback)):
+            if not block.strip(" "):
+                continue
+            under = f"{prefix}\n" if prefix else ""
+            pieces = windows(_IMAGE.sub("", block), max(1, size - lead), overlap, lookback)
+            out.append({"section": section, "part": part, "title": title, "whole": under + block, "children": [{"content": under + p, "tokens": lead + count(p)} for p in pieces]})
+    return out
+
+
 def chunk_tree(docs: DataFrame, size: int = 300, overlap: int = 40, parent_size: int = 2000, lookback: int | None = None, parent_lookback: int | None = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per child: key, parent_seq, parent_id, title, parent_content, images, chunk_index, content, tokens.
+    """One row per child: key, parent_section, parent_part, parent_id, title, parent_content, images, chunk_index, content, tokens.
 
     A parent is a section, cut without overlap where it is over ``parent_size``
     with its headings; children are windows of its text without images.  Each
     stands under its headings, whose tokens come off both budgets.
     """
-    found = docs.select(key, F.posexplode(sections(F.col(text))).alias("section", "s"))
-    found = found.select(key, "section", F.col("s.title").alias("title"), F.col("s.prefix").alias("_prefix"), F.col("s.body").alias("_body"))
-    under = lambda c: F.when(F.col("_prefix") == "", c).otherwise(F.concat_ws("\n", "_prefix", c))
-    lead = F.when(F.col("_prefix") == "", 0).otherwise(token_count(F.col("_prefix")))
-    found = found.withColumn("_lead", lead)
-    whole = lead + token_count(F.col("_body")) <= parent_size
-    blocks = F.when(whole, F.array("_body")).otherwise(split(F.when(~whole, F.col("_body")), F.greatest(F.lit(parent_size) - F.col("_lead"), F.lit(1)), 0, parent_lookback))
-    parents = found.select(key, "section", "title", "_prefix", "_lead", F.posexplode(blocks).alias("part", "_block")).where(F.trim("_block") != "")
-    parents = parents.withColumn("parent_id", stable_id(F.col(key), F.col("section"), F.col("part"))).withColumn("images", image_refs(under(F.col("_block")))).withColumn("parent_content", without_images(under(F.col("_block"))))
-    children = parents.withColumn("_c", split(without_images(F.col("_block")), F.greatest(F.lit(size) - F.col("_lead"), F.lit(1)), overlap, lookback))
-    out = children.select(key, F.col("section").alias("parent_section"), F.col("part").alias("parent_part"), "parent_id", "title", "parent_content", "images", "_prefix", F.posexplode("_c").alias("chunk_index", "_piece"))
-    content = under(F.col("_piece"))
-    return out.withColumn("content", content).withColumn("tokens", token_count(content)).drop("_prefix", "_piece")
+
+    @F.pandas_udf("array<struct<section:int,part:int,title:string,whole:string,children:array<struct<content:string,tokens:int>>>>")
+    def trees(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else tree(t, size, overlap, parent_size, lookback, parent_lookback) for t in texts], dtype=object)
+
+    parents = docs.select(key, F.inline(trees(F.col(text))))
+    rows = parents.select(
+        key, F.col("section").alias("parent_section"), F.col("part").alias("parent_part"), stable_id(F.col(key), F.col("section"), F.col("part")).alias("parent_id"), "title",
+        without_images(F.col("whole")).alias("parent_content"), image_refs(F.col("whole")).alias("images"), F.posexplode("children").alias("chunk_index", "_c"),
+    )
+    return rows.select(*[c for c in rows.columns if c != "_c"], "_c.content", "_c.tokens")
