@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html, markdown, text
 from ..functions.predicates import all_of, below, differs, equals, starts_with
-from ..operators import chunking, dedup, headings, listing, maintained, migration, publish_flow, publishing, search_index, snapshots, vectors, wiki
+from ..operators import chunking, dedup, headings, listing, maintained, migration, publish_flow, publishing, registry, search_index, snapshots, vectors, wiki
 from ..streaming import limits
 from . import tables as t
 from .lineage import scratch, spread
@@ -759,3 +759,67 @@ def migrated_rows(spark, d):
         m.copy(old, "id", change, 4)
     m.swap(old.count(), "part")
     return m.rows().select("id", "tenant_id", "kb_id", "content", "parent_id", "doc_version")
+
+
+@query(
+    "+o AS (SELECT *, id % 3 = 0 AND tenant_id <> 'de' AS one, id % 6 = 0 AS two FROM files)"
+    " SELECT id, CASE WHEN id % 3 = 0 THEN 'de' ELSE tenant_id END AS tenant_id, CASE WHEN two THEN 'other' ELSE kb_id END AS kb_id, CASE WHEN two THEN 'guide' END AS category,"
+    " CASE WHEN status = 'done' AND (one OR two) THEN 'chunked' ELSE status END AS status,"
+    " CASE WHEN id % 12 = 0 THEN NULL WHEN one THEN tenant_id WHEN two THEN 'de' END AS previous_tenant_id, CASE WHEN id % 12 = 0 THEN NULL WHEN one OR two THEN kb_id END AS previous_kb_id FROM o",
+    FILES,
+)
+def meta_edits(spark, d):
+    """Files after two edits of their scopes, of which the first scope left is remembered, and clean-ups that clear it."""
+    none = F.lit(None).cast("string")
+    f = t.files(spark, d).select("id", "tenant_id", "kb_id", "status", none.alias("category"), none.alias("product_id"), none.alias("previous_tenant_id"), none.alias("previous_kb_id"))
+    first = f.where("id % 3 = 0").select("id", none.alias("category"), none.alias("product_id"), F.lit("de").alias("tenant_id"), none.alias("kb_id"))
+    second = f.where("id % 6 = 0").select("id", F.lit("guide").alias("category"), none.alias("product_id"), none.alias("tenant_id"), F.lit("other").alias("kb_id"))
+    after = registry.edit_meta(registry.edit_meta(f, first), second)
+    return registry.clear_previous(after, f.where("id % 12 = 0").select("id")).drop("product_id")
+
+
+@query(
+    "SELECT doc_id AS file_id, CASE doc_id % 4 WHEN 0 THEN 'raw ' || doc_id WHEN 1 THEN 'clean ' || doc_id WHEN 2 THEN '' ELSE md5(text) END AS markdown, CASE doc_id % 4 WHEN 0 THEN 'raw ' || doc_id ELSE md5(text) END AS raw_markdown,"
+    " CASE WHEN doc_id % 4 = 2 THEN 'pending' ELSE 'done' END AS status, CASE doc_id % 4 WHEN 0 THEN 'edited' WHEN 3 THEN 'raw' ELSE 'cleaned' END AS clean_state, CASE WHEN doc_id % 4 = 3 THEN 'report' END AS clean_report, CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 2 END::BIGINT AS markdown_version FROM documents"
+)
+def markdown_edits(spark, d):
+    """Conversions after edits of raw and cleaned texts, some of them empty."""
+    k, own = F.col("doc_id"), F.md5("text")
+    c = t.table(spark, d, "documents").select(
+        k.alias("file_id"), own.alias("markdown"), own.alias("raw_markdown"), F.lit("done").alias("status"), F.lit("raw").alias("clean_state"), F.lit("report").alias("clean_report"), F.lit("1").alias("cleaner_version"), F.lit(1).cast("long").alias("markdown_version"),
+    )
+    f = F.col("file_id")
+    edits = c.where(f % 4 < 3).select("file_id", F.when(f % 4 == 0, F.concat(F.lit("raw "), f.cast("string"))).when(f % 4 == 1, F.concat(F.lit("clean "), f.cast("string"))).alias("markdown"), F.when(f % 4 == 0, "raw").otherwise("cleaned").alias("target"))
+    return registry.edit_markdown(c, edits).drop("cleaner_version")
+
+
+@query(
+    "+c AS (SELECT *, file_id % 3 <> 0 AS deduplicated FROM parents), again AS (SELECT DISTINCT b.file_id FROM c a JOIN c b ON a.tenant_id = b.tenant_id AND a.kb_id = b.kb_id AND a.parent_hash = b.parent_hash WHERE a.file_id % 10 = 0 AND NOT a.deduplicated AND b.deduplicated AND b.file_id % 10 <> 0)"
+    " SELECT id, CASE WHEN id IN (SELECT file_id FROM again) THEN 'chunked' ELSE status END AS status, (SELECT count(*) FROM c WHERE c.file_id = files.id) AS n_parents FROM files WHERE id % 10 <> 0",
+    FILES,
+    PARENTS,
+)
+def deleted_files(spark, d):
+    """Files and their parents left after every tenth file is deleted; those that left out what it alone served are to be published again."""
+    c = t.parents(spark, d).withColumn("deduplicated", F.col("file_id") % 3 != 0)
+    left, parents = registry.delete_files(t.files(spark, d), c, c.where("file_id % 10 = 0").select("file_id"))
+    n = parents.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_parents"))
+    return left.select("id", "status").join(n, "id", "left").select("id", "status", F.coalesce("n_parents", F.lit(0)).alias("n_parents"))
+
+
+@query(
+    "+v AS (SELECT vec_id, label::BIGINT AS space_id, vec_id::VARCHAR AS source FROM embeddings), m AS (SELECT v.*, f.name FROM v JOIN files f ON f.id::VARCHAR = v.source WHERE space_id IN (1, 2, 3) AND contains(lower(f.name), 'doc-1'))"
+    " SELECT vec_id, space_id, name AS source_name, (SELECT count(*) FROM m) AS total FROM m ORDER BY vec_id LIMIT 15 OFFSET 15",
+    FILES,
+)
+def documents_by_name(spark, d):
+    """The second page of the vectors of files with a name, with those names."""
+    v = t.vectors(spark, d).withColumn("source", F.col("vec_id").cast("string"))
+    return registry.documents_by_name(v, t.files(spark, d), " DOC-1", 2, 15, "vec_id", space_id=[1, 2, 3]).select("vec_id", "space_id", "source_name", "total")
+
+
+@query("SELECT doc_id AS parent_id, substr(text, 1, 512) AS title, substr(source, 1, 128) AS category, substr(text, 1, 800) AS summary FROM documents")
+def stored_parents(spark, d):
+    """Parents as a store keeps them."""
+    p = t.table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("title"), F.col("source").alias("category"), F.lit(None).cast("string").alias("summary"), F.col("text").alias("content"))
+    return registry.parent_rows(p).drop("content")
