@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .text import image_refs
+
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "main"}
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
 
@@ -132,3 +134,10 @@ def markdown_of(html: Column, extra_cell: bool = False) -> Column:
 def table_lines(markdown: Column) -> Column:
     """Number of lines that start a table row."""
     return F.size(F.split(markdown, r"\n\|", -1)) - 1
+
+
+def metadata(path: Column, markdown: Column) -> Column:
+    """struct<title, images, table_count>: the file's name without its ending, the images in order, the lines that start a
+    table row."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.struct(stem.alias("title"), image_refs(markdown).alias("images"), table_lines(markdown).alias("table_count"))

@@ -39,6 +39,47 @@ def test_html(spark):
     assert one(spark, None, html.markdown_of) is None and one(spark, "", html.markdown_of) == "\n"
 
 
+PAGES = {
+    "<blockquote>said <em>so</em></blockquote><hr><p>after</p>": "> said *so*\n---\nafter\n",
+    "<p>one<br>two <i>three</i> <b>four</b> <code>x = 1</code></p>": "one\ntwo *three* **four** `x = 1`\n",
+    "<pre>\n a  b\n\n  c\n</pre><p>d</p>": "```\n a  b\n\n  c\n```\nd\n",
+    "<div>a<script>if (x) { '</style>' }</script><style>p {}</style>b</div>": "ab\n",
+    "<ol><li>x<ul><li>y</li></ul></li><li>z</li></ol>": "1. x\n  - y\n2. z\n",
+    "<section>a</section><article>b</article><footer>c</footer>": "a\nb\nc\n",
+    "<table><tr><th>A</th></tr><tr><td>1</td><td>2</td></tr></table>": "| A |  |\n| --- | --- |\n| 1 | 2 |\n",
+    "<table></table>": "\n",
+}
+
+
+def test_html_rules(spark):
+    rows = spark.createDataFrame([(t,) for t in PAGES], "t string").select("t", html.markdown_of(F.col("t")).alias("m"))
+    assert {r["t"]: r["m"] for r in rows.collect()} == PAGES
+
+
+def test_metadata(spark):
+    rows = spark.createDataFrame([("up/A page.v2.html", "![x](a.png)\n| a |\n| - |\n![](b.png)"), (".hidden", ""), ("plain", None)], "p string, m string")
+    got = [r["d"] for r in rows.select(html.metadata(F.col("p"), F.col("m")).alias("d")).collect()]
+    assert (got[0]["title"], [(i["alt"], i["ref"]) for i in got[0]["images"]], got[0]["table_count"]) == ("A page.v2", [("x", "a.png"), ("", "b.png")], 2)
+    assert (got[1]["title"], got[1]["images"], got[1]["table_count"]) == (".hidden", [], 0) and got[2]["title"] == "plain"
+
+
+def test_bold_titles_and_wide_rows(spark):
+    """A bold title before a colon stands on its own line; a table row over the budget is cut, no token of it lost."""
+    docs = spark.createDataFrame([(1, "**1、Soil** ：wet\n**2、Light**：bright\nmore")], "doc_id long, text string")
+    assert [(r["title"], r["content"]) for r in chunking.chunk_tree(docs).collect()] == [("**1、Soil**", "**1、Soil**\n：wet".replace("：", "")), ("**2、Light**", "**2、Light**\nbright\nmore")]
+    table = "| a | b |\n| --- | --- |\n| " + " ".join(f"w{i}" for i in range(100)) + " | end |\n"
+    pieces = chunking.windows(table, 40, 0)
+    assert len(pieces) > 2 and all(p.startswith("| a | b |\n| --- | --- |\n") for p in pieces) and all(p.endswith(chunking.CUT_MARK) for p in pieces[:-1])
+    import re
+
+    assert {f"w{i}" for i in range(100)} <= set(re.findall(r"w\d+", "\n".join(pieces)))
+
+
+def test_tokens_are_counted_alike(spark):
+    text = "Ünïcode été, 日本語 x2! ¿qué?"
+    assert one(spark, text, chunking.token_count) == chunking.count(text)
+
+
 def test_sections_and_chunks(spark):
     docs = spark.createDataFrame(
         [
