@@ -5,8 +5,8 @@ with at least a share of 1/CONTEXTS of the training tokens have a restaurant of
 their own; rarer ones share that of their ending (the last two characters).
 Restaurants of both kinds hang below the one of their ending, and all of those
 below the unigram restaurant, whose base gives a share to the unknown word,
-estimated as the share of the base's draws that were words not seen before, and
-the rest evenly to the known ones.  Shares, not numbers, choose the contexts, so
+estimated from the words that were drawn once there, and the rest evenly to the
+known ones, hot or not.  Shares, not numbers, choose the contexts, so
 there are at most CONTEXTS + ENDINGS restaurants whatever the table.
 
 1. Blocks.  Each task splits its documents into words and keeps, per block of a
@@ -52,10 +52,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import id_and_text, new_path, staged
 
-#: Tokens of a block, and documents that a bucket is meant to answer for.
-BLOCK_TOKENS, BUCKET_DOCS = 2_000_000, 2_000
-#: Frequent contexts have at least 1/CONTEXTS of the tokens, hot words 1/HOT; hot words are spread SPREAD-fold.
-CONTEXTS, ENDINGS, HOT, SPREAD = 1 << 15, 1 << 12, 2048, 64
+#: Tokens of a block, and training tokens that a bucket is meant to seat.
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 1_000_000
+#: Frequent contexts have at least 1/CONTEXTS of the tokens, hot words 1/HOT; hot words are spread by the ENDINGS before them.
+CONTEXTS, ENDINGS, HOT = 1 << 15, 1 << 12, 2048
 STRENGTH, BURN, SAMPLES = 1.0, 2, 3
 #: Customers of a dish up to which they are removed and seated one by one.
 SINGLY = 64
@@ -124,7 +124,7 @@ class Contexts:
         return np.where(at >= 0, at, len(self.words) + endings)
 
     def bucket(self, words: np.ndarray, contexts: np.ndarray, buckets: int) -> np.ndarray:
-        salt = np.where(place(self.hot, words) >= 0, self.parent[contexts] % SPREAD, 0).astype(np.uint64)
+        salt = np.where(place(self.hot, words) >= 0, self.parent[contexts] + 1, 0).astype(np.uint64)
         with np.errstate(over="ignore"):
             return ((words + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
 
@@ -212,22 +212,28 @@ class Totals:
         hot = len(contexts.hot)
         self.n, self.v, self.discount = 0, hot, [0.5, 0.5, 0.5]
         self.hot_customers, self.hot_count = np.zeros(hot, np.int64), np.zeros(hot, np.int64)
+        once = 0
         for level, k, customers, tables in rows:
             if level == -1:
                 self.n, self.v = customers, self.v + tables
             elif level == -2:  # dishes with one and with two customers
                 self.discount[k] = min(0.95, max(0.05, (customers + 1) / (customers + 2 * tables + 2)))
+                once = customers if k == 0 else once
             elif level == -3:
                 self.hot_customers[k], self.hot_count[k] = customers, tables
             else:
                 self.customers[level][k], self.tables[level][k] = customers, tables
-        w = (STRENGTH + self.discount[0] * self.tables[0][0]) / max(1, self.v) * 0.01
+        # a draw at the unigram restaurant brings a word that no other draw has about as often as its words were drawn once;
+        # of the draws that reach the base, that share is the unknown word's
+        drawn, tables = self.customers[0][0] + self.hot_customers.sum(), self.tables[0][0] + hot
+        reach = (STRENGTH + self.discount[0] * tables) / (STRENGTH + drawn)
+        self.unknown = float(np.clip(once / max(1, drawn) / reach, 0.01, 0.99)) if self.v else 1.0
+        self.known = (1 - self.unknown) / max(1, self.v)
+        # hot words' dishes have the same base as all others
+        w = (STRENGTH + self.discount[0] * tables) * self.known
         self.hot_tables = seat(self.hot_customers, np.full(hot, w), self.discount[0], np.random.default_rng(seed))
         self.customers[0][0] += self.hot_customers.sum()
         self.tables[0][0] += self.hot_tables.sum()
-        #: Of the base's draws, the share that were words not seen before.
-        self.unknown = self.v / (self.tables[0][0] + 1) if self.v else 1.0
-        self.known = (1 - self.unknown) / max(1, self.v)
 
 
 class Bucket:
@@ -346,12 +352,11 @@ def _pairs(f: dict, contexts: Contexts, buckets: int):
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, report: dict | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every whole text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity of every whole text.
 
     ``report`` gets the folder of the seatings, the contexts and the totals of the averaged sweeps.
     """
     spark, folder = docs.sparkSession, new_path(docs.sparkSession, "model")
-    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
 
     def split(batches):
         from pyspark import TaskContext
@@ -369,6 +374,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, report: dict | None
 
     seen = staged(id_and_text(docs).mapInArrow(split, SEEN), "words")
     n_blocks, tokens = seen.where("word is null").agg(F.count("*"), F.sum("n")).first()
+    buckets = max(1, -(-(tokens or 0) // BUCKET_TOKENS))
     frequent = seen.where("word is not null").groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n")).where(F.col("n") * CONTEXTS >= (tokens or 0))
     contexts = Contexts([tuple(r) for r in frequent.collect()] if tokens else [], tokens or 0)  # at most CONTEXTS rows
 
@@ -469,4 +475,5 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, report: dict | None
             sampled.append((turn, total))
     if report is not None:
         report |= {"folder": folder, "contexts": contexts, "sampled": sampled, "buckets": buckets}
-    return paths.mapInArrow(answer(sampled), ANSWER).groupBy("block").applyInArrow(finish(total), out)
+    scores = paths.mapInArrow(answer(sampled), ANSWER).groupBy("block").applyInArrow(finish(total), out)
+    return scores.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

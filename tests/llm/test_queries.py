@@ -16,7 +16,7 @@ COLUMNS = {
     "op4_token_store": "doc_id start n_tokens ids_crc32",
     "op5_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op6_toxicity": "doc_id held_out score predicted neighbours cosines plain_cosines",
-    "op7_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op7_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score perplexity",
     "op8_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_embedding_graph": "vec_id n_links component_id kept",
