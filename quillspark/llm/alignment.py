@@ -29,6 +29,7 @@ empty result.  Texts are taken in parts of at most 1 MB, a longer text by itself
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import _UNEVEN, BytePairs, Pieces, _tables, join_ids, space_chunks
+from .chunks import _UNEVEN, LONGEST_KEPT, MOST_WORDS, BytePairs, Pieces, _tables, join_ids, space_chunks
 from .common import id_and_text, new_path, slices
 
 #: Bytes of text aligned at once, and bytes of text of a block.
@@ -85,11 +86,36 @@ class Side(BytePairs):
         return out
 
 
+class Marked(Pieces):
+    """SentencePiece ids of texts alone, without begin and end: each distinct marked word is segmented once, nothing is decoded."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.ids_of: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        known = self.ids_of
+        if len(known) > MOST_WORDS:
+            known.clear()
+        lists = [self.marked(t) for t in texts]
+        new = list({w for own in lists for w in own if w not in known})
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            # a word of no characters is a marker alone, which the library doesn't add to an empty text
+            found = self.lib.encode([w.replace(self.MARK, " ") for w in part], num_threads=1)
+            known.update((w, array("I", x if w else [self.lib.piece_to_id(self.MARK)]).tobytes()) for w, x in zip(part, found))
+        out = [b"".join([known[w] for w in own]) for own in lists]
+        for w in new:
+            if len(w) > LONGEST_KEPT:
+                del known[w]
+        return out
+
+
 class Both:
     """The two tokenizers of a worker, with what their ids stand for."""
 
     def __init__(self, bpe: str, pieces: str):
-        self.a, self.b = Side(bpe), Pieces.of(pieces)
+        self.a, self.b = Side(bpe), Marked(pieces)
         lib = self.b.lib
         names = [(i, lib.id_to_piece(i)) for i in range(lib.get_piece_size())]
         self.bytes_a, self.bytes_b = self.a.bytes_of, [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace("▁", " ").encode() for i, p in names]
@@ -109,8 +135,8 @@ class Both:
         """Ids of both sides of each text; none where either side's bytes aren't a space and the text."""
         plain = texts.to_pylist()
         out = []
-        for t, a, b in zip(plain, self.a.spaced(texts), self.b.encode(plain)):
-            a, b = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b[0], "<u4")[1:-1].astype(np.int64)
+        for t, a, b in zip(plain, self.a.spaced(texts), self.b.ids(plain)):
+            a, b = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)
             want = b" " + t.encode()
             if not t or b"".join([self.bytes_a[i] for i in a.tolist()]) != want or b"".join([self.bytes_b[i] for i in b.tolist()]) != want:
                 a = b = a[:0]
