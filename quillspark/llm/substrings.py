@@ -205,7 +205,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts:
     asked = unlike.groupBy(*key).agg(F.collect_list(F.struct("anchor", "unit", "many", "first", "n")).alias("asked"))
     # a text with no copy whose windows don't all repeat for sure is needed to cut it
     own = met.where("copies = 1").join(unlike.where("many").select("anchor", "unit", "many"), ["anchor", "unit"], "left")
-    own = own.withColumn("sure", F.col("same") | F.coalesce("many", F.lit(False)))
+    own = staged(own.withColumn("sure", F.col("same") | F.coalesce("many", F.lit(False))), "repeat-own")
     state = own.groupBy(*key, "n_words").agg(F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("sure"))
     state = staged(state.select("k1", "k2", (F.col("sure") == F.col("n_words") - (length - 1)).alias("gone_whole")), "repeat-state")
 
