@@ -74,6 +74,12 @@ def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def embedding_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_recall import recall
+
+    return recall(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import cross_align
 
@@ -96,7 +102,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_fingerprints, op3_personal_data, op4_token_store, op5_sentencepiece, op6_toxicity, op7_language_model, op8_packing, op9_simhash, op10_embedding_graph,
-        op11_alignment, op12_simplex_clusters, op13_substrings,
+        op11_alignment, op12_simplex_clusters, op13_substrings, embedding_recall,
     )
 }
 #: The definition of operator 10 over all pairs; the query finds links by its graphs.
