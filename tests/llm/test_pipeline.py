@@ -23,4 +23,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries()
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} | {"embedding"} == {n.split("_")[0] for n in queries.QUERIES}
