@@ -175,7 +175,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MOST_LABELS) -> AdditiveModel:
-    """Fit on the labelled documents where ``learn_from`` (over labels) holds."""
+    """Fit on the labelled documents where ``learn_from`` (over labels) holds: of rows that repeat a labelled id one is learnt
+    from, so what reaches the driver has the sample's bound."""
 
     def run(batches):
         for b in batches:
@@ -185,7 +186,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MO
                 yield pa.RecordBatch.from_arrays([part.column("label_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["label_id", "y", "x"])
 
     rows = with_labels(id_and_text(docs), sample_labels(labels, "quality", learn_from, most)).select("label_id", "y", "text")
-    t = rows.mapInArrow(run, "label_id long, y int, x array<double>").toArrow().combine_chunks()
+    found = rows.mapInArrow(run, "label_id long, y int, x array<double>")
+    t = found.groupBy("label_id").agg(F.min(F.struct("y", "x")).alias("r")).select("label_id", "r.y", "r.x").toArrow().combine_chunks()
     x = np.array(t.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, t.column("label_id").to_numpy()])
     return fit(x[order], t.column("y").to_numpy()[order].astype(np.float64))

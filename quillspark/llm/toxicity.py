@@ -331,6 +331,9 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MO
     """The model, and (doc_id, text) of all documents for scoring."""
     texts, sample = id_and_text(docs), balanced_labels(labels, "toxic", learn_from, most)
     one_each = with_labels(texts, sample).groupBy("text").agg(F.min("label_id").alias("label_id"), F.avg("y").alias("y"), F.sum("w").alias("w"))
+    # of an id's different texts one is an example, so that a repeated id doesn't lift the bound
+    first = one_each.groupBy("label_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y", "w")).alias("r"))
+    one_each = first.select("r.text", "label_id", "r.y", "r.w")
     chosen = staged(one_each.withColumn("fitted", F.pmod(F.xxhash64("label_id"), F.lit(4)) == 0), "examples")
     terms, examples = _examples(chosen)
     n, df = _frequencies(texts, Vectors(terms))

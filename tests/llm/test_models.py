@@ -31,6 +31,18 @@ def test_quality_of_odd_rows(edge, empty, corpus):
     assert {r["score"] for r in quality.score(edge, none).collect()} == {0.5} and quality.score(empty, model).count() == 0
 
 
+def test_a_repeated_label_id_is_learnt_from_once(spark, corpus, monkeypatch):
+    """However often an id repeats, in documents of other texts or in labels, what reaches the driver has the sample's bound."""
+    docs, labels = corpus
+    many = docs.union(docs.sparkSession.range(500).selectExpr("0L", "concat('another text ', id)")).union(docs.limit(50))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, fit=quality.fit: seen.append(len(x)) or fit(x, y))
+    quality.learn(many, labels.union(labels.limit(100)), F.lit(True))
+    assert seen == [labels.count()]
+    model, _ = toxicity.learn(many, labels.union(labels.limit(100)), F.lit(True))
+    assert model.index.n <= labels.count()
+
+
 def test_pairs_are_learnt():
     """An exclusive or of two features is in no single table."""
     r = np.random.default_rng(0)
