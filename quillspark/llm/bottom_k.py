@@ -11,7 +11,9 @@ the empty sketch, which is entirely like another empty one and unlike any
 other; a text of few shingles has them all and its estimates are exact.  Rows
 with a null doc_id are not in the order of documents: for them the next
 document is the empty text.  Repeated doc_ids follow each other by a hash of
-their text.  Other columns are ignored, whatever their names.
+their text.  Other columns are ignored, whatever their names; an empty table gives
+an empty result.  Equal hashes count once, so ties don't arise.  A very long text
+is read whole; its shingles are one array of a row, its sketch has at most k.
 """
 
 from __future__ import annotations

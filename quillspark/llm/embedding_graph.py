@@ -27,7 +27,9 @@ Defined results: rows whose vector is null, empty, zero or holds a null or
 non-finite component, or whose vec_id is null, link with nothing (their
 component is their own id, a null id's is null and isn't kept); vectors link
 only with those of as many components; repeated rows of one vec_id count as
-other vectors each; other columns, labels included, are ignored.
+other vectors each; other columns, labels included, are ignored; an empty table
+gives an empty result.  A cosine of exactly the threshold links; equal nearness
+in a search goes by position, which decides the order of visits, not the links.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@
 Defined results: a null text counts as the empty one and has no spans; a null
 doc_id stays null; repeated rows give repeated results; without candidates the
 classifier accepts nothing; other columns are ignored by ``spans`` and kept by
-``redact``.
+``redact``; an empty table gives an empty result.  Base matches of a kind are
+leftmost and don't overlap; what is added overlaps none of them.  A very long text
+is read whole; its matches are arrays of a row.
 """
 
 from __future__ import annotations

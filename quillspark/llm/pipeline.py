@@ -1,4 +1,13 @@
-"""Stages of the corpus pipeline: bad, toxic and repeated documents go, personal data is masked, the rest is packed."""
+"""Stages of the corpus pipeline: bad, toxic and repeated documents go, personal data is masked, the rest is packed.
+
+Defined results of every stage: null ids and null texts (which count as empty)
+stay as they are, or go where the stage's operator decides so; columns, whatever
+their names, stay in all stages but the last; repeated rows are judged each,
+and of rows that repeat id and text the third stage keeps one; scores of exactly
+0.5 are good in the first stage and toxic in the second; of a group of
+near-duplicates the smallest id stays, of equal ids the smallest text hash; an
+empty table stays empty; very long texts are taken whole, as in the operators.
+"""
 
 from __future__ import annotations
 

@@ -12,7 +12,10 @@ texts) come to the driver; scoring reads every text where it lies.
 Defined results: a null text counts as the empty one and is scored; a null
 doc_id stays null and isn't held out; repeated rows are scored each; without
 labels of both kinds every score is the share of label 1, or 0.5 without any;
-other columns are ignored by ``score`` and kept by ``keep_good``.
+other columns are ignored by ``score`` and kept by ``keep_good``; an empty table
+gives an empty result.  A score of exactly 0.5 is predicted 1.  512 rows are taken
+at once, or what an Arrow batch holds where its bytes are bounded; a very long
+text is read whole and costs memory in proportion.
 """
 
 from __future__ import annotations

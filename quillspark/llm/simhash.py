@@ -19,7 +19,9 @@ chooses vantage points and radii, so it affects balance, never results.
 Defined results: a null text counts as the empty one; texts without words have
 fingerprint zero, which links like any other; rows with a null doc_id get a
 fingerprint, link with nothing and have a null component_id; repeated rows get
-the same result each; other columns are ignored.
+the same result each; other columns are ignored; an empty table gives an empty
+result.  A bit that exactly half the hashes set is 0.  A very long text is hashed
+whole and costs memory in proportion.
 """
 
 from __future__ import annotations
