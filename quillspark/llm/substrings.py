@@ -219,8 +219,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts:
     twice = twice.where("lo <> hi or many").select("anchor", "window")
     masks = windows.where("not many").join(twice, ["anchor", "window"], "left_semi").groupBy("anchor", "unit").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("mask"))
 
-    bits = F.expr("shiftleft(1L, n) - 1")
-    found = own.join(masks, ["anchor", "unit"], "left").withColumn("mask", F.when(F.col("sure"), bits).otherwise(F.col("mask"))).where("mask is not null")
+    # units that repeat for sure need no mask; each of the others occurs once
+    sure = own.where("sure").select("k1", "k2", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
+    found = sure.unionByName(own.where("not sure").join(masks, ["anchor", "unit"]).select("k1", "k2", "first", "mask"))
     found = found.groupBy(*key).agg(F.collect_list(F.struct("first", "mask")).alias("found"))
     cut = held.where("cut").select("k1", "k2", "text").join(found, key).mapInArrow(_kept(length), "k1 long, k2 long, gone long, rest string")
     cut = cut.select("k1", "k2", "gone", F.sha2("rest", 256).alias("sha"), *(["rest"] if texts else []))
