@@ -31,6 +31,13 @@ def documents(vectors: DataFrame, number: int, size: int, key: str, **equal) ->
     return page(vectors.where(equals(vectors, **equal)).select(*scalars), [F.asc(key)], number, size)
 
 
+def deleted(vectors: DataFrame, where: Column | None = None, ids: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
+    """Vectors left after those where the condition holds (a condition that is null for a row doesn't), and those listed by
+    ``key``, are deleted.  Neither given, all stay."""
+    left = vectors if where is None else vectors.where(~F.coalesce(where, F.lit(False)))
+    return left if ids is None else left.join(ids.select(key).distinct(), key, "left_anti").select(vectors.columns)
+
+
 def purge(vectors: DataFrame, files: DataFrame) -> DataFrame:
     """Vectors of no removed file: by id, and by name for old rows without one, if only one file has the name.
 

@@ -823,3 +823,10 @@ def stored_parents(spark, d):
     """Parents as a store keeps them."""
     p = t.table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("title"), F.col("source").alias("category"), F.lit(None).cast("string").alias("summary"), F.col("text").alias("content"))
     return registry.parent_rows(p).drop("content")
+
+
+@query("SELECT vec_id FROM embeddings WHERE NOT coalesce(label = 2 AND vec_id < 900, false) AND vec_id % 11 <> 0")
+def vector_delete(spark, d):
+    """Vectors left after a deletion by an expression and one by ids."""
+    v = t.vectors(spark, d)
+    return vectors.deleted(v, all_of(equals(v, space_id=2, absent="x"), below(v, vec_id=900)), v.where("vec_id % 11 = 0")).select("vec_id")

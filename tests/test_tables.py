@@ -35,6 +35,14 @@ def test_cosine_of_odd_vectors(spark):
     assert got == {1: 0.707107, 5: -1.0}
 
 
+def test_deleted_vectors(spark):
+    v = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (3, "a"), (None, "c")], "vec_id long, source string")
+    ids = spark.createDataFrame([(3,), (3,), (None,)], "vec_id long")
+    left = lambda *a, **k: sorted([tuple(r) for r in vectors.deleted(v, *a, **k).collect()], key=repr)
+    assert left() == sorted([tuple(r) for r in v.collect()], key=repr)
+    assert left(F.col("source") == "a") == [(2, None), (3, "b"), (None, "c")] and left(ids=ids) == [(1, "a"), (2, None), (None, "c")]
+
+
 def test_uploads(spark, tmp_path):
     (tmp_path / "a.md").write_text("  hello \n")
     (tmp_path / "b.exe").write_bytes(b"x")
