@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.predicates import all_of, current
@@ -21,6 +23,8 @@ from .vectors import cosine
 LISTS, K1, B = 128, 1.2, 0.75
 #: Vectors that the centres of the lists are fitted on at most, for each list; rows of a file; partitions of the postings; documents of a block.
 FIT, FILE_ROWS, BUCKETS, BLOCK_DOCS = 256, 200_000, 64, 4096
+#: Rows of a part of a list, and queries of a block, that meet in one group.
+PART, ASKED = 16_384, 4096
 
 
 class VectorLists:
@@ -71,11 +75,7 @@ class VectorLists:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{self.meta['folder']}")
 
     def nearest_lists(self, query: list[float], probes: int) -> list[int]:
-        q = np.array(query, float)
-        if len(q) != self.meta["dim"] or not q.any():
-            return []
-        norms = np.sqrt((self.centres**2).sum(1)) * np.sqrt(q @ q)
-        return np.argsort(-(self.centres @ q) / np.where(norms > 0, norms, 1), kind="stable")[:probes].tolist()
+        return _nearest(self.centres, np.array(query, float), probes) if len(query) == self.meta["dim"] else []
 
     def top_k(self, query: list[float], k: int, probes: int, where: Column | None = None) -> DataFrame:
         """The k nearest in the ``probes`` nearest lists under ``where``, as ``vectors.top_k`` gives them; with all lists exactly those."""
@@ -85,22 +85,85 @@ class VectorLists:
         return page(rows.drop(column, "list"), [F.desc("score"), F.asc(key)], 1, k)
 
     def top_k_of_each(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """(query, key, score, place) of the k nearest of each query (query, q): queries meet their lists by an equi-join."""
-        column, key = self.meta["column"], self.meta["key"]
-        centres = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(self.centres)])
-        near = F.transform(centres, lambda c: F.struct((-_cosine(F.col("q"), c["c"])).alias("far"), c["list"].alias("list")))
-        asked = queries.select("query", F.col("q").cast("array<double>").alias("q")).select("query", "q", F.explode(F.slice(F.array_sort(near), 1, probes)["list"]).alias("list"))
-        met = self.rows().join(asked, "list").select("query", key, _cosine(F.col(column).cast("array<double>"), F.col("q")).alias("score")).where("score is not null")
+        """(query, key, score, place) of the k nearest of each query (query, q), ties to the lesser key.
+
+        A list is dealt into parts of about PART rows and its queries into blocks of about ASKED; each part meets each block
+        as two matrices, which leave k rows a query.  Pairs are never rows, and no group is larger than a part and a block.
+        A query that is null, zero, of another size or holds a null or non-finite component is near to nothing.
+        """
+        column, key, dim, centres = self.meta["column"], self.meta["key"], self.meta["dim"], self.centres
+        kinds = dict(self.rows().dtypes)
+        q = F.col("q").cast("array<double>")
+        sound = (F.size(q) == dim) & F.forall(q, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+        def near(batches):
+            for batch in batches:
+                found = [_nearest(centres, np.array(v), probes) for v in batch.column("q").to_pylist()]
+                own = batch.take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([n for f in found for n in f], pa.int32())], ["query", "q", "list"])
+
+        asked = queries.select("query", q.alias("q")).where(sound).mapInArrow(near, f"query {dict(queries.dtypes)['query']}, q array<double>, list int")
+        sizes = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most a row per list
+        held = {r["list"]: r["n"] for r in self.rows().where(F.col("list").isin(list(sizes))).groupBy("list").agg(F.count("*").alias("n")).collect()}
+        many = self.spark.createDataFrame([(i, -(-n // PART), -(-sizes[i] // ASKED)) for i, n in held.items()], "list int, parts int, blocks int")
+        deal = lambda of, n: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+        all_of_them = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = self.rows().select("list", F.col(key).alias("key"), F.col(column).alias("v")).join(F.broadcast(many), "list")
+        rows = rows.select("list", deal(["key", "v"], "parts").alias("part"), all_of_them("blocks").alias("block"), "key", "v")
+        asked = asked.join(F.broadcast(many), "list").select("list", all_of_them("parts").alias("part"), deal(["query"], "blocks").alias("block"), "query", "q")
+
+        def look(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending")], null_placement="at_start"))
+            at, of, score = _k_nearest(_matrix(asked.column("q"), dim), _matrix(rows.column("v"), dim), k)
+            return pa.table({"query": asked.column("query").take(pa.array(at)), key: rows.column("key").take(pa.array(of)), "score": score})
+
+        by = ["list", "part", "block"]
+        met = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(look, f"query {dict(queries.dtypes)['query']}, {key} {kinds[key]}, score double")
         place = Window.partitionBy("query").orderBy(F.desc("score"), F.asc(key))
         return met.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+def _nearest(centres: np.ndarray, q: np.ndarray, probes: int) -> list[int]:
+    if not q.any():
+        return []
+    norms = np.sqrt((centres**2).sum(1)) * np.sqrt(q @ q)
+    return np.argsort(-(centres @ q) / np.where(norms > 0, norms, 1), kind="stable")[:probes].tolist()
+
 
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors of ``dim`` components as rows in double precision, scaled by powers of two, which changes no cosine."""
+    c = column.combine_chunks()
+    x = c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
+def _k_nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, cosine) of the k nearest rows of each row of ``q``, ties to the first rows.
+
+    A matrix product, whose sums depend on how it is cut, only finds the rows that may be among them; their cosines are
+    summed in the order of the components, so equal vectors have equal ones.
+    """
+    found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    qq, xx = (np.sqrt(_dots(v, v)) for v in (q, x))
+    qu, xu = q / qq[:, None], x / xx[:, None]
+    for s in range(0, len(q) if len(x) and k > 0 else 0, 128):
+        sims = qu[s : s + 128] @ xu.T
+        least = np.partition(sims, len(x) - k, axis=1)[:, len(x) - k] - 1e-9 if len(x) > k else np.full(len(sims), -2.0)
+        qi, xi = np.nonzero(sims >= least[:, None])
+        score = np.concatenate([_dots(q[s + qi[c : c + 65536]], x[xi[c : c + 65536]]) for c in range(0, len(qi), 65536)])
+        score = score / (xx[xi] * qq[s + qi])
+        order = np.lexsort((xi, -score, qi))
+        starts = np.searchsorted(qi, np.arange(len(sims)))
+        best = order[np.arange(len(order)) - starts[qi[order]] < k]
+        found.append((s + qi[best], xi[best], score[best]))
+    return tuple(np.concatenate(f) for f in zip(*found))
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
 
 
 _HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"

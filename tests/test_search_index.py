@@ -63,6 +63,26 @@ def test_many_queries(table, lists):
             assert [got[r["query"]][p] for p in range(1, 6)] == want
 
 
+def test_many_queries_meet_in_bounded_groups(spark, tmp_path, monkeypatch):
+    """Copies fill a list; parts and blocks are small, pairs aren't rows, ties go to the lesser key, odd queries find nothing."""
+    monkeypatch.setattr(search_index, "PART", 16)
+    monkeypatch.setattr(search_index, "ASKED", 4)
+    r = np.random.default_rng(5)
+    x = np.vstack([np.repeat(r.normal(size=(1, 6)), 80, 0), r.normal(size=(60, 6))])
+    table = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = VectorLists.build(table, f"file://{tmp_path}", lists=4)
+    odd = [(500, [float("nan")] * 6), (501, None), (502, [0.0] * 6), (503, [1.0]), (504, [None] + [1.0] * 5), (505, [float("inf")] * 6)]
+    asked = table.where("vec_id % 7 = 0").unionByName(spark.createDataFrame(odd, table.schema)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    found = index.top_k_of_each(asked, 10, 4)
+    assert "CoGroup" in plan(found) and "Generate" not in plan(found).split("CoGroup")[0]
+    got = {}
+    for row in found.orderBy("query", "place").collect():
+        got.setdefault(row["query"], []).append(row["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: sorted(range(len(x)), key=lambda j: (-round(float(u[i] @ u[j]), 12), j))[:10] for i in range(0, len(x), 7)}
+    assert got == want
+
+
 def test_an_index_of_nothing(table, tmp_path):
     index = VectorLists.build(table.where("vec_id = 902"), f"file://{tmp_path}", lists=4)
     assert index.rows().count() == 1 and index.top_k([1.0] * 8, 3, 4).collect() == []
