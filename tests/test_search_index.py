@@ -99,6 +99,8 @@ def test_terms(spark):
     texts = ["Plain words, 2 of them", "知识库检索", "中", "a中文b 知识", "", "__ -- !!", "Ünïcode ÉTÉ"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(search_index.terms(F.col("t")).alias("w")).collect()
     assert [r["w"] for r in rows] == [pieces(t) for t in texts]
+    runs = spark.createDataFrame([(t,) for t in texts], "t string").select(search_index._runs(F.col("t")).alias("w")).collect()
+    assert [[x for run in r["w"] for x in search_index._terms_of_run(run)] for r in runs] == [pieces(t) for t in texts]
     assert pieces("知识库检索") == ["知识", "识库", "库检", "检索"]
 
 
@@ -132,6 +134,20 @@ def test_ranking_is_that_of_a_scan(spark, texts, tmp_path, monkeypatch):
             assert got == brute(texts, query, k), (query, k)
 
 
+def test_blocks_are_made_in_one_pass(spark, texts, tmp_path, monkeypatch):
+    """Blocks bounded by documents and by bytes, from rows where they lie; repeated and null ids are documents of their own."""
+    monkeypatch.setattr(search_index, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(search_index, "BLOCK_BYTES", 400)
+    rows = [*texts, (7, "red red green"), (7, "red red green"), (None, "知识库 red"), (400, "red " * 500)]
+    index = Postings.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"file://{tmp_path}")
+    held = index._of(["common", "red"]).select("block", F.explode("docs").alias("d")).groupBy("block").agg(F.countDistinct("d.at").alias("n")).collect()
+    assert len(held) >= 18 and max(r["n"] for r in held) <= 16
+    for query in ("red", "common 知识库"):
+        want = brute([(n, t) for n, (_, t) in enumerate(rows)], query, 500)
+        want = sorted(((s, -1 if rows[n][0] is None else rows[n][0]) for n, s in want), key=lambda x: (-x[0], x[1]))
+        assert [(round(r["score"], 9), -1 if r["doc_id"] is None else r["doc_id"]) for r in index.top_k(query, 500, first=2).collect()] == want
+
+
 def test_a_search_reads_no_text(spark, texts, tmp_path):
     index = Postings.build(spark.createDataFrame(texts, "doc_id long, text string"), f"file://{tmp_path}")
     found = plan(index.top_k("red blue", 5))
