@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from .parts import by_parts
+
 #: Extensions that may be uploaded, by type.
 TEXT_EXTENSIONS = [".pdf", ".docx", ".pptx", ".html", ".md", ".txt"]
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp", ".bmp"]
@@ -21,19 +24,18 @@ def squeezed_hash(text: Column) -> Column:
     return F.sha2(squeezed(text), 256)
 
 
-def normalized(text: Column) -> Column:
-    """NFKC, then case folding, then no white space of any kind: Unicode rules that the JVM functions don't have."""
+def _normalized(text: str) -> str:
+    return "".join(unicodedata.normalize("NFKC", text).casefold().split())
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
-    return run(text)
+def normalized(text: Column) -> Column:
+    """NFKC, then case folding, then no white space of any kind: Unicode rules that the JVM functions don't have."""
+    return by_parts(lambda texts: pa.array([None if t is None else _normalized(t) for t in texts], pa.string()), "string", text)
 
 
 def content_hash(text: Column) -> Column:
-    """SHA-256 of the normalised text."""
-    return F.sha2(normalized(text), 256)
+    """SHA-256 of the normalised text, of which only the hash leaves the worker."""
+    return by_parts(lambda texts: pa.array([None if t is None else hashlib.sha256(_normalized(t).encode()).hexdigest() for t in texts], pa.string()), "string", text)
 
 
 def wiki_links(text: Column) -> Column:

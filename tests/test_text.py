@@ -1,8 +1,12 @@
 """Text operators on small fixtures."""
 
+import hashlib
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.functions import html, text
+from quillspark.functions import html, parts, text
 from quillspark.operators import chunking
 
 
@@ -120,3 +124,11 @@ def test_windows_lose_nothing():
     assert all(p.startswith("| a | b |") for p in pieces) and all(p.endswith(chunking.CUT_MARK) for p in pieces[:-1])
     assert {f"r{i}" for i in range(100)} <= set(re.findall(r"r\d+", "\n".join(pieces)))
 
+
+def test_functions_hold_a_part_of_a_batch(spark):
+    """Results leave the worker part by part, in order, with nulls, empty texts and one longer than a part."""
+    sizes = spark.createDataFrame([(i, None if i % 7 == 3 else "Ab c" * (i % 50)) for i in range(400)] + [(400, "x" * (6 << 20)), (401, "Ａ ｂ")], "id long, t string").coalesce(1)
+    seen = parts.by_parts(lambda texts: pa.array([len(texts)] * len(texts)), "long", F.repeat(F.coalesce("t", F.lit("")), 2000))
+    assert sizes.where("id < 400").select(seen.alias("n")).agg(F.max("n")).first()[0] < 400
+    want = {r["id"]: None if r["t"] is None else hashlib.sha256("".join(unicodedata.normalize("NFKC", r["t"]).casefold().split()).encode()).hexdigest() for r in sizes.collect()}
+    assert {r["id"]: r["h"] for r in sizes.select("id", text.content_hash(F.col("t")).alias("h")).collect()} == want
