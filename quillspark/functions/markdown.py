@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .parts import by_parts
+
 #: Headings that carry nothing.
 NOISE = ["THANKS", "BUSINESS", "CONTENTS", "TABLE OF CONTENTS", "目录", "01", "02", "03", "04", "05", "06", "07", "08", "09", "10"]
 #: The longest heading, and the length from which sentence marks make one a sentence.
@@ -48,8 +50,8 @@ _SUB_SUP, _INVISIBLE, _SPACES = r"(?i)</?(?:sub|sup)>", "[​‌‍­]", r"(?<=\
 _LINK, _EMPTY_LINK = r"(?<!!)\[([^\]]*)\]\(https?://[^)\s]+\)", r"(?<!!)\[\]\(\)"
 _DOUBLED_MARK, _DOUBLED_HAN, _ENDED = r"([，。；：、！？])\1", rf"([{_HAN}])\1", r"[。！？…]\s*$"
 _BROKEN_END, _SENTENCE_END = rf"[{_HAN}，、：；％%]$", "[。；;]"
-#: Bytes of text cleaned at once, and characters searched for passages at once.
-PART, BLOCK = 4 << 20, 1 << 18
+#: Characters searched for passages at once.
+BLOCK = 1 << 18
 
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -63,7 +65,7 @@ def _wide(pattern: str) -> str:
 class Lines:
     """The lines of some texts, what became of them so far, and the edits."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], report: bool = True):
         lists = [re.split(_BREAKS, t) for t in texts]
         self.n, self.text = len(texts), pa.array([x for own in lists for x in own], pa.string())
         self.doc = np.repeat(np.arange(self.n), [len(x) for x in lists])
@@ -74,6 +76,7 @@ class Lines:
         self.code = fence | inside
         #: (kind, text, line) of each edit, in order
         self.edits: list[tuple[str, int, str]] = []
+        self.report = report
 
     def has(self, pattern: str) -> np.ndarray:
         return pc.match_substring_regex(self.text, _wide(pattern)).to_numpy(zero_copy_only=False) if len(self.text) else np.zeros(0, bool)
@@ -87,7 +90,8 @@ class Lines:
         return list(zip(places.tolist(), self.text.take(pa.array(places)).to_pylist()))
 
     def note(self, kind: str, i: int, line: str) -> None:
-        self.edits.append((kind, int(self.doc[i]), line))
+        if self.report:
+            self.edits.append((kind, int(self.doc[i]), line))
 
     def put(self, new: dict[int, str]) -> None:
         """Replace lines by place."""
@@ -404,9 +408,9 @@ RESULT = pa.struct([("markdown", pa.string()), ("counts", pa.map_(pa.string(), p
 REPORT = "markdown string, counts map<string, bigint>, details array<struct<kind: string, line: string>>"
 
 
-def clean_texts(texts: list[str], one_title: list[bool], skip: Iterable[str] = (), noise: Iterable[str] = NOISE) -> tuple[list[str], list[dict[str, int]], list[list[dict]]]:
-    """The cleaned texts, the number of edits of each kind, and the first DETAILS edits."""
-    x = Lines(texts)
+def clean_texts(texts: list[str], one_title: list[bool], skip: Iterable[str] = (), noise: Iterable[str] = NOISE, report: bool = True) -> tuple[list[str], list[dict[str, int]], list[list[dict]]]:
+    """The cleaned texts, the number of edits of each kind, and the first DETAILS edits; without ``report`` no edits are kept."""
+    x = Lines(texts, report)
     for f in PASSES:
         if f.__name__ not in skip:
             f(x, noise=noise, one_title=np.array(one_title, bool))
@@ -418,16 +422,6 @@ def clean_texts(texts: list[str], one_title: list[bool], skip: Iterable[str] = (
     return x.texts(), counts, details
 
 
-def _parts(texts: pa.Array):
-    """Slices of about PART bytes; a longer text by itself."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at, before = 0, 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(sizes, before + PART, "right")))
-        yield at, to
-        at, before = to, int(sizes[to - 1])
-
-
 def cleaned(text: Column, one_title: Column | bool = False, skip: Iterable[str] = (), layout: bool = False, noise: Iterable[str] = NOISE, report: bool = True) -> Column:
     """struct<markdown, counts, details> of a text, or the Markdown alone without ``report``; a null text gives null.
 
@@ -437,20 +431,15 @@ def cleaned(text: Column, one_title: Column | bool = False, skip: Iterable[str]
     """
     left_out, listed = {*skip, *(["bold_headings"] if layout else [])}, list(noise)
 
-    @F.arrow_udf(f"struct<{REPORT}>" if report else "string")
-    def run(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-        out = []
-        for a, b in _parts(texts):
-            own, one = texts.slice(a, b - a).to_pylist(), wanted.slice(a, b - a).to_pylist()
-            some = [i for i, t in enumerate(own) if t is not None]
-            got = zip(*clean_texts([own[i] for i in some], [bool(one[i]) for i in some], left_out, listed))
-            rows: list = [None] * len(own)
-            for i, (t, counts, details) in zip(some, got):
-                rows[i] = {"markdown": t, "counts": list(counts.items()), "details": details} if report else t
-            out.append(pa.array(rows, RESULT if report else pa.string()))
-        return pa.concat_arrays(out) if out else pa.array([], RESULT if report else pa.string())
-
-    return run(text, F.lit(one_title) if isinstance(one_title, bool) else F.coalesce(one_title, F.lit(False)))
+    def run(own: list, one: list) -> pa.Array:
+        some = [i for i, t in enumerate(own) if t is not None]
+        got = zip(*clean_texts([own[i] for i in some], [bool(one[i]) for i in some], left_out, listed, report))
+        rows: list = [None] * len(own)
+        for i, (t, counts, details) in zip(some, got):
+            rows[i] = {"markdown": t, "counts": list(counts.items()), "details": details} if report else t
+        return pa.array(rows, RESULT if report else pa.string())
+
+    return by_parts(run, f"struct<{REPORT}>" if report else "string", text, F.lit(one_title) if isinstance(one_title, bool) else F.coalesce(one_title, F.lit(False)))
 
 
 def clean(rows: DataFrame, text: str, one_title: Column | bool = False, skip: Iterable[str] = (), layout: bool = False, noise: Iterable[str] = NOISE, report: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.functions import html, parts, text
+from quillspark.functions import html, markdown, parts, text
 from quillspark.operators import chunking
 
 
@@ -132,3 +132,15 @@ def test_functions_hold_a_part_of_a_batch(spark):
     assert sizes.where("id < 400").select(seen.alias("n")).agg(F.max("n")).first()[0] < 400
     want = {r["id"]: None if r["t"] is None else hashlib.sha256("".join(unicodedata.normalize("NFKC", r["t"]).casefold().split()).encode()).hexdigest() for r in sizes.collect()}
     assert {r["id"]: r["h"] for r in sizes.select("id", text.content_hash(F.col("t")).alias("h")).collect()} == want
+
+
+def test_trees_and_cleaned_texts_leave_part_by_part(spark):
+    """Over several parts of a batch, rows and results stay together; edits are kept for a report alone."""
+    docs = spark.createDataFrame([(i, None if i == 5 else f"## T{i}\nbody  {i}\n\n" + "w " * 30000) for i in range(300)], "doc_id long, text string").coalesce(1)
+    trees = chunking.chunk_tree(docs).groupBy("doc_id").agg(F.min("title").alias("title")).collect()
+    assert {(r["doc_id"], r["title"]) for r in trees} == {(i, f"## T{i}") for i in range(300) if i != 5}
+    got = markdown.clean(docs, "text").select("doc_id", F.substring("markdown", 1, 20).alias("m")).collect()
+    assert all(r["m"] is None if r["doc_id"] == 5 else r["m"].startswith(f"## T{r['doc_id']}\nbody {r['doc_id']}") for r in got) and len(got) == 300
+    x = markdown.Lines(["a"], report=False)
+    x.note("kind", 0, "a")
+    assert x.edits == []  # nothing is kept for a report that no one asked for
