@@ -632,8 +632,8 @@ def maintained_corpus(spark, d):
     came = F.when(k == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("  changed"))).when(k == 3, F.col("text")).otherwise(F.concat(F.lit("edited  "), "file_id"))
     c.arrive(docs.where(k <= 3).select("file_id", kind.alias("kind"), came.alias("text")))
     c.refresh(force=docs.where(k == 4))
-    n = c.chunks().groupBy("file_id").agg(F.count("*").alias("n"))
-    return c.served().join(n, "file_id", "left").select("file_id", "clean_state", "version", F.sha2("text", 256).alias("sha"), F.coalesce("n", F.lit(0)).alias("n_chunks"))
+    served = c.served(lambda x: F.sha2(x, 256)).withColumnRenamed("text", "sha")
+    return served.join(c.chunk_counts(), "file_id", "left").select("file_id", "clean_state", "version", "sha", F.coalesce("n", F.lit(0)).alias("n_chunks"))
 
 
 @query(

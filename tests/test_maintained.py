@@ -47,6 +47,20 @@ def test_states(spark, tmp_path):
     assert {(r["file_id"], r["content"]) for r in c.chunks().collect()} == {(1, "## A\nbody one"), (2, "## B\nnew text"), (4, "plain")}
 
 
+def test_hashes_are_served_without_moving_texts(spark, tmp_path):
+    c = corpus(spark, f"file://{tmp_path}")
+    arrive(spark, c, (1, "converted", "## A\nbody  one"), (2, "converted", "## A\nbody  one"), (3, "converted", None), (4, "raw_edit", "by  hand"), (5, "converted", "## A\nbody one"))
+    c.refresh()
+    want = {r["file_id"]: (r["version"], r["h"]) for r in c.served().select("file_id", "version", F.sha2("text", 256).alias("h")).collect()}
+    hashed = c.served(lambda x: F.sha2(x, 256))
+    assert {r["file_id"]: (r["version"], r["text"]) for r in hashed.collect()} == want and len(want) == 5
+    # the texts' hashes are taken in the scans' own stages, before any row moves
+    taken = [x for x in hashed._jdf.queryExecution().sparkPlan().toString().split("\n") if "AS _own#" in x or "AS _made#" in x]
+    assert len(taken) == 2 and all("sha2(" in x for x in taken)
+    counts = {r["file_id"]: r["count"] for r in c.chunks().groupBy("file_id").count().collect()}
+    assert {r["file_id"]: r["n"] for r in c.chunk_counts().collect()} == counts and 3 not in counts
+
+
 def test_a_run_reads_what_changed(spark, tmp_path):
     """A hundredth of the texts changes: the second run's rules get those texts alone, from the folder they came in, and its
     rows are those of a run over everything."""
