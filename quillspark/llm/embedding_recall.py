@@ -73,7 +73,7 @@ def true_links(rows: DataFrame, queries: DataFrame, least: float = 0.9) -> DataF
 def recall(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links (found by the graphs), n_true and recall of the queries: ids divisible by 100 and their companions."""
     rows = staged(with_companions(vectors), "companions")
-    queries = rows.where((F.col("vec_id") % STEP) % 100 == 0).dropDuplicates(["vec_id"])
+    queries = staged(rows.where((F.col("vec_id") % STEP) % 100 == 0).dropDuplicates(["vec_id"]), "queries")
     found = near_duplicates(rows, least).select("vec_id", "n_links")
     both = staged(true_links(rows, queries, least), "links").join(found.dropDuplicates(["vec_id"]), "vec_id")
     return both.select("vec_id", "n_links", "n_true", F.when(F.col("n_true") > 0, F.col("n_links") / F.col("n_true")).otherwise(F.lit(1.0)).alias("recall"))

@@ -29,3 +29,13 @@ def test_odd_rows(spark):
     # the row without an id lies beside both, but links with nothing
     assert set(got) >= {0, 100} and got[0][0] <= got[0][1] and 200 not in got and 300 not in got and 400 in got
     assert embedding_recall.recall(rows.where("false")).collect() == []
+
+
+def test_queries_are_made_once(spark, monkeypatch):
+    """Each block of queries reads the queries as they were written, not the whole table again."""
+    seen = []
+    monkeypatch.setattr(embedding_recall, "true_links", lambda rows, queries, least: seen.append((rows.inputFiles(), queries.inputFiles(), queries.count())) or queries.selectExpr("vec_id", "0L as n_true"))
+    rows = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(301)], "vec_id long, embedding array<float>")
+    embedding_recall.recall(rows)
+    files, asked, n = seen[0]
+    assert asked and all("/queries-" in f for f in asked) and not set(asked) & set(files) and n == 4 * 4
