@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -74,7 +75,16 @@ def slices(batch, most_bytes: int = 4 << 20, column: str = "text"):
         to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
         yield batch.slice(at, to - at)
         at, before = to, int(sizes[to - 1])
-    pa.default_memory_pool().release_unused()  # workers outlive their tasks
+    give_back()  # workers outlive their tasks
+
+
+def give_back() -> None:
+    """Return to the system what Python has freed, in the driver or a worker: else the arrays a model was made of stay with the
+    C library's allocator and count as the driver's memory through all later steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
 
 
 def crc_bucket(doc_id: str, n: int):
@@ -85,33 +95,32 @@ def crc_bucket(doc_id: str, n: int):
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) links: (node, component), the smallest reachable id, for all other nodes than that one.
 
-    Alternates the large-star and small-star steps until the set of links no
-    longer changes.  Every step is a partially aggregated minimum and an
-    equi-join that adaptive execution can split, so a hub with very many links
-    doesn't sit in one task; only a count and a checksum reach the driver.
+    Alternates the large-star and small-star steps until the links are stars:
+    each greater end has one link, and no lesser end is a greater one too.  That
+    is asked before a step, in one aggregation, so links that are stars already
+    take none.  Every step is a partially aggregated minimum and an equi-join
+    that adaptive execution can split, so a hub with very many links doesn't sit
+    in one task; only a count reaches the driver.
     """
     links = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
 
-    def mark(x: DataFrame):
-        r = x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return (r[0], r[1])
-
-    seen = mark(links)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    def unsettled(x: DataFrame) -> int:
+        ends = x.select(F.col("a").alias("node"), "b").union(x.select("b", F.lit(None).cast(x.schema["b"].dataType)))
+        # the row of a lesser end has no b
+        of = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.col("b").isNull()).alias("center"))
+        return of.agg(F.count_if((F.col("low") != F.col("high")) | (F.col("center") & F.col("low").isNotNull()))).first()[0]
+
+    rounds = 0
+    while unsettled(links):
+        if rounds == most_rounds:
+            raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+        rounds += 1
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every greater neighbour is hung below the least one
         big = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # small star: the smaller neighbours and the node itself are hung below the least one
         low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        small = big.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         links = staged(small, "links")
-        now = mark(links)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
-    return links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

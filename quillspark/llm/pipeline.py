@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import packing, personal_data, quality, simhash, toxicity
-from .common import documents, staged
+from .common import documents, give_back, staged
 from .labelled import learns
 
 
@@ -26,8 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that it rejects go."""
-    model, _ = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learns(5, 0))
-    return toxicity.keep_clean(docs, model)
+    kept = toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learns(5, 0))[0])
+    give_back()  # from here the broadcast holds the model
+    return kept
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

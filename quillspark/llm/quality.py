@@ -25,9 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_and_text
+from .common import give_back, id_and_text
 from .labelled import held_out, sample_labels, with_labels
 
 #: The documented bound of rows to learn from.
@@ -191,9 +192,14 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MO
     rows = with_labels(id_and_text(docs), sample_labels(labels, "quality", learn_from, most)).select("label_id", "y", "text")
     found = rows.mapInArrow(run, "label_id long, y int, x array<double>")
     t = found.groupBy("label_id").agg(F.min(F.struct("y", "x")).alias("r")).select("label_id", "r.y", "r.x").toArrow().combine_chunks()
-    x = np.array(t.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
+    x = pc.list_flatten(t.column("x")).to_numpy().reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, t.column("label_id").to_numpy()])
-    return fit(x[order], t.column("y").to_numpy()[order].astype(np.float64))
+    x, y = x[order], t.column("y").to_numpy()[order].astype(np.float64)
+    del t
+    model = fit(x, y)
+    del x, y
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:

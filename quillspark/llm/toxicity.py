@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_and_text, slices, staged
+from .common import give_back, id_and_text, slices, staged
 from .labelled import balanced_labels, held_out, learns, with_labels
 
 #: The documented bound: labelled rows that vote.
@@ -215,6 +215,7 @@ class ToxicityModel:
 
         rows = index(~fitted)
         self._calibrate(rows, y[some], w[some], np.flatnonzero(fitted[some]))
+        rows = self.index = None  # one index at a time
         index(np.ones(len(y), bool))
 
     def _unit(self, terms: np.ndarray, counts: np.ndarray, rest: float = 0.0, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -301,6 +302,7 @@ def _frequencies(texts: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]:
 
     schema = "slice int, n long, df binary"
     rows = sorted(tuple(r) for r in texts.select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect())
+    shared.destroy()
     return (rows[0][1], np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])) if rows else (0, np.zeros(size, np.int64))
 
 
@@ -324,7 +326,7 @@ def _examples(chosen: DataFrame) -> tuple[pa.Array, list[tuple]]:
                 )
 
     rows = chosen.mapInArrow(count, "label_id long, y double, terms binary, counts binary, some boolean, fitted boolean, w double").toLocalIterator()
-    return vectors.terms, [(r["label_id"], r["y"], np.frombuffer(r["terms"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4"), r["some"], r["fitted"], r["w"]) for r in rows]
+    return vectors.terms, [(r["label_id"], r["y"], np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["some"], r["fitted"], r["w"]) for r in rows]
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MOST_EXAMPLES) -> tuple[ToxicityModel, DataFrame]:
@@ -337,7 +339,10 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = MO
     chosen = staged(one_each.withColumn("fitted", F.pmod(F.xxhash64("label_id"), F.lit(4)) == 0), "examples")
     terms, examples = _examples(chosen)
     n, df = _frequencies(texts, Vectors(terms))
-    return ToxicityModel(terms, 1 + np.log((n + 1) / (df + 1)), examples, 1 + np.log((n + 1) / 2)), texts
+    model = ToxicityModel(terms, 1 + np.log((n + 1) / (df + 1)), examples, 1 + np.log((n + 1) / 2))
+    del examples, df
+    give_back()
+    return model, texts
 
 
 EVIDENCE = ", neighbours array<long>, cosines array<double>, plain_cosines array<double>"
@@ -379,4 +384,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, most: float = 0.5) -> Data
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, most: int = MOST_EXAMPLES, evidence: bool = True) -> DataFrame:
     """Score all documents by examples whose labels aren't held out."""
     model, texts = learn(docs, labels, learns(modulus, held), most)
-    return score(texts, model, evidence).withColumn("held_out", held_out(modulus, held))
+    scored = score(texts, model, evidence).withColumn("held_out", held_out(modulus, held))
+    del model
+    give_back()  # from here the broadcast holds it
+    return scored

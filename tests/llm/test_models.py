@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import embedding_graph, quality, toxicity
+from quillspark.llm import common, embedding_graph, quality, toxicity
 from quillspark.llm.common import components
 
 
@@ -226,6 +226,41 @@ def test_components(spark):
     assert got == {**{i: 20 for i in range(21, 61)}, 9: 5, 7: 5, **{k: 1 for k in range(100, 300)}}  # roots aren't listed
 
 
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    """Links that are stars already are written once and not dealt again."""
+    written = []
+    monkeypatch.setattr(common, "staged", lambda df, name, staged=common.staged: written.append(name) or staged(df, name))
+    stars = [(1, k) for k in range(100, 300)] + [(k, 2) for k in range(50, 60)] + [(4, 4)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(stars + stars, "a long, b long")).collect()}
+    assert got == {**{k: 1 for k in range(100, 300)}, **{k: 2 for k in range(50, 60)}}
+    assert written == ["links"]
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == [] and written == ["links"] * 2
+
+
+def test_components_of_random_links(spark):
+    r = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in r.integers(-400, 400, (500, 2))] + [(399, -k) for k in range(0, 400, 9)]
+    root = {x: x for p in pairs for x in p}
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, c) for x, c in root.items() if x != c)
+
+
+def test_a_model_leaves_no_memory_with_the_driver():
+    """Freed arrays go back to the system though a later small one lies above them."""
+
+    def held():
+        return next(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous")) / 1024
+
+    before, many = held(), [np.ones(8 << 10, np.uint8) for _ in range(16 << 10)]
+    last = many[1::64]
+    del many
+    common.give_back()
+    assert len(last) and held() < before + 24
+
+
 def test_toxicity_cosines_by_brute_force(corpus):
     """The neighbours and cosines of the whole operator against plain dictionaries over the same weights."""
     docs, labels = corpus
