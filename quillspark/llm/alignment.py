@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import _UNEVEN, LONGEST_KEPT, MOST_WORDS, BytePairs, Pieces, _tables, join_ids, space_chunks
+from .chunks import _UNEVEN, LONGEST_KEPT, MOST_WORDS, BytePairs, Pieces, _tables, alphabet, join_ids
 from .common import id_and_text, new_path, slices
 
 #: Bytes of text aligned at once, and bytes of text of a block.
@@ -46,13 +46,6 @@ COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 HELD = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, pairs binary, in_docs binary"
 
 
-def alphabet() -> dict[str, int]:
-    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on, in order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Side(BytePairs):
     """Byte-level BPE of a space and the text, strings of special tokens being plain text; ``bytes_of`` an id."""
 
@@ -76,13 +69,11 @@ class Side(BytePairs):
             # every chunk but a line break stands behind a space, the first one too
             lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
             chunks, ends = lists.flatten().dictionary_encode(), np.cumsum(lists.value_lengths().to_numpy())
-            for i, ids in zip(even.tolist(), join_ids(self._table(chunks.dictionary.to_pylist()), chunks.indices.to_numpy().astype(np.int64), ends)):
+            for i, ids in zip(even.tolist(), join_ids(self._table(chunks.dictionary), chunks.indices.to_numpy().astype(np.int64), ends)):
                 out[i] = ids
-        for i in np.flatnonzero(uneven).tolist():
-            t = " " + texts[i].as_py()
-            keys = ["  " + t] if any(a in t for a in self.added) else space_chunks(t)
-            place = {k: j for j, k in enumerate(dict.fromkeys(keys))}
-            out[i] = join_ids(self._table(list(place)), np.array([place[k] for k in keys], np.int64), np.array([len(keys)]))[0]
+        rest = np.flatnonzero(uneven)
+        for i, ids in zip(rest.tolist(), self._spaced_out([" " + t for t in texts.take(pa.array(rest)).to_pylist()])):
+            out[i] = ids
         return out
 
 

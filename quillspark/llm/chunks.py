@@ -45,30 +45,46 @@ def space_chunks(text: str) -> list[str]:
     return out
 
 
-#: Words of Latin letters with marks of ASCII behind them, which the pre-tokenizer cuts into two at most: the letters, and the marks.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_PLAIN = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+#: Latin letters, and marks of ASCII: the pre-tokenizer cuts a word of letters with marks behind them into these two.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~"
+_LETTER, _MARK = ["".join([chr(c) for c in range(0x21, 0x250) if re.match(f"[{x}]", chr(c))]) for x in (_LETTERS, _MARKS)]
+_WORD, _MARKED = f"^(  )?[{_LETTERS}]+$", f"^(\n|  )?[{_LETTERS}]+[{_MARKS}]*$"
 #: Texts in which spaces and line breaks stand alone between words are split by Arrow, others by ``space_chunks``.
 _UNEVEN = f"^$|^[ \n]|  | \n|\n |\n\n|[ \n]$|[{_OTHER}]"
 
 
-def join_ids(table: list[bytes], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """The table's entries put together in the order of ``codes``, cut after each number of codes in ``ends``."""
-    lengths = np.fromiter(map(len, table), np.int64, len(table)) >> 2
-    starts, counts = np.cumsum(lengths) - lengths, lengths[codes]
+def alphabet() -> dict[str, int]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def gather(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a table (all ids one after another, lengths) in the order of ``codes``, as such a table."""
+    ids, lengths = table
+    counts = lengths[codes]
     after = np.cumsum(counts)
-    ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(starts[codes] - after + counts, counts) + np.arange(after[-1] if len(after) else 0)].tobytes()
-    cuts = (4 * np.r_[0, after])[np.r_[0, ends]].tolist()
-    return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+    at = np.repeat((np.cumsum(lengths) - lengths)[codes] - after + counts, counts)
+    at += np.arange(len(at))
+    return ids[at], counts
+
+
+def join_ids(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The table's entries put together in the order of ``codes``, cut after each number of codes in ``ends``."""
+    ids, counts = gather(table, codes)
+    cuts, raw = (4 * np.r_[0, np.cumsum(counts)])[np.r_[0, ends]].tolist(), ids.tobytes()
+    return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 class BytePairs:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    Arrow splits the texts and numbers the distinct chunks; those that the
-    table doesn't hold yet are encoded, and the ids are put together by number.
-    The letters of plain words go to the library behind a pre-tokenizer that
-    only cuts between them; all other chunks go through its whole chain.
+    Arrow splits the texts and numbers the distinct chunks.  Words are cut into
+    letters and the marks behind them, numbered again, and those that the table
+    doesn't hold yet are encoded; ids are put together by number.  Letters go to
+    the library in its own alphabet, a line break between words, which no merge
+    crosses; all else goes through its whole chain.
     """
 
     def __init__(self, path: str):
@@ -83,11 +99,16 @@ class BytePairs:
         # around the strings of added tokens the library cuts otherwise: texts with one go to it whole
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.plain = self.lib.normalizer is None and [w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str("ab, c\nd")] == ["ab", ",", "\u0120c", "\u010a", "d"]
+        written = np.array(sorted(alphabet(), key=alphabet().get))
+        self.written = written.view("<u4").astype("<u2")
+        cuts = [w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(f"ab, c\n{_LETTER}{_MARK}")]
+        self.plain = self.lib.normalizer is None and cuts == ["ab", ",", "\u0120c", "\u010a", self._write(_LETTER), _MARK]
         self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = pre_tokenizers.Split("\u010a", "isolated")
-        # how the byte-level alphabet writes a character, as the pre-tokenizer itself shows it
-        self.written: dict[str, str] = {}
+        # words are told apart by merges alone where no entry holds a line break beside what words consist of
+        own, model = set(self._write(f"{_LETTER} \n")), self.words.model
+        crossing = any("\u010a" in t and t.strip("\u010a") and own.issuperset(t) for t in self.lib.get_vocab(with_added_tokens=False))
+        bent = model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix
+        self.words.pre_tokenizer = pre_tokenizers.Split("\u010a", "isolated") if crossing or bent else None
 
     @classmethod
     def of(cls, path: str) -> "BytePairs":
@@ -99,55 +120,28 @@ class BytePairs:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _write(self, word: str) -> str:
-        if word.isascii():
-            return word
-        for c in word:
-            if c not in self.written:
-                self.written[c] = self.lib.pre_tokenizer.pre_tokenize_str(c)[0][0]
-        return "".join([self.written[c] for c in word])
+    def _write(self, text: str) -> str:
+        return self.written[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
 
     def _learn_words(self, keys: list[str]) -> None:
         """Runs of letters, which stand behind a space unless their key starts with two."""
-        for i in range(0, len(keys), 1024):
-            part = keys[i : i + 1024]
-            text = "\u010a".join([self._write(k[2:]) if k[0] == " " else "\u0120" + (k if k.isascii() else self._write(k)) for k in part])
+        for i in range(0, len(keys), 128):
+            part = keys[i : i + 128]
+            text = self._write("\n".join([k[2:] if k[0] == " " else " " + k for k in part]))
             ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts, raw = (4 * np.flatnonzero(ids == self.line)).tolist(), ids.tobytes()
             self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
 
     def _learn(self, new: list[str]) -> None:
-        known, parts, other, letters = self.known, [], [], {}
-        marks: dict[str, None] = {}
-        for c in new:
-            start = c[0]
-            found = _PLAIN.fullmatch(c, 1 if start == "\n" else 2 if start == " " else 0) if self.plain else None
-            if found is None:
-                other.append(c)
-                continue
-            word, end = found.groups()
-            if start in " \n":
-                word = "  " + word
-            if word not in known:
-                letters[word] = None
-            if end:
-                end = "  " + end
-                if end not in known:
-                    marks[end] = None
-            if start == "\n" or end:
-                parts.append((c, start, word, end))
-        self._learn_words(list(letters))
-        other += marks
+        letters = pc.match_substring_regex(pa.array(new, pa.string()), _WORD).to_numpy(zero_copy_only=False).tolist() if self.plain else [False] * len(new)
+        self._learn_words([k for k, own in zip(new, letters) if own])
+        other = [k for k, own in zip(new, letters) if not own]
         for i in range(0, len(other), 1024):
             part = other[i : i + 1024]
-            known.update(zip(part, self._ids([c if c[0] == "\n" else c[2:] if c[0] == " " else " " + c for c in part])))
-        line = array("I", [self.line]).tobytes()
-        for c, start, word, end in parts:
-            ids = known[word] + known[end] if end else known[word]
-            known[c] = line + ids if start == "\n" else ids
-
-    def _table(self, keys: list[str]) -> list[bytes]:
-        """The ids of distinct chunks."""
+            self.known.update(zip(part, self._ids([c if c[0] == "\n" else c[2:] if c[0] == " " else " " + c for c in part])))
+
+    def _entries(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The table of distinct keys that are encoded as they are."""
         known = self.known
         if len(known) > MOST_CHUNKS:
             known.clear()
@@ -157,8 +151,38 @@ class BytePairs:
         for k in new:
             if len(k) > LONGEST_KEPT:
                 known.pop(k, None)
-                known.pop(_PLAIN.match(k).group(1) if _PLAIN.match(k) else k, None)
-        return out
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) >> 2
+
+    def _table(self, keys: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The table of distinct chunks: a line break and the marks behind a word's letters are entries of their own."""
+        keys = keys if isinstance(keys, pa.Array) else pa.array(keys, pa.string())
+        bare = pc.ascii_rtrim(keys, _MARK)
+        line = pc.starts_with(keys, "\n").to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(line | (pc.binary_length(keys).to_numpy() > pc.binary_length(bare).to_numpy()))
+        if not len(cut) or not self.plain:
+            return self._entries(keys.to_numpy(zero_copy_only=False).tolist())
+        cut = cut[pc.match_substring_regex(keys.take(pa.array(cut)), _MARKED).to_numpy(zero_copy_only=False)]
+        own, whole = keys.take(pa.array(cut)), np.ones(len(keys), bool)
+        whole[cut] = False
+        stems = pc.replace_substring(bare.take(pa.array(cut)), "\n", "  ")
+        marks = pc.binary_join_element_wise(pa.scalar("  ", keys.type), pc.utf8_ltrim(own, f"\n {_LETTER}"), pa.scalar("", keys.type))
+        # the entry of two spaces is empty
+        every = pa.concat_arrays([keys.filter(pa.array(whole)), stems, marks, pa.array(["\n", "  "], keys.type)]).dictionary_encode()
+        code, n = every.indices.to_numpy().astype(np.int64), len(keys)
+        parts = np.full((n, 3), code[-1])
+        parts[whole, 1], parts[cut, 1], parts[cut, 2] = np.split(code[:-2], [n - len(cut), n])
+        parts[line & ~whole, 0] = code[-2]
+        ids, counts = gather(self._entries(every.dictionary.to_numpy(zero_copy_only=False).tolist()), parts.ravel())
+        return ids, counts.reshape(n, 3).sum(1)
+
+    def _spaced_out(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that ``space_chunks`` cuts, which share their distinct chunks."""
+        place: dict[str, int] = {}
+        codes, ends = array("q"), [0]
+        for t in texts:
+            codes.extend([place.setdefault(k, len(place)) for k in (["  " + t] if any(a in t for a in self.added) else space_chunks(t))])
+            ends.append(len(codes))
+        return join_ids(self._table(list(place)), np.array(codes, np.int64), np.array(ends[1:], np.int64))
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -170,18 +194,17 @@ class BytePairs:
         if len(even):
             lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
             chunks, ends = lists.flatten().dictionary_encode(), np.cumsum(lists.value_lengths().to_numpy())
-            codes, names = chunks.indices.to_numpy().astype(np.int64), chunks.dictionary.to_pylist()
+            codes, names = chunks.indices.to_numpy().astype(np.int64), chunks.dictionary
             # the first chunk of a text has no space before it
             first: dict[str, int] = {}
             starts = np.r_[0, ends[:-1]]
-            codes[starts] = [first.setdefault("  " + names[c] if names[c][0] != "\n" else names[c], len(names) + len(first)) for c in codes[starts].tolist()]
-            for i, ids in zip(even.tolist(), join_ids(self._table(names + list(first)), codes, ends)):
+            codes[starts] = [first.setdefault(c if c[0] == "\n" else "  " + c, len(names) + len(first)) for c in names.take(pa.array(codes[starts])).to_pylist()]
+            table = self._table(pa.concat_arrays([names, pa.array(list(first), names.type)]))
+            for i, ids in zip(even.tolist(), join_ids(table, codes, ends)):
                 out[i] = ids
-        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist():
-            t = texts[i].as_py()
-            keys = ["  " + t] if any(a in t for a in self.added) else space_chunks(t)
-            place = {k: j for j, k in enumerate(dict.fromkeys(keys))}
-            out[i] = join_ids(self._table(list(place)), np.array([place[k] for k in keys], np.int64), np.array([len(keys)]))[0]
+        rest = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        for i, ids in zip(rest.tolist(), self._spaced_out(texts.take(pa.array(rest)).to_pylist())):
+            out[i] = ids
         return out
 
 

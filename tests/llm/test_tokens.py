@@ -31,6 +31,28 @@ def test_chunks_like_the_libraries():
     assert sp.encode(texts) == want
 
 
+def test_words_are_learned_once_whatever_their_marks():
+    words, marks = ["alpha", "Beta", "Élan", "ñu"], ["", ",", ".", "!?", "...", "'"]
+    texts = [" ".join(w + m for w in words for m in marks), "\n".join("x " + w + m for m in marks for w in words)]
+    bpe = chunks.BytePairs(BPE)
+    assert bpe.encode(texts) == [np.array(bpe.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    # the words and x, the first word of either text, the marks, the line break
+    assert len(bpe.known) <= len(words) + 1 + 2 + len(marks) + 1
+
+
+@pytest.mark.parametrize("merges, split", [([("a", "b")], False), ([("a", "b"), ("\u010a", "a")], True), ([("b", "\u010a"), ("a", "b")], True), ([("\u010a", "\u0120")], True), ([("\u010a", "!")], False)])
+def test_merges_with_a_line_break_keep_words_apart(tmp_path, merges, split):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    names = [*chunks.alphabet(), *[a + b for a, b in merges]]
+    lib = Tokenizer(models.BPE({t: i for i, t in enumerate(names)}, merges))
+    lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    lib.save(str(tmp_path / "bpe.json"))
+    bpe, texts = chunks.BytePairs(str(tmp_path / "bpe.json")), ["ab ba bab\nab, ba! ab", "b a b\na", "\n!a b", ""]
+    assert bpe.plain and (bpe.words.pre_tokenizer is not None) == split
+    assert bpe.encode(texts) == [np.array(lib.encode(t).ids, "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 100, 5000])
 def test_hash_is_minimal_and_perfect(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
